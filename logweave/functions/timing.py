@@ -98,8 +98,11 @@ def time_bucket(ts: Column, width: "Width | str") -> Column:
 
 
 def round_to_second(micros: Column) -> Column:
-    """Whole seconds, half up, as a timestamp."""
-    return F.timestamp_seconds(_floor_div(micros + 500_000, 1_000_000))
+    """Whole seconds as a timestamp, a half rounded away from the epoch."""
+    away = F.when(micros < 0, -_floor_div(500_000 - micros, 1_000_000)).otherwise(
+        _floor_div(micros + 500_000, 1_000_000)
+    )
+    return F.timestamp_seconds(away)
 
 
 def epoch_timestamp(field: Column) -> Column:
@@ -146,40 +149,47 @@ def _strptime_regex(fmt: str) -> tuple[str, list[str]]:
     return r"^\s*" + "".join(regex) + r"\s*\z", parts
 
 
-def parse_timestamp(text: Column, fmt: str, default_year: int = 1900) -> Column:
-    """Parse text by a strptime format to whole seconds (half up); NULL where it does not fit.
-
-    One regular-expression pass takes the text apart, the rest is integer arithmetic, which covers what
-    Spark's datetime patterns do not: weekday names, a missing year and fields without leading zeros.
-    """
+def timestamp_parts(text: Column, fmt: str) -> Column:
+    """The pieces of a time text by a strptime format, in one pass; NULL where it does not fit."""
     regex, parts = _strptime_regex(fmt)
     joined = F.regexp_replace(text, regex, "\u0001".join(f"${i}" for i in range(1, len(parts) + 1)))
-    pieces = F.when(text.rlike(regex), F.split(joined, "\u0001", -1))
+    return F.when(text.rlike(regex), F.split(joined, "\u0001", -1))
+
+
+def timestamp_from_parts(pieces: Column, fmt: str, default_year: int = 1900) -> Column:
+    """The pieces as whole seconds, rounded; NULL for a date or time that does not exist.
+
+    Integer arithmetic covers what Spark's datetime patterns do not: weekday names, a missing year and
+    fields without leading zeros. ``pieces`` is used once per part, so it should be a stored column.
+    """
+    _, parts = _strptime_regex(fmt)
     at = {name: F.element_at(pieces, i + 1) for i, name in enumerate(parts)}
     number = {name: c.cast("int") for name, c in at.items() if name != "month_name"}
-
     if "year" in at:
         year = number["year"]
     elif "short_year" in at:
         year = number["short_year"] + F.when(number["short_year"] < 69, 2000).otherwise(1900)
     else:
-        year = F.lit(default_year)
+        year = F.when(pieces.isNotNull(), default_year)
     if "month_name" in at:
         month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(at["month_name"])).cast("int")
     else:
         month = number.get("month", F.lit(1))
     second = number.get("second", F.lit(0))
-    seconds_in_range = F.when(second < 60, second)  # Spark would carry second 60 into the next minute
     whole = F.try_make_timestamp(
         year,
         month,
         number.get("day", F.lit(1)),
         number.get("hour", F.lit(0)),
         number.get("minute", F.lit(0)),
-        seconds_in_range.cast("decimal(16,6)"),
+        F.when(second < 60, second).cast("decimal(16,6)"),  # Spark would carry 60 into the next minute
         F.lit("UTC"),
     )
-    if "millis" in at:
-        # digits are a decimal fraction: '6' is 600 ms
-        return round_to_second(F.unix_micros(whole) + F.rpad(at["millis"], 3, "0").cast("int") * 1000)
-    return F.when(pieces.isNotNull(), whole)
+    if "millis" not in at:
+        return whole
+    # digits are a decimal fraction: '6' is 600 ms
+    return round_to_second(F.unix_micros(whole) + F.rpad(at["millis"], 3, "0").cast("int") * 1000)
+
+
+def parse_timestamp(text: Column, fmt: str, default_year: int = 1900) -> Column:
+    return timestamp_from_parts(timestamp_parts(text, fmt), fmt, default_year)

@@ -150,7 +150,7 @@ def colour_scale(matrix: DataFrame) -> DataFrame:
     Cells are first counted by value, so the percentile sees each distinct value once.
     """
     values = matrix.where("value > 0").groupBy("value").agg(F.count("*").alias("n"))
-    scale = values.agg(F.percentile("value", F.lit(0.99), "n").alias("p99"), F.max("value").alias("max"))
+    scale = values.agg(F.percentile("value", F.lit(0.99), F.col("n")).alias("p99"), F.max("value").alias("max"))
     return scale.select("p99", "max", F.log1p("p99").alias("log_p99"), F.log1p("max").alias("log_max"))
 
 

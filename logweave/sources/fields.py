@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,45 +57,40 @@ def capture(raw: Column, fmt: LineFormat) -> Column:
     return F.when(raw.rlike(fmt.regex) & (F.size(parts) == len(fmt.fields)), parts)
 
 
-def timestamp_of(columns: dict[str, Column], names: tuple[str, ...], fmt: str) -> Column:
-    """The time fields as one timestamp; ``epoch`` reads the first field only."""
-    if fmt == "epoch":
-        return timing.epoch_timestamp(columns[names[0]])
-    if len(names) == 1:
-        return timing.parse_timestamp(columns[names[0]], fmt)
-    return timing.parse_timestamp(F.concat_ws(" ", *[columns[n] for n in names]), fmt)
-
-
 def parse_lines(
-    lines: DataFrame, log_format: str, timestamp_fields: tuple[str, ...], timestamp_format: str
+    lines: DataFrame, log_format: str, timestamp_fields: Sequence[str], timestamp_format: str
 ) -> DataFrame:
     """``(LineID, raw)`` to ``(LineID, raw, Timestamp, fields…, reason)``.
 
-    ``reason`` is NULL for good lines and for blank ones, which keep NULL in every field.
+    Several time fields are joined by a space; the format ``epoch`` reads the first one only. ``reason``
+    is NULL for good lines and for blank ones, which keep NULL in every field.
     """
     fmt = LineFormat.compile(log_format)
-    parts = F.col("_parts")
-    columns = {name: F.element_at(parts, i + 1) for i, name in enumerate(fmt.fields)}
+    column = {name: F.get("_parts", F.lit(i)) for i, name in enumerate(fmt.fields)}
+    times = [column[n] for n in timestamp_fields]
+    if timestamp_format == "epoch":
+        time_parts, timestamp = times[0], timing.epoch_timestamp(F.col("_time"))
+    else:
+        text = times[0] if len(times) == 1 else F.when(F.col("_parts").isNotNull(), F.concat_ws(" ", *times))
+        time_parts = timing.timestamp_parts(text, timestamp_format)
+        timestamp = timing.timestamp_from_parts(F.col("_time"), timestamp_format)
     kept = [n for n in fmt.fields if n not in timestamp_fields]
     passed = [c for c in lines.columns if c not in ("LineID", "raw")]
-    return (
-        lines.withColumn("_parts", capture(F.col("raw"), fmt))
-        .select(
-            *passed,
-            "LineID",
-            "raw",
-            timestamp_of(columns, tuple(timestamp_fields), timestamp_format).alias("Timestamp"),
-            *[columns[n].alias(n) for n in kept],
-            F.when(F.col("raw").isNotNull() & parts.isNull(), F.lit("line format")).alias("_unfit"),
-        )
-        .withColumn(
-            "reason",
-            F.coalesce(
-                "_unfit",
-                F.when(F.col("raw").isNotNull() & F.col("Timestamp").isNull(), F.lit("timestamp format")),
-            ),
-        )
-        .drop("_unfit")
+    # exploding a one-element array keeps the optimizer from copying the regular expressions into every
+    # later use and filter: each is evaluated once per line
+    parsed = (
+        lines.withColumn("_parts", F.explode(F.array(capture(F.col("raw"), fmt))))
+        .withColumn("_time", F.explode(F.array(time_parts)))
+        .withColumn("_at", F.explode(F.array(timestamp)))
+    )
+    reason = (
+        F.when(F.col("raw").isNull(), F.lit(None).cast("string"))
+        .when(F.col("_parts").isNull(), F.lit("line format"))
+        .when(F.col("_at").isNull(), F.lit("timestamp format"))
+    )
+    return parsed.select(
+        *passed, "LineID", "raw", F.col("_at").alias("Timestamp"), *[column[n].alias(n) for n in kept],
+        reason.alias("reason"),
     )
 
 
