@@ -150,10 +150,13 @@ def _strptime_regex(fmt: str) -> tuple[str, list[str]]:
 
 
 def timestamp_parts(text: Column, fmt: str) -> Column:
-    """The pieces of a time text by a strptime format, in one pass; NULL where it does not fit."""
+    """The pieces of a time text by a strptime format, behind an empty one, in one pass.
+
+    A text that does not fit comes back whole, as the only element.
+    """
     regex, parts = _strptime_regex(fmt)
-    joined = F.regexp_replace(text, regex, "\u0001".join(f"${i}" for i in range(1, len(parts) + 1)))
-    return F.when(text.rlike(regex), F.split(joined, "\u0001", -1))
+    joined = F.regexp_replace(text, regex, "".join(f"\u0001${i}" for i in range(1, len(parts) + 1)))
+    return F.split(joined, "\u0001", -1)
 
 
 def timestamp_from_parts(pieces: Column, fmt: str, default_year: int = 1900) -> Column:
@@ -163,14 +166,14 @@ def timestamp_from_parts(pieces: Column, fmt: str, default_year: int = 1900) ->
     fields without leading zeros. ``pieces`` is used once per part, so it should be a stored column.
     """
     _, parts = _strptime_regex(fmt)
-    at = {name: F.element_at(pieces, i + 1) for i, name in enumerate(parts)}
+    at = {name: F.get(pieces, F.lit(i + 1)) for i, name in enumerate(parts)}
     number = {name: c.cast("int") for name, c in at.items() if name != "month_name"}
     if "year" in at:
         year = number["year"]
     elif "short_year" in at:
         year = number["short_year"] + F.when(number["short_year"] < 69, 2000).otherwise(1900)
     else:
-        year = F.when(pieces.isNotNull(), default_year)
+        year = F.when(F.size(pieces) > 1, default_year)
     if "month_name" in at:
         month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(at["month_name"])).cast("int")
     else:

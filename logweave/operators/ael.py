@@ -21,7 +21,7 @@ class LeaderMiner:
         self.threshold = np.float32(merge_thr)
         self.leaders: list[Group] = []
 
-    def add(self, line_id: int, tokens: list[str]) -> tuple[Group, bool]:
+    def find(self, tokens: list[str]) -> Group | None:
         # the share grows with the number of differences, so the bound is a whole number
         most = max(
             (d for d in range(len(tokens) + 1) if np.float32(d) / np.float32(len(tokens)) <= self.threshold),
@@ -29,9 +29,15 @@ class LeaderMiner:
         )
         for leader in self.leaders:
             if sum(a != b for a, b in zip(tokens, leader.tokens)) <= most:
-                return leader, False
-        self.leaders.append(Group(line_id, tokens))
-        return self.leaders[-1], True
+                return leader
+        return None
+
+    def open(self, group: Group) -> bool:
+        self.leaders.append(group)
+        return True
+
+    def absorb(self, group: Group, tokens: list[str]) -> bool:
+        return False
 
 
 def mine_ael(

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,9 @@ class TreeRules:
     threshold: float
     count_is_key: bool  # the token count is the first key
     stores_from: int  # lines with fewer tokens open a group that no later line can find
-    score: Callable[[list[str], list[str]], tuple[float, int]]  # (similarity, wildcards of the template)
+    line_view: Callable[[list[str]], object]  # what ``score`` needs of a line
+    template_view: Callable[[list[str]], object]  # and of a template
+    score: Callable[[object, object], tuple[float, int]]  # (similarity, wildcards of the template)
     merge: Callable[[list[str], list[str]], list[str]]
 
     def keys(self, tokens: list[str]) -> list[str]:
@@ -49,36 +52,41 @@ class PrefixTreeMiner:
         self.level = level
         self.root: tuple[dict, list[Group]] = ({}, [])
 
-    def add(self, line_id: int, tokens: list[str]) -> tuple[Group, bool]:
-        keys = self.rules.keys(tokens)[self.level :]
-        group = self._find(keys, tokens)
-        if group is None:
-            group = Group(line_id, tokens)
-            return group, self._insert(keys, group)
-        merged = self.rules.merge(tokens, group.tokens)
-        changed = merged != group.tokens
-        group.tokens = merged
-        return group, changed
+    def _keys(self, tokens: list[str]) -> list[str]:
+        return self.rules.keys(tokens)[self.level :]
 
-    def _find(self, keys, tokens):
+    def find(self, tokens: list[str]) -> Group | None:
         node = self.root
-        for key in keys:
+        for key in self._keys(tokens):
             children = node[0]
             node = children.get(key) or children.get(WILDCARD)
             if node is None:
                 return None
         best, best_rank = None, None
+        line, score = self.rules.line_view(tokens), self.rules.score
         for group in node[1]:
-            rank = self.rules.score(tokens, group.tokens)
+            rank = score(line, self._view(group))
             if best is None or rank > best_rank:
                 best, best_rank = group, rank
         if best is not None and best_rank[0] > self.rules.threshold:
             return best
         return None
 
-    def _insert(self, keys, group) -> bool:
+    def _view(self, group: Group):
+        if group.view is None:
+            group.view = self.rules.template_view(group.tokens)
+        return group.view
+
+    def absorb(self, group: Group, tokens: list[str]) -> bool:
+        merged = self.rules.merge(tokens, group.tokens)
+        if merged == group.tokens:
+            return False
+        group.tokens, group.view = merged, None
+        return True
+
+    def open(self, group: Group) -> bool:
         node, grown = self.root, False
-        for key in keys:
+        for key in self._keys(group.tokens):
             children = node[0]
             if key not in children and len(children) + 1 >= self.rules.children:
                 key = WILDCARD
@@ -95,10 +103,13 @@ def _ratio(part: int, whole: int) -> float:
     return float(np.float32(part) / np.float32(whole))
 
 
-def _position_score(tokens, template):
-    compared = template[: len(tokens)]
-    equal = sum(a == b != WILDCARD for a, b in zip(tokens, compared))
-    return _ratio(equal, len(tokens)), compared.count(WILDCARD)
+def _position_score(tokens: list[str], template: list[str]) -> tuple[float, int]:
+    compared = template if len(template) <= len(tokens) else template[: len(tokens)]
+    wildcards = compared.count(WILDCARD)
+    equal = sum(map(eq, tokens, compared))
+    if wildcards and WILDCARD in tokens:
+        equal -= sum(a == b == WILDCARD for a, b in zip(tokens, compared))
+    return _ratio(equal, len(tokens)), wildcards
 
 
 def _position_merge(tokens, template):
@@ -112,11 +123,14 @@ def _boosted(part: int, whole: int) -> float:
     return float(min(similarity * np.float32(1.3), np.float32(1)))
 
 
-def _set_score(tokens, template):
-    known = {t for t in template if t != WILDCARD}
-    line = set(tokens)
-    common = len(line & known)
-    return _boosted(common, len(line) + len(known) - common), template.count(WILDCARD)
+def _constants(template: list[str]) -> tuple[frozenset[str], int]:
+    return frozenset(template) - {WILDCARD}, template.count(WILDCARD)
+
+
+def _set_score(line: frozenset[str], view: tuple[frozenset[str], int]) -> tuple[float, int]:
+    constants, wildcards = view
+    common = len(line & constants)
+    return _boosted(common, len(line) + len(constants) - common), wildcards
 
 
 def _set_merge(tokens, template):
@@ -130,15 +144,33 @@ def _set_merge(tokens, template):
 def drain_rules(depth: int = 4, children: int = 100, sim_thr: float = 0.4) -> TreeRules:
     if depth < 3:
         raise ValueError("depth must be at least 3")
-    threshold = float(np.float32(sim_thr))
-    return TreeRules(depth - 1, children, threshold, True, depth - 1, _position_score, _position_merge)
+    return TreeRules(
+        levels=depth - 1,
+        children=children,
+        threshold=float(np.float32(sim_thr)),
+        count_is_key=True,
+        stores_from=depth - 1,
+        line_view=list,
+        template_view=list,
+        score=_position_score,
+        merge=_position_merge,
+    )
 
 
 def jaccard_rules(depth: int = 4, children: int = 100, sim_thr: float = 0.4) -> TreeRules:
     if depth < 2:
         raise ValueError("depth must be at least 2")
-    threshold = float(np.float32(sim_thr))
-    return TreeRules(depth - 1, children, threshold, False, depth, _set_score, _set_merge)
+    return TreeRules(
+        levels=depth - 1,
+        children=children,
+        threshold=float(np.float32(sim_thr)),
+        count_is_key=False,
+        stores_from=depth,
+        line_view=frozenset,
+        template_view=_constants,
+        score=_set_score,
+        merge=_set_merge,
+    )
 
 
 def mine_drain(df: DataFrame, depth=4, children=100, sim_thr=0.4, block_lines=BLOCK_LINES) -> DataFrame:
@@ -157,7 +189,7 @@ def _mine(df: DataFrame, rules: TreeRules, block_lines: int) -> DataFrame:
     )
     n_lines = paths.agg(F.sum("n")).first()[0] or 0
     if _plain(paths, rules):
-        # no node is full: every key has its own child and the keys are the route
+        # the keys are the route
         routed = keyed.select(
             "LineID",
             "content",
@@ -187,16 +219,22 @@ def _key_column(rules: TreeRules) -> Column:
 
 
 def _plain(paths: DataFrame, rules: TreeRules) -> bool:
-    """Whether no key is the wildcard and no node has more distinct keys than it can hold."""
+    """Whether every key has a child of its own, or no line reaches a leaf at all."""
     nodes = (
         paths.select("keys", F.posexplode("keys").alias("level", "key"))
-        .select(F.slice("keys", F.lit(1), F.col("level")).alias("node"), "key")
+        .select(F.slice("keys", F.lit(1), F.col("level")).alias("node"), "key", F.size("keys").alias("size"))
         .groupBy("node")
-        .agg(F.count_distinct("key").alias("n"), F.max((F.col("key") == WILDCARD).cast("int")).alias("wild"))
-        .agg(F.max("n").alias("n"), F.max("wild").alias("wild"))
+        .agg(
+            F.count_distinct("key").alias("n"),
+            F.max((F.col("key") == WILDCARD).cast("int")).alias("wild"),
+            F.max("size").alias("size"),
+        )
+        .agg(F.max("n").alias("n"), F.max("wild").alias("wild"), F.max("size").alias("size"))
         .first()
     )
-    return nodes["n"] is None or (nodes["n"] < rules.children and not nodes["wild"])
+    if nodes["n"] is None:
+        return True
+    return not nodes["wild"] and (nodes["n"] < rules.children or nodes["size"] < rules.levels)
 
 
 def _routes(paths: DataFrame, rules: TreeRules) -> DataFrame:

@@ -7,12 +7,14 @@ lines change nothing, though: they fall into a group that already covers them. `
    each other; a hot route simply spans many blocks.
 2. Every block is replayed on its own from an empty state. For routes inside one block this is final.
 3. For the other routes the lines that changed the state are collected (few, whatever the number of
-   lines), and every block is replayed again behind all such lines of earlier blocks.
+   lines) and replayed in order, which tells the group each belongs to and the final templates. Every
+   block is then replayed again from the state that these lines of earlier blocks leave.
 4. A block that meets a change nobody knew of reports it, and step 3 is repeated for that route. When no
    block does, each started from the true state and the result equals a sequential run.
 
 Each round makes at least one more block of an unfinished route exact, so the loop ends; usually two or
-three rounds do. No task ever holds the lines of more than one block.
+three rounds do. No task ever holds the lines of more than one block. What one task does hold is the
+state-changing lines of a route, so memory follows the number of templates, not of lines.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BLOCK_LINES = 500_000
 FAN_IN = 64
 
 INPUT = ["route", "level", "LineID", "content"]
+CHANGE = ["block", *INPUT, "leader", "Template"]
 _SCHEMA = (
     "block int, route string, level int, LineID long, content string,"
     " leader long, Template string, changed boolean"
@@ -37,13 +40,17 @@ _SCHEMA = (
 
 
 class Group:
-    """Lines that share a template; ``leader`` is the LineID that opened it."""
+    """Lines that share a template; ``leader`` is the LineID that opened it.
 
-    __slots__ = ("leader", "tokens")
+    ``view`` is a miner's own digest of the tokens, dropped when they change.
+    """
+
+    __slots__ = ("leader", "tokens", "view")
 
     def __init__(self, leader: int, tokens: list[str]):
         self.leader = leader
         self.tokens = tokens
+        self.view = None
 
 
 class Replay:
@@ -53,20 +60,37 @@ class Replay:
         self.miner = miner
         self.version = 0
         self.known: dict[str, tuple[int, Group]] = {}
+        self.opened: dict[int, Group] = {}
 
     def step(self, line_id: int, content: str) -> tuple[Group, bool]:
         hit = self.known.get(content)
         if hit is not None and hit[0] == self.version:
             return hit[1], False
-        group, changed = self.miner.add(line_id, content.split(" "))
+        tokens = content.split(" ")
+        group = self.miner.find(tokens)
+        if group is None:
+            group = Group(line_id, tokens)
+            changed = self.miner.open(group)
+        else:
+            changed = self.miner.absorb(group, tokens)
         if changed:
             self.version += 1
         else:
             self.known[content] = (self.version, group)
         return group, changed
 
+    def repeat(self, line_id: int, content: str, leader: int) -> None:
+        """A step whose group is known already: no search."""
+        tokens = content.split(" ")
+        if leader == line_id:
+            self.opened[leader] = Group(line_id, tokens)
+            self.miner.open(self.opened[leader])
+        else:
+            self.miner.absorb(self.opened[leader], tokens)
+
 
-# (level) -> miner with ``add(line_id, tokens) -> (group, changed)``
+# (level) -> miner with ``find(tokens) -> group or None``, ``open(group) -> changed`` and
+# ``absorb(group, tokens) -> changed``
 MinerFactory = Callable[[int], object]
 
 
@@ -107,7 +131,7 @@ def replay(lines: DataFrame, make_miner: MinerFactory, n_lines: int, block_lines
         spanning = materialize(found.select("route").distinct())
         result = result.unionByName(done.join(spanning, "route", "left_anti").select(*output))
         todo = done.join(spanning, "route", "left_semi")
-        changes = changes.join(spanning, "route", "left_semi").unionByName(found.select(*changes.columns))
+        changes = changes.join(spanning, "route", "left_semi").unionByName(found.select(*CHANGE))
     return result
 
 
@@ -117,19 +141,23 @@ def _pre_merge(changes: DataFrame, make_miner: MinerFactory, n_blocks: int) -> D
     while span < n_blocks:
         changes = _true_changes(changes.withColumn("part", F.floor(F.col("block") / span)), make_miner, "part")
         span *= FAN_IN
-    return changes.select("block", *INPUT)
+    return changes.select(*CHANGE)
 
 
 def _true_changes(changes: DataFrame, make_miner: MinerFactory, *within: str) -> DataFrame:
-    """Of the given lines, those that change the state when only they are replayed."""
+    """Of the given lines those that change the state when only they are replayed, with their groups."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("LineID", kind="stable")
         run = Replay(make_miner(int(pdf["level"].iat[0])))
-        return pdf[[run.step(i, c)[1] for i, c in zip(pdf["LineID"].tolist(), pdf["content"].tolist())]]
+        steps = [run.step(i, c) for i, c in zip(pdf["LineID"].tolist(), pdf["content"].tolist())]
+        pdf["leader"] = [group.leader for group, _ in steps]
+        changed = [c for _, c in steps]
+        pdf["Template"] = [" ".join(group.tokens) if c else None for group, c in steps]
+        return pdf[changed]
 
-    changes = changes.select("block", *INPUT, *within)
-    return changes.groupBy("route", *within).applyInPandas(keep, changes.schema).select("block", *INPUT)
+    changes = changes.select(*CHANGE, *within)
+    return changes.groupBy("route", *within).applyInPandas(keep, changes.schema).select(*CHANGE)
 
 
 class _Rows:
@@ -150,8 +178,9 @@ class _Rows:
         self.groups.append(group)
         self.changed.append(changed and line_id not in known)
 
-    def frame(self) -> pd.DataFrame:
-        texts = {id(g): " ".join(g.tokens) for g in self.groups}
+    def frame(self, final: dict[int, str] | None = None) -> pd.DataFrame:
+        final = final or {}
+        texts = {id(g): final.get(g.leader) or " ".join(g.tokens) for g in self.groups}
         return pd.DataFrame(
             {
                 "block": self.block,
@@ -197,20 +226,15 @@ def _next_pass(make_miner: MinerFactory):
             pdf = pdf.sort_values("LineID")
             level = int(pdf["level"].iat[0])
             rows = _Rows(route, level, make_miner(level), int(pdf["block"].iat[0]))
-            ids, contents = pdf["LineID"].tolist(), pdf["content"].tolist()
-            given = prior.get(route, known)
-            given_ids = given["LineID"].tolist()
-            known_ids = set(given_ids)
-            outside = list(zip(given_ids, given["content"].tolist()))
-            for i, c in outside:
-                if i < ids[0]:
-                    rows.run.step(i, c)
-            for i, c in zip(ids, contents):
+            ids = pdf["LineID"].tolist()
+            given = prior[route]
+            before = given[given["LineID"] < ids[0]]
+            for i, c, leader in zip(before["LineID"].tolist(), before["content"].tolist(), before["leader"].tolist()):
+                rows.run.repeat(i, c, leader)
+            known_ids = set(given["LineID"].tolist())
+            for i, c in zip(ids, pdf["content"].tolist()):
                 rows.add(i, c, known_ids)
-            for i, c in outside:
-                if i > ids[-1]:
-                    rows.run.step(i, c)
-            frames.append(rows.frame())
+            frames.append(rows.frame(dict(zip(given["leader"].tolist(), given["Template"].tolist()))))
         return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return run

@@ -32,23 +32,25 @@ class SpellMiner:
         self.root = _Node()
         self._needed = lru_cache(maxsize=None)(lambda n: float(self.threshold * np.float32(n)))
 
-    def add(self, line_id: int, tokens: list[str]) -> tuple[Group, bool]:
+    def find(self, tokens: list[str]) -> Group | None:
         needed = self._needed(len(tokens))
-        group = self._by_constants(tokens, needed) or self._by_subsequence(tokens, needed) or self._by_lcs(tokens)
-        if group is None:
-            group = Group(line_id, tokens)
-            self.groups.append(group)
-            self._link(group)
-            return group, True
+        return self._by_constants(tokens, needed) or self._by_subsequence(tokens, needed) or self._by_lcs(tokens)
+
+    def open(self, group: Group) -> bool:
+        self.groups.append(group)
+        self._link(group)
+        return True
+
+    def absorb(self, group: Group, tokens: list[str]) -> bool:
         if _covers(group.tokens, tokens):
-            return group, False
+            return False
         template = aligned(common_subsequence(tokens, group.tokens), group.tokens)
         if template == group.tokens:
-            return group, False
+            return False
         self._unlink(group)
         group.tokens = template
         self._link(group)
-        return group, True
+        return True
 
     def _by_constants(self, tokens, needed):
         node, matched = self.root, 0

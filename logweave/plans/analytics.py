@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave.functions.timing import DEFAULT_WIDTH, Width, bucket_number, bucket_seconds, epoch_micros
 from logweave.operators.joins import lookup_join
 from logweave.operators.sequence import with_next
+from logweave.session import materialize
 
 TILE = 1024  # co-occurrence compares templates in tiles of this side
 DENSE_LIMIT = 2000
@@ -56,8 +57,7 @@ def level_frequency(structured: DataFrame, width: Width | str = DEFAULT_WIDTH) -
 def with_template_id(structured: DataFrame, templates: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The given columns of every line that has a template, plus its ``template_id``."""
     columns = list(dict.fromkeys([*columns, "Template"]))
-    table = templates.select("Template", "template_id", "Count")
-    return lookup_join(structured.select(*columns), table, "Template", weight="Count").drop("Template")
+    return lookup_join(structured.select(*columns), templates, "Template", weight="Count").drop("Template")
 
 
 def template_transition(
@@ -101,16 +101,19 @@ def template_cooccurrence(
 ) -> DataFrame:
     """``(i, j, value)`` with ``i < j``: buckets in which both templates occur; mirrored if ``symmetric``.
 
-    64 neighbouring buckets are packed into the bits of one number per template, so a pair is compared
-    once per 64 buckets. Pairs are formed tile by tile: a join key never holds more than ``tile``
-    templates on either side, however many share a bucket.
+    Pairs are formed tile by tile: a join key never holds more than ``tile`` templates on either side,
+    however many share a bucket. Where most templates recur from bucket to bucket, 64 neighbouring
+    buckets are packed into the bits of one number, so that a pair is compared once per 64 buckets; which
+    of the two makes fewer comparisons is counted first.
     """
     number = bucket_number(F.col("Timestamp"), width).alias("bucket")
     ids = with_template_id(structured, templates, ["Timestamp"]).select(number, F.col("template_id").alias("id"))
+    present = materialize(ids.where(F.col("bucket").isNotNull()).distinct())
+    pack = min((1, 64), key=lambda p: _comparisons(present, p))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(bucket, {pack}) as int))")
     marks = (
-        ids.where(F.col("bucket").isNotNull())
-        .groupBy(F.floor(F.col("bucket") / 64).alias("span"), "id")
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bucket, 64) as int))")).alias("bits"))
+        present.groupBy(F.floor(F.col("bucket") / pack).alias("span"), "id")
+        .agg(F.bit_or(bit).alias("bits"))
         .withColumn("tile", F.floor(F.col("id") / tile))
     )
     last = F.lit((max(templates.count(), 1) - 1) // tile)
@@ -135,6 +138,12 @@ def template_cooccurrence(
     ).select("cell.*")
 
 
+def _comparisons(present: DataFrame, pack: int) -> float:
+    spans = present.select(F.floor(F.col("bucket") / pack).alias("span"), "id").distinct()
+    sizes = spans.groupBy("span").agg(F.count("*").cast("double").alias("n"))
+    return sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+
+
 def dense(matrix: DataFrame, dim: int, limit: int = DENSE_LIMIT) -> DataFrame:
     """One row per i with columns ``c0 … c<dim-1>``, missing cells 0; refused above ``limit``."""
     if dim > limit:

@@ -63,9 +63,8 @@ def mine(
 def template_table(structured: DataFrame) -> DataFrame:
     """``(template_id, Template, Count)``; ids are ranks by Count, ties by text, from 0."""
     counts = structured.where(F.col("Template").isNotNull()).groupBy("Template").agg(F.count("*").alias("Count"))
-    return with_rank(counts, [F.desc("Count"), F.asc("Template")], "template_id").select(
-        "template_id", "Template", "Count"
-    )
+    ranked = with_rank(counts, [F.desc("Count"), F.asc("Template")], "template_id")
+    return materialize(ranked.select("template_id", "Template", "Count"))
 
 
 def extract(

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stored: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,8 +25,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and return the scan of it.
 
     Unlike a cached frame it survives the loss of executors, and unlike an RDD checkpoint later
-    readers keep column pruning, filter pushdown and true size statistics.
+    readers keep column pruning, filter pushdown and true size statistics. A frame that is such a scan
+    already is returned as it is.
     """
+    if df in _stored:
+        return df
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/logweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored.add(stored)
+    return stored

@@ -49,12 +49,14 @@ def _literal(text: str) -> str:
 
 
 def capture(raw: Column, fmt: LineFormat) -> Column:
-    """All fields as an array in one pass of the expression; NULL where the line does not fit."""
+    """All fields behind an empty element, in one pass of the expression.
+
+    A line that does not fit comes back whole, as the only element; one with the separator is NULL.
+    """
     joined = F.regexp_replace(
-        raw, fmt.regex, _SEPARATOR.join(f"${i}" for i in range(1, len(fmt.fields) + 1))
+        raw, fmt.regex, "".join(f"{_SEPARATOR}${i}" for i in range(1, len(fmt.fields) + 1))
     )
-    parts = F.split(joined, _SEPARATOR, -1)
-    return F.when(raw.rlike(fmt.regex) & (F.size(parts) == len(fmt.fields)), parts)
+    return F.when(~F.contains(raw, F.lit(_SEPARATOR)), F.split(joined, _SEPARATOR, -1))
 
 
 def parse_lines(
@@ -66,12 +68,12 @@ def parse_lines(
     is NULL for good lines and for blank ones, which keep NULL in every field.
     """
     fmt = LineFormat.compile(log_format)
-    column = {name: F.get("_parts", F.lit(i)) for i, name in enumerate(fmt.fields)}
+    column = {name: F.get("_parts", F.lit(i + 1)) for i, name in enumerate(fmt.fields)}
     times = [column[n] for n in timestamp_fields]
     if timestamp_format == "epoch":
         time_parts, timestamp = times[0], timing.epoch_timestamp(F.col("_time"))
     else:
-        text = times[0] if len(times) == 1 else F.when(F.col("_parts").isNotNull(), F.concat_ws(" ", *times))
+        text = times[0] if len(times) == 1 else F.concat_ws(" ", *times)
         time_parts = timing.timestamp_parts(text, timestamp_format)
         timestamp = timing.timestamp_from_parts(F.col("_time"), timestamp_format)
     kept = [n for n in fmt.fields if n not in timestamp_fields]
@@ -85,7 +87,7 @@ def parse_lines(
     )
     reason = (
         F.when(F.col("raw").isNull(), F.lit(None).cast("string"))
-        .when(F.col("_parts").isNull(), F.lit("line format"))
+        .when(F.coalesce(F.size("_parts"), F.lit(0)) <= 1, F.lit("line format"))
         .when(F.col("_at").isNull(), F.lit("timestamp format"))
     )
     return parsed.select(
