@@ -227,7 +227,7 @@ def _next_pass(make_miner: MinerFactory):
             level = int(pdf["level"].iat[0])
             rows = _Rows(route, level, make_miner(level), int(pdf["block"].iat[0]))
             ids = pdf["LineID"].tolist()
-            given = prior[route]
+            given = prior.get(route, known.iloc[:0])  # none if no line of the route changes the state
             before = given[given["LineID"] < ids[0]]
             for i, c, leader in zip(before["LineID"].tolist(), before["content"].tolist(), before["leader"].tolist()):
                 rows.run.repeat(i, c, leader)
