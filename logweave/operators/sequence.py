@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,42 +26,36 @@ def with_next(
     holds more than ``block`` rows of a sequence; the last row of a block takes the head of the next
     block that has rows, found by the same operator on the much smaller table of heads.
     """
-    part = list(partition_by)
-    blocked = rows.withColumn("_block", F.floor(F.col(position) / block).cast("long")).repartition(
-        *part, "_block"
-    )
-    return _fill(blocked, position, list(columns), part, block, levels=2)
+    part = []
+    if partition_by:
+        # one struct for all partition columns: unlike a plain column it is never NULL, so that joins on
+        # it are plain equalities and keep the partitioning of the window
+        rows, part = rows.withColumn("_part", F.struct(*partition_by)), ["_part"]
+    blocked = rows.withColumn("_block", F.floor(F.col(position) / block).cast("long")).repartition(*part, "_block")
+    return _fill(blocked, position, list(columns), part, block, levels=2).drop("_block", *part)
 
 
-def _fill(rows, position, columns, part, block, levels):
-    within = Window.partitionBy(*part, "_block").orderBy(position)
+def _fill(
+    rows: DataFrame, position: str, columns: list[str], part: list[str], block: int, levels: int
+) -> DataFrame:
+    key = [*part, "_block"]
     value = F.struct(*columns)
-    inside = rows.withColumn("_next", F.lead(value).over(within))
-    heads = rows.groupBy(*part, "_block").agg(F.min_by(value, position).alias("_head"))
+    inside = rows.withColumn("_next", F.lead(value).over(Window.partitionBy(*key).orderBy(position)))
+    heads = rows.groupBy(*key).agg(F.min_by(value, position).alias("_head"))
     if levels == 1:
         # one row per block² positions
         over = Window.partitionBy(*part).orderBy("_block")
-        following = heads.select(*part, F.col("_block"), F.lead("_head").over(over).alias("_after"))
+        following = heads.select(*key, F.lead("_head").over(over).alias("_after"))
     else:
         upper = (
-            heads.select(*part, F.col("_block").alias("_position"), "_head")
+            heads.withColumnRenamed("_block", "_position")
             .withColumn("_block", F.floor(F.col("_position") / block).cast("long"))
-            .repartition(*part, "_block")
+            .repartition(*key)
         )
         following = _fill(upper, "_position", ["_head"], part, block, levels - 1).select(
             *part, F.col("_position").alias("_block"), F.col("_next._head").alias("_after")
         )
-    renamed = {c: f"_same_{i}" for i, c in enumerate([*part, "_block"])}
-    following = following.withColumnsRenamed(renamed)
-    # null-safe, as a partition column may hold NULL
-    condition = reduce(
-        lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(renamed[c])) for c in renamed]
-    )
-    return (
-        inside.join(following, condition, "left")
-        .withColumn("_next", F.coalesce("_next", "_after"))
-        .drop("_block", "_after", *renamed.values())
-    )
+    return inside.join(following, key, "left").withColumn("_next", F.coalesce("_next", "_after")).drop("_after")
 
 
 def with_rank(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

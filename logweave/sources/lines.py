@@ -31,9 +31,14 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     offsets = (
         text.groupBy(*split)
         .agg(F.min("_pos").alias("_first"), F.count("*").alias("_lines"))
-        .withColumn("_offset", F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 1)
-        .drop("_first")
+        .withColumn("_offset", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     )
-    return lookup_join(text, offsets, split, weight="_lines").select(
-        "source_path", (F.col("_pos") + F.col("_offset")).alias("LineID"), "raw"
+    # one row per split, so some hundred bytes for every 128 MB of text
+    numbered = lookup_join(text, offsets, split, weight="_lines", how="left", max_bytes=512 << 20)
+    # the splits are planned once for the counts and once for the lines; if the session changes between
+    # the two, fail rather than misnumber
+    same = F.coalesce(F.shiftright("_pos", 33) == F.shiftright("_first", 33), F.lit(False))
+    line_id = F.when(same, F.col("_offset") + F.col("_pos") - F.col("_first") + 1).otherwise(
+        F.raise_error(F.lit("the file splits changed while lines were numbered")).cast("long")
     )
+    return numbered.select("source_path", line_id.alias("LineID"), "raw")
