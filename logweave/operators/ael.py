@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD, parameter_count, token_count, tokenize
 from logweave.operators.joins import lookup_join
-from logweave.operators.replay import BLOCK_LINES, Group, replay
+from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, size_of
 from logweave.session import materialize
 
 BIN = ["_token_count", "_para_count"]
@@ -67,8 +67,9 @@ def mine_ael(
     routed = wide.select(
         F.concat_ws(" ", *BIN).alias("route"), F.lit(0).alias("level"), "LineID", "content"
     )
+    n_blocks = blocks_needed(*size_of(routed), block_lines)
     led = materialize(
-        replay(routed, lambda level: LeaderMiner(merge_thr), routed.count(), block_lines).select("LineID", "leader")
+        replay(routed, lambda level: LeaderMiner(merge_thr), n_blocks).select("LineID", "leader")
     )
     grouped = wide.join(led, "LineID")
     sizes_of_groups = led.groupBy("leader").agg(F.count("*").alias("copies"))

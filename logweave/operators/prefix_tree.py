@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD, tokenize
 from logweave.operators.joins import lookup_join
-from logweave.operators.replay import BLOCK_LINES, Group, replay
+from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay
 from logweave.session import materialize
 
 
@@ -185,9 +185,11 @@ def _mine(df: DataFrame, rules: TreeRules, block_lines: int) -> DataFrame:
     lines = df.where(F.col("content").isNotNull()).select("LineID", "content")
     keyed = lines.withColumn("keys", _key_column(rules))
     paths = materialize(
-        keyed.groupBy("keys").agg(F.min("LineID").alias("first"), F.count("*").alias("n"))
+        keyed.groupBy("keys").agg(
+            F.min("LineID").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")
+        )
     )
-    n_lines = paths.agg(F.sum("n")).first()[0] or 0
+    n_blocks = blocks_needed(*paths.agg(F.sum("n"), F.sum("bytes")).first(), block_lines)
     if _plain(paths, rules):
         # the keys are the route
         routed = keyed.select(
@@ -202,8 +204,7 @@ def _mine(df: DataFrame, rules: TreeRules, block_lines: int) -> DataFrame:
     mined = replay(
         routed.where(F.col("route").isNotNull()),
         lambda level: PrefixTreeMiner(rules, level),
-        n_lines,
-        block_lines,
+        n_blocks,
     )
     # lines that end above the leaves are not replayed and keep their own text
     return df.join(mined.select("LineID", "Template"), "LineID", "left").withColumn(

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from logweave.session import materialize
 
 BLOCK_LINES = 500_000
+BLOCK_BYTES = 128 << 20
 FAN_IN = 64
 
 INPUT = ["route", "level", "LineID", "content"]
@@ -94,9 +95,17 @@ class Replay:
 MinerFactory = Callable[[int], object]
 
 
-def replay(lines: DataFrame, make_miner: MinerFactory, n_lines: int, block_lines: int = BLOCK_LINES) -> DataFrame:
+def blocks_needed(n_lines: int | None, n_bytes: int | None, block_lines: int = BLOCK_LINES) -> int:
+    return max(1, math.ceil((n_lines or 0) / block_lines), math.ceil((n_bytes or 0) / BLOCK_BYTES))
+
+
+def size_of(lines: DataFrame) -> tuple[int | None, int | None]:
+    """Number and bytes of contents."""
+    return tuple(lines.agg(F.count("*"), F.sum(F.octet_length("content"))).first())
+
+
+def replay(lines: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFrame:
     """``(route, level, LineID, content)`` to ``(route, LineID, content, leader, Template)``."""
-    n_blocks = max(1, math.ceil(n_lines / block_lines))
     output = ["route", "LineID", "content", "leader", "Template"]
     first = (
         lines.select(*INPUT)

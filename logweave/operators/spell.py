@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD
-from logweave.operators.replay import BLOCK_LINES, Group, replay
+from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, size_of
 
 
 class _Node:
@@ -175,5 +175,5 @@ def mine_spell(df: DataFrame, sim_thr: float = 0.5, block_lines: int = BLOCK_LIN
     lines = df.where(F.col("content").isNotNull()).select(
         F.lit("").alias("route"), F.lit(0).alias("level"), "LineID", "content"
     )
-    mined = replay(lines, lambda level: SpellMiner(sim_thr), lines.count(), block_lines)
+    mined = replay(lines, lambda level: SpellMiner(sim_thr), blocks_needed(*size_of(lines), block_lines))
     return df.join(mined.select("LineID", "Template"), "LineID", "left")
