@@ -768,10 +768,10 @@ def value_histogram(spark, sf):
 
 @query(
     "value_histogram_case_sensitive",
-    f"with {LOG_SQL} select Level, count(*) as Count from log where contains(Level, 'err') group by Level",
+    f"with {LOG_SQL} select Component, count(*) as Count from log where contains(Component, 'svc1') group by Component",
 )
 def value_histogram_case_sensitive(spark, sf):
-    return browse.value_histogram(log(spark, sf), "Level", "ERR", ignore_case=False)
+    return browse.value_histogram(log(spark, sf), "Component", "SVC1", ignore_case=False)
 
 
 @query(
@@ -890,10 +890,10 @@ def registry_update_delete(spark, sf):
     "registry_search",
     f"""with {_REGISTRY_SQL} select id, str_split(log_path, '/')[-1] as name,
       case when is_extracted then 'EXTRACTED' else 'NOT_EXTRACTED' end as status
-    from r where contains(lower(str_split(log_path, '/')[-1]), '7.log')""",
+    from r where contains(lower(str_split(log_path, '/')[-1]), '8.log')""",
 )
 def registry_search(spark, sf):
-    found = reg.search_logs(reg.with_status(reg.logs(registry(spark, sf))), " 7.LOG ")
+    found = reg.search_logs(reg.with_status(reg.logs(registry(spark, sf))), " 8.LOG ")
     return reg.sort_logs(found, "status", descending=True).select(
         "id", text.basename(F.col("log_path")).alias("name"), "status"
     )

@@ -109,14 +109,14 @@ def template_cooccurrence(
     number = bucket_number(F.col("Timestamp"), width).alias("bucket")
     ids = with_template_id(structured, templates, ["Timestamp"]).select(number, F.col("template_id").alias("id"))
     present = materialize(ids.where(F.col("bucket").isNotNull()).distinct())
-    pack = min((1, 64), key=lambda p: _comparisons(present, p))
+    pack, last_id = _packing(present)
     bit = F.expr(f"shiftleft(1L, cast(pmod(bucket, {pack}) as int))")
     marks = (
         present.groupBy(F.floor(F.col("bucket") / pack).alias("span"), "id")
         .agg(F.bit_or(bit).alias("bits"))
         .withColumn("tile", F.floor(F.col("id") / tile))
     )
-    last = F.lit((max(templates.count(), 1) - 1) // tile)
+    last = F.lit(last_id // tile)
     a = marks.select("span", F.col("id").alias("i"), F.col("bits").alias("a"), F.col("tile").alias("tile_i"))
     b = marks.select("span", F.col("id").alias("j"), F.col("bits").alias("b"), F.col("tile").alias("tile_j"))
     a = a.withColumn("tile_j", F.explode(F.sequence(F.col("tile_i"), last)))
@@ -138,10 +138,19 @@ def template_cooccurrence(
     ).select("cell.*")
 
 
-def _comparisons(present: DataFrame, pack: int) -> float:
-    spans = present.select(F.floor(F.col("bucket") / pack).alias("span"), "id").distinct()
-    sizes = spans.groupBy("span").agg(F.count("*").cast("double").alias("n"))
-    return sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+def _packing(present: DataFrame) -> tuple[int, int]:
+    """How many buckets to pack for the fewest comparisons, and the highest template id."""
+    sizes = [F.struct(F.lit(p).alias("pack"), F.floor(F.col("bucket") / p).alias("span")) for p in (1, 64)]
+    spans = present.select(F.explode(F.array(*sizes)).alias("s"), "id").select("s.*", "id").distinct()
+    n = F.col("n").cast("double")
+    costs = (
+        spans.groupBy("pack", "span")
+        .agg(F.count("*").alias("n"), F.max("id").alias("last"))
+        .groupBy("pack")
+        .agg(F.sum(n * n).alias("cost"), F.max("last").alias("last"))
+    )
+    best = costs.orderBy("cost", "pack").first()
+    return (best["pack"], best["last"]) if best else (1, 0)
 
 
 def dense(matrix: DataFrame, dim: int, limit: int = DENSE_LIMIT) -> DataFrame:

@@ -97,7 +97,7 @@ def test_cooccurrence_packed_equals_unpacked(spark, monkeypatch):
     templates = template_table(rows)
     results = []
     for forced in (1, 64):
-        monkeypatch.setattr(analytics, "_comparisons", lambda present, pack: float(pack != forced))
+        monkeypatch.setattr(analytics, "_packing", lambda present: (forced, 22))
         results.append(cells(analytics.template_cooccurrence(rows, templates, "1 minute")))
     assert results[0] == results[1] and len(results[0]) > 20
 
