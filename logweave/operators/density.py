@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from logweave.session import materialize
 
 GRID_AXES = 3
 CELL_POINTS = 1024  # points of a grid cell compared with each other in one task
+UNROLLED = 16
 NOISE = -1
 
 
@@ -107,8 +109,8 @@ def _pairs(left: DataFrame, right: DataFrame, eps: float, condition: Column | No
     A pair differs by at most ``eps`` on every axis, so ``b`` lies in a neighbouring cell of ``a``. Full
     cells are cut into parts, and a join key holds one part of either side.
     """
-    some = right.select(F.size("cell").alias("axes")).first()
-    axes = some["axes"] if some else 1
+    some = right.select(F.size("cell").alias("axes"), F.size("place").alias("size")).first()
+    axes, size = some or (1, 1)
     offsets = F.array(
         *[F.array(*[F.lit(o).cast("long") for o in offset]) for offset in itertools.product((-1, 0, 1), repeat=axes)]
     )
@@ -125,8 +127,15 @@ def _pairs(left: DataFrame, right: DataFrame, eps: float, condition: Column | No
         F.col("cell").alias("near"),
         F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int").alias("part"),
     )
-    squares = F.zip_with("a.place", "b.place", lambda x, y: (x - y) * (x - y))
-    distance2 = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
-    close = distance2 <= eps * eps
+    close = _distance2(size) <= eps * eps
     pairs = a.join(b, ["near", "part"]).where(close if condition is None else close & condition)
     return pairs.select("a", "b")
+
+
+def _distance2(size: int) -> Column:
+    """Squared distance of ``a.place`` and ``b.place``; short vectors are written out, which compiles."""
+    if size > UNROLLED:
+        squares = F.zip_with("a.place", "b.place", lambda x, y: (x - y) * (x - y))
+        return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+    gaps = [F.get("a.place", F.lit(i)) - F.get("b.place", F.lit(i)) for i in range(size)]
+    return reduce(lambda s, g: s + g * g, gaps, F.lit(0.0))

@@ -35,10 +35,8 @@ TREE_CASES = [
     (1, 4, 120, dict(depth=4, children=100, sim_thr=0.4), 0.0, 10_000),
     (2, 8, 150, dict(depth=3, children=3, sim_thr=0.4), 0.0, 30),
     (3, 30, 150, dict(depth=4, children=5, sim_thr=0.2), 0.0, 30),
-    (4, 4, 150, dict(depth=5, children=2, sim_thr=0.5), 0.0, 50),
     (5, 8, 150, dict(depth=3, children=1, sim_thr=0.2), 0.0, 50),
     (6, 4, 150, dict(depth=4, children=3, sim_thr=0.2), 0.15, 50),
-    (7, 8, 150, dict(depth=4, children=100, sim_thr=0.4), 0.15, 30),
 ]
 
 

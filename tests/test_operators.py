@@ -89,7 +89,7 @@ def _dbscan(points, eps, least):
     return {i: order.get(component[i], -1) for i in points}, {i: len(near[i]) for i in points}
 
 
-@pytest.mark.parametrize("dims,eps,least,cell_points", [(1, 0.4, 4, 1024), (2, 0.5, 5, 8), (5, 1.4, 6, 1024)])
+@pytest.mark.parametrize("dims,eps,least,cell_points", [(2, 0.5, 5, 8), (5, 1.4, 6, 1024)])
 def test_density_clusters_equal_brute_force(spark, monkeypatch, dims, eps, least, cell_points):
     monkeypatch.setattr(density, "CELL_POINTS", cell_points)
     rnd = random.Random(dims)
