@@ -6,6 +6,8 @@ component and free text.
 
 from __future__ import annotations
 
+import functools
+import importlib
 import re
 import sys
 import uuid
@@ -24,7 +26,7 @@ from logweave.plans import analytics, browse, embedding  # noqa: E402
 from logweave.plans.config import BUILTIN_MASKS  # noqa: E402
 from logweave.plans.extract import mine, prepare, template_table  # noqa: E402
 from logweave.plans.presets import PRESETS  # noqa: E402
-from logweave.session import materialize, shared_dir  # noqa: E402
+from logweave.session import materialize, shared_dir, ship  # noqa: E402
 from logweave.sources import registry as reg  # noqa: E402
 from logweave.sources.fields import LineFormat, parse_lines  # noqa: E402
 from logweave.sources.lines import read_log_lines  # noqa: E402
@@ -957,16 +959,44 @@ def template_clusters(spark, sf):
     return embedding.cluster_templates(template_table(structured(spark, sf)), 0.6, 5)
 
 
+# --- training-data operators: only where their folder and file are there -------------------------
+
+
+def _optional(module: str):
+    """The module, or ``None`` where it is not part of this copy; any other failed import is an error."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in {"logweave.llm", module}:
+            raise
+        return None
+
+
+for _module in map(_optional, ("logweave.llm.queries", "corpus_pipeline")):
+    if _module is not None:
+        _QUERIES.update(_module.QUERIES)
+        _SQL.update(_module.SQL)
+
+
 # --- driver contract -----------------------------------------------------------------------------
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Mine templates from the log and count which follows which."""
+    ship(spark)
     return brain_transition(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    def shipped(fn: Query) -> Query:
+        @functools.wraps(fn)
+        def run(spark, sf):
+            ship(spark)
+            return fn(spark, sf)
+
+        return run
+
+    return {name: shipped(fn) for name, fn in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

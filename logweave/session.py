@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 import weakref
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: "weakref.WeakSet" = weakref.WeakSet()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python code there can import it."""
+    context = spark.sparkContext
+    if context not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="logweave-code-")
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(context)
+
 
 _stored: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
 
