@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.llm import language, pii, secrets
+from logweave.llm import fingerprints, html, language, pii, secrets
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -35,3 +35,13 @@ def op3_language_id(spark, sf_dir):
 @query("op7_personal_data")
 def op7_personal_data(spark, sf_dir):
     return pii.personal_digest(pii.find_personal(table(spark, sf_dir, "documents")))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_main_text")
+def op4_main_text(spark, sf_dir):
+    return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
