@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, language, pii, secrets
+from logweave.llm import fingerprints, html, language, pii, secrets, substrings
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -45,3 +45,21 @@ def op8_fingerprints(spark, sf_dir):
 @query("op4_main_text")
 def op4_main_text(spark, sf_dir):
     return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query(
+    "op9_repeated_passages",
+    r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    w as (select doc_id, unnest(range(1, len(ws) - 18)) as s, ws from d where len(ws) >= 20),
+    k as (select doc_id, s, array_to_string(ws[s:s + 19], ' ') as key from w),
+    f as (select doc_id, s, row_number() over (partition by key order by doc_id, s) as nth from k),
+    gone as (select doc_id, list(distinct p) as ps
+      from (select doc_id, unnest(range(s, s + 20)) as p from f where nth > 1) group by doc_id),
+    kept as (select d.doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed,
+      case when ps is null then ws else list_transform(
+        list_sort(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(ps, i))), lambda i: ws[i]) end as own
+      from d left join gone using (doc_id))
+    select doc_id, n_words, n_removed, sha256(array_to_string(own, ' ')) as kept_sha256 from kept""",
+)
+def op9_repeated_passages(spark, sf_dir):
+    return substrings.repeat_digest(substrings.find_repeats(table(spark, sf_dir, "documents")))
