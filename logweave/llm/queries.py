@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, language, pii, secrets, substrings
+from logweave.llm import fingerprints, html, jaccard, language, pii, secrets, substrings
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -63,3 +63,22 @@ def op4_main_text(spark, sf_dir):
 )
 def op9_repeated_passages(spark, sf_dir):
     return substrings.repeat_digest(substrings.find_repeats(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op2_jaccard_join",
+    r"""with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    g as (select doc_id, list_distinct(case when len(ws) >= 5
+        then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        else [array_to_string(ws, ' ')] end) as gs from d where len(ws) > 0),
+    s as (select doc_id, unnest(gs) as w, len(gs) as n from g),
+    p as (select a.doc_id as u, b.doc_id as v from s a join s b on a.w = b.w and a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+    reach(u, v) as (select u, v from p union select reach.u, p.v from reach join p on reach.v = p.u),
+    c as (select u, min(v) as least from reach group by u),
+    l as (select u, count(*) as links from p group by u)
+    select d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) as class_id, coalesce(links, 0) as n_links
+    from d left join c on c.u = d.doc_id left join l on l.u = d.doc_id""",
+)
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
