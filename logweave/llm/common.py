@@ -63,6 +63,24 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def grouped_by(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``column`` in batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(column))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            if held and held[0].column(column)[0].as_py() != int(keys[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null becomes the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

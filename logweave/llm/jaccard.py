@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_batches, release, slices, stored, utf8
+from logweave.llm.common import grouped_by, map_batches, release, slices, stored, utf8
 from logweave.llm.hashing import inside_row, mix, odd_numbers, runs, words
 from logweave.operators.components import connected_components
 from logweave.operators.joins import lookup_join
@@ -162,24 +162,6 @@ def buckets(nodes: DataFrame, run_count: int, bucket: int = BUCKET, depth: int =
     return done
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """The rows of each value of ``column`` in batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.asarray(batch.column(column))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and held[0].column(column)[0].as_py() != int(keys[a]):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _forest(n: int, near) -> list[tuple[int, int]]:
     """A spanning forest of the graph in which ``near(i, others)`` tells which of ``others`` touch ``i``."""
     left = np.ones(n, bool)
@@ -207,7 +189,7 @@ def candidate_links(nodes: DataFrame, found: DataFrame, alike: float = ALIKE) ->
     ordered = filled.repartition("key").sortWithinPartitions("key", "node")
 
     def read(batches):
-        for group in _by_group(batches, "key"):
+        for group in grouped_by(batches, "key"):
             ids = group.column("node").to_numpy()
             tokens = group.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
             edges = _forest(len(ids), lambda i, others: (tokens[others] == tokens[i]).sum(axis=1) >= alike * WIDTH)
@@ -269,7 +251,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, components: DataFrame, lea
     ordered = dealt.select("pair", "side", "node", "copies", "text").repartition("pair").sortWithinPartitions("pair", "node")
 
     def read(batches):
-        for group in _by_group(batches, "pair"):
+        for group in grouped_by(batches, "pair"):
             ids, copies, side = (group.column(c).to_numpy() for c in ("node", "copies", "side"))
             members, first = shingle_sets(*utf8(group.column("text").combine_chunks()))
             size = np.diff(first)

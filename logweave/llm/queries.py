@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, pii, secrets, substrings
+from logweave.llm import fingerprints, html, jaccard, language, packing, pii, secrets, substrings
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -82,3 +83,8 @@ def op9_repeated_passages(spark, sf_dir):
 )
 def op2_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op6_retrieval_packing")
+def op6_retrieval_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
