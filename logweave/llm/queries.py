@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, packing, pii, secrets, substrings
+from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, substrings
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -88,3 +88,9 @@ def op2_jaccard_join(spark, sf_dir):
 @query("op6_retrieval_packing")
 def op6_retrieval_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
