@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, substrings
+from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, sentencepiece, substrings
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -94,3 +94,8 @@ def op6_retrieval_packing(spark, sf_dir):
 def op10_nearest_neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark, sf_dir):
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
