@@ -36,6 +36,16 @@ def extended(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename columns that are called like working columns; ``put_back`` undoes it."""
+    taken = {f"_own_{i}_{c}": c for i, c in enumerate(df.columns) if c.lower() in names}
+    return df.withColumnsRenamed({c: new for new, c in taken.items()}), taken
+
+
+def put_back(df: DataFrame, taken: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed(taken)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the scan of it.
 

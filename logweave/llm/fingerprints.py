@@ -113,7 +113,7 @@ def _embed(texts: list[str]) -> np.ndarray:
     # one rising key over all blocks, so that one search finds the character under any sampled step
     span = 1 << 24
     reached += np.repeat(np.arange(len(owner), dtype=np.int64) * span, length)
-    gram = _grams(chars)
+    gram = _grams(chars, (begin + sizes)[filled])
     for slot in range(SLOTS):
         record = records[slot]
         step = record[np.searchsorted(record, 2 * sizes[filled], "left") - 1]
@@ -125,10 +125,13 @@ def _embed(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _grams(chars: np.ndarray) -> np.ndarray:
-    """A number for each character and the two behind it."""
+def _grams(chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each character and the two behind it, as far as its text goes."""
     wide = np.concatenate([chars, np.zeros(2, chars.dtype)]).astype(np.uint64)
-    return wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42)
+    second, third = wide[1:-1].copy(), wide[2:].copy()
+    second[ends - 1] = third[ends - 1] = 0
+    third[np.maximum(ends - 2, 0)] = 0
+    return wide[:-2] | second << np.uint64(21) | third << np.uint64(42)
 
 
 def as_text(prints: np.ndarray) -> list[str]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import extended, map_batches, stored, texts_of
+from logweave.llm.common import extended, map_batches, put_back, set_aside, stored, texts_of
 
 MIN_PAGES = 5
 MIN_SHARE = 0.02
@@ -245,7 +245,10 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
 def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``; columns of these names are replaced."""
-    pages = pages.drop("text", "n_chars").withColumn("_host", host_of(F.col("url")))
+    pages = pages.drop("text", "n_chars")
+    names = pages.columns
+    pages, taken = set_aside(pages, "_host", "_page", "_template")
+    pages = pages.withColumn("_host", host_of(F.col("url")))
     pages = pages.withColumn("_page", F.xxhash64("_host", "html"))
     own = pages.drop("_host", "_page")
     at = own.columns.index("html")
@@ -260,4 +263,4 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
                 [*batch.schema.names[:-1], "text", "n_chars"],
             )
 
-    return map_batches(joined, read, extended(own, "text string, n_chars bigint"))
+    return put_back(map_batches(joined, read, extended(own, "text string, n_chars bigint")), taken).select(*names, "text", "n_chars")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import grouped_by, map_batches, release, slices, stored, utf8
+from logweave.llm.common import grouped_by, map_batches, put_back, release, set_aside, slices, stored, utf8
 from logweave.llm.hashing import inside_row, mix, odd_numbers, runs, words
 from logweave.operators.components import connected_components
 from logweave.operators.joins import lookup_join
@@ -302,6 +302,6 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     """The documents that name their class; texts without words all stay, of rows equal in id and text one."""
     classes = near_duplicates(docs)
     names = classes.where(F.col("row") == F.col("class_row")).select("row").distinct()
-    kept = docs.withColumn("_row", row_key())
-    once = kept.join(names, kept["_row"] == names["row"], "left_semi")
-    return once.dropDuplicates(["_row"]).select(*docs.columns)
+    kept, taken = set_aside(docs, "_row")
+    once = kept.withColumn("_row", row_key()).join(names.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    return put_back(once.dropDuplicates(["_row"]).drop("_row"), taken).select(*docs.columns)

@@ -62,8 +62,11 @@ class Network:
         return [self.x, self.u, self.b, self.w, self.c]
 
 
-def _read(net: Network, way: int, text: np.ndarray, keep: bool):
-    """States after each byte of ``text`` (steps, columns) in one direction, and what the way back needs."""
+def _read(net: Network, way: int, text: np.ndarray, keep: bool, inside: np.ndarray | None = None):
+    """States after each byte of ``text`` (steps, columns) in one direction, and what the way back needs.
+
+    Outside of ``inside`` the state stays zero, so that a window reads alike whatever stands beside it.
+    """
     steps, n = text.shape
     h3 = net.u.shape[1]
     h = h3 // 3
@@ -98,6 +101,8 @@ def _read(net: Network, way: int, text: np.ndarray, keep: bool):
         np.subtract(state, cand, out=new)
         new *= z
         new += cand
+        if inside is not None:
+            new *= inside[t]
         state = new
     return states, kept
 
@@ -115,7 +120,8 @@ def gradients(net: Network, text: np.ndarray, used: np.ndarray, gold: np.ndarray
     """Mean loss over the bytes ``used`` and its gradients, by backpropagation through time."""
     steps, n = text.shape
     h = net.u.shape[2]
-    runs = [_read(net, way, text, True) for way in (0, 1)]
+    inside = used.astype(net.x.dtype)
+    runs = [_read(net, way, text, True, inside) for way in (0, 1)]
     both = np.concatenate([runs[0][0], runs[1][0]], axis=1)
     p = _label(net, both)
     weight = (used / max(1, used.sum())).astype(np.float32)
@@ -130,7 +136,7 @@ def gradients(net: Network, text: np.ndarray, used: np.ndarray, gold: np.ndarray
         later = np.zeros((h, n), np.float32)
         for t in range(steps - 1, -1, -1) if way == 0 else range(steps):
             state, soft, z, r, inner, cand = kept[t]
-            d = from_above[t] + later
+            d = (from_above[t] + later) * inside[t]
             dcand = d * (1 - z) * (1 - np.abs(cand)) ** 2
             dinner = dcand * r
             dgates = np.concatenate([d * (state - cand), dcand * inner]) * 0.5 * (1 - np.abs(soft)) ** 2
@@ -192,7 +198,8 @@ def predict(net: Network, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         inside = np.arange(steps)[:, None] < length[part]
         text = data[np.minimum(at, len(data) - 1)]
         text[~inside] = 0
-        p = _label(net, np.concatenate([_read(net, way, text, False)[0] for way in (0, 1)], axis=1))
+        mask = None if inside.all() else inside.astype(np.float32)
+        p = _label(net, np.concatenate([_read(net, way, text, False, mask)[0] for way in (0, 1)], axis=1))
         np.add.at(sums, row[part], np.einsum("tln,tn->nl", p, inside.astype(np.float32), optimize=True))
     return sums / np.maximum(sizes, 1)[:, None]
 

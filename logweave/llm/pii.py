@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import extended, joined_spans, map_batches, sha256, stored, texts_of
+from logweave.llm.common import extended, joined_spans, map_batches, put_back, set_aside, sha256, stored, texts_of
 
 WINDOW = 5
 SUPPORT = 5
@@ -270,6 +270,8 @@ _CLASS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by the name of its kind, disclosing terms generalised or removed."""
+    columns = docs.columns
+    docs, taken = set_aside(docs, "pii_spans", "_row", "_more")
     at = docs.columns.index("text")
 
     def general(value: str) -> str:
@@ -291,7 +293,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     found = find_personal(docs)
-    return map_batches(found, clean, docs.drop("pii_spans").schema)
+    return put_back(map_batches(found, clean, docs.schema), taken).select(*columns)
 
 
 def personal_digest(found: DataFrame) -> DataFrame:

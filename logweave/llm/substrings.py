@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import extended, map_batches, release, sha256, slices, stored, texts_of, utf8
+from logweave.llm.common import map_batches, put_back, release, set_aside, sha256, slices, stored, texts_of, utf8
 from logweave.llm.hashing import inside_row, runs, words
 
 LENGTH = 20
@@ -299,7 +299,8 @@ def _matched(passages: DataFrame, length: int, load_words: int) -> DataFrame:
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORDS, load_words: int = LOAD_WORDS) -> DataFrame:
     """``docs`` with ``repeats array<struct<start, end>>``: word ranges to remove, sorted, apart; a column of that name is replaced."""
-    docs = docs.drop("repeats")
+    names = [c for c in docs.columns if c != "repeats"]
+    docs, taken = set_aside(docs.drop("repeats"), *_KEY)
     gram = min(GRAM, length)
     keyed = _keyed(docs)
     hashes = stored(_repeated_hashes(keyed, length, gram))
@@ -316,7 +317,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
     matched = _matched(texts, length, load_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("repeats"))
     matched = stored(matched)
     release(texts)
-    return keyed.join(matched, _KEY, "left").drop(*_KEY)
+    return put_back(keyed.join(matched, _KEY, "left").drop(*_KEY), taken).select(*names, "repeats")
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -354,8 +355,9 @@ def repeat_digest(found: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; the white space of what stays is unchanged."""
+    columns = docs.columns
+    docs, taken = set_aside(docs, "repeats")
     found = find_repeats(docs, length)
-    columns = [c for c in docs.columns if c != "repeats"]
     at = columns.index("text")
 
     def read(batches):
@@ -373,4 +375,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1]
             )
 
-    return map_batches(found.select(*columns, "repeats"), read, docs.select(*columns).schema)
+    return put_back(map_batches(found, read, docs.schema), taken).select(*columns)
