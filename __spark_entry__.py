@@ -28,7 +28,7 @@ from logweave.plans.extract import mine, prepare, template_table  # noqa: E402
 from logweave.plans.presets import PRESETS  # noqa: E402
 from logweave.session import materialize, shared_dir, ship  # noqa: E402
 from logweave.sources import registry as reg  # noqa: E402
-from logweave.sources.fields import LineFormat, parse_lines  # noqa: E402
+from logweave.sources.fields import parse_lines  # noqa: E402
 from logweave.sources.lines import read_log_lines  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,8 +127,10 @@ _RAW_SQL = "raw as (select event_id + 1 as LineID, " + _RAW.format(
 
 
 def regex_sql(log_format: str) -> str:
-    """The expression of a line format without the parts only Java needs."""
-    return LineFormat.compile(log_format).regex.removeprefix("(?s)").removesuffix(r"\z") + "$"
+    """The expression of a line format, written out from its rules, without those of the engine."""
+    fields = {"": "(.+?)", "<": "(.+?) *", ">": " *(.+?)", "^": " *(.+?) *"}
+    parts = re.split(r"\{\w+:?([<>^]?)\}", log_format)  # literals, and between them how fields are aligned
+    return "^" + "".join(fields[p] if i % 2 else re.sub(r"([^\w ,:/-])", r"\\\1", p) for i, p in enumerate(parts)) + "$"
 
 
 @query(
@@ -231,7 +233,7 @@ def _rendered(preset, sql: bool) -> str:
 
 
 def _preset_sql(preset) -> str:
-    names = LineFormat.compile(preset.log_format).fields
+    names = re.findall(r"\{(\w+)", preset.log_format)
     if preset.timestamp_format == "epoch":
         ts = f"{preset.timestamp_fields[0]}::bigint"
     else:
@@ -461,14 +463,14 @@ def template_transition(spark, sf):
 @query(
     "template_transition_gapped",
     MATRIX_SQL
-    + ", g as (select * from s where LineID % 7 <> 3 and not (LineID between 3000 and 5500))"
+    + ", g as (select * replace (LineID * 3 + LineID % 3 + case when LineID > 3000 then 1000000 else 0 end as LineID) from s)"
     + _steps_sql("g")
     + _TRANSITION_SQL
     + " select * from tr",
 )
 def template_transition_gapped(spark, sf):
     s = structured(spark, sf)
-    gapped = s.where("LineID % 7 <> 3 and not (LineID between 3000 and 5500)")
+    gapped = s.withColumn("LineID", F.expr("LineID * 3 + LineID % 3 + if(LineID > 3000, 1000000, 0)"))
     return analytics.template_transition(gapped, template_table(s))
 
 
@@ -552,14 +554,14 @@ _BY_LEVEL_SQL = (
 @query(
     "dense_transition",
     _BY_LEVEL_SQL
-    + " select ids.i, "
-    + ", ".join(f"coalesce(sum(value) filter (j = {j}), 0)::bigint as c{j}" for j in range(5))
-    + " from range(5) ids(i) left join tr on tr.i = ids.i group by ids.i",
+    + """ select ids.i, array_to_string(list(coalesce(value, 0)::bigint order by js.j), ' ') as cells
+      from range(5) ids(i) cross join range(5) js(j) left join tr on tr.i = ids.i and tr.j = js.j group by ids.i""",
 )
 def dense_transition(spark, sf):
     s = log(spark, sf).select("LineID", F.col("Level").alias("Template"))
     t = template_table(s)
-    return analytics.dense(analytics.template_transition(s, t), t.count())
+    rows = analytics.dense(analytics.template_transition(s, t), t.count())
+    return rows.select("i", F.concat_ws(" ", F.col("cells").cast("array<string>")).alias("cells"))
 
 
 @query(

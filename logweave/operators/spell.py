@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,20 +17,61 @@ from logweave.functions.text import WILDCARD
 from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, size_of
 
 
-class _Node:
-    __slots__ = ("children", "group", "passing")
+class _Prefixes:
+    """The prefixes of the templates' constants, each with the number of templates that share it.
+
+    A prefix is a number, ``after`` leads from one prefix and a token to the next. ``owner`` holds the template
+    that was the last to end at a prefix, which may have changed since.
+    """
 
     def __init__(self):
-        self.children: dict[str, _Node] = {}
-        self.group: Group | None = None
-        self.passing = 0  # templates whose constants run through this node
+        self.after: dict[tuple[int, str], int] = {}
+        self.sharing: dict[int, int] = {}
+        self.owner: dict[int, Group] = {}
+        self._names = count(1)
+
+    def _steps(self, constants: list[str]) -> list[tuple[int, str]]:
+        """The known steps along ``constants``, as far as they are known."""
+        steps, at = [], 0
+        for token in constants:
+            if (at, token) not in self.after:
+                break
+            steps.append((at, token))
+            at = self.after[at, token]
+        return steps
+
+    def add(self, constants: list[str], group: Group) -> None:
+        known = self._steps(constants)
+        at = self.after[known[-1]] if known else 0
+        for token in constants[len(known) :]:
+            known.append((at, token))
+            self.after[at, token] = further = next(self._names)
+            at = further
+        for step in known:
+            self.sharing[self.after[step]] = self.sharing.get(self.after[step], 0) + 1
+        self.owner[at] = group
+
+    def remove(self, constants: list[str]) -> None:
+        """Forget the prefixes that only this template has; one that others share keeps its owner."""
+        steps = self._steps(constants)
+        alone = next((k for k, step in enumerate(steps) if self.sharing[self.after[step]] == 1), len(steps))
+        for step in steps[:alone]:
+            self.sharing[self.after[step]] -= 1
+        for step in steps[alone:]:
+            at = self.after.pop(step)
+            self.sharing.pop(at, None)
+            self.owner.pop(at, None)
+
+
+def _constants(template: list[str]) -> list[str]:
+    return [t for t in template if t != WILDCARD]
 
 
 class SpellMiner:
     def __init__(self, sim_thr: float):
         self.threshold = np.float32(sim_thr)
         self.groups: list[Group] = []
-        self.root = _Node()
+        self.prefixes = _Prefixes()
         self._needed = lru_cache(maxsize=None)(lambda n: float(self.threshold * np.float32(n)))
 
     def find(self, tokens: list[str]) -> Group | None:
@@ -38,7 +80,7 @@ class SpellMiner:
 
     def open(self, group: Group) -> bool:
         self.groups.append(group)
-        self._link(group)
+        self.prefixes.add(_constants(group.tokens), group)
         return True
 
     def absorb(self, group: Group, tokens: list[str]) -> bool:
@@ -47,20 +89,20 @@ class SpellMiner:
         template = aligned(common_subsequence(tokens, group.tokens), group.tokens)
         if template == group.tokens:
             return False
-        self._unlink(group)
+        self.prefixes.remove(_constants(group.tokens))
         group.tokens = template
-        self._link(group)
+        self.prefixes.add(_constants(template), group)
         return True
 
     def _by_constants(self, tokens, needed):
-        node, matched = self.root, 0
+        at = matched = 0
         for token in tokens:
-            if node.group is not None and matched >= needed:
-                return node.group
-            child = node.children.get(token)
-            if child is not None:
-                node = child
-                matched += 1
+            owner = self.prefixes.owner.get(at)
+            if owner is not None and matched >= needed:
+                return owner
+            further = self.prefixes.after.get((at, token))
+            if further is not None:
+                at, matched = further, matched + 1
         return None
 
     def _by_subsequence(self, tokens, needed):
@@ -87,29 +129,6 @@ class SpellMiner:
                 best, best_rank = group, (length, -len(template))
         return best
 
-    def _link(self, group):
-        node = self.root
-        for token in group.tokens:
-            if token != WILDCARD:
-                node = node.children.setdefault(token, _Node())
-                node.passing += 1
-        node.group = group
-
-    def _unlink(self, group):
-        """Drop the branch used by this template alone; a shared end node keeps pointing to the group."""
-        node = self.root
-        for token in group.tokens:
-            if token == WILDCARD:
-                continue
-            child = node.children.get(token)
-            if child is None:
-                return
-            if child.passing == 1:
-                del node.children[token]
-                return
-            child.passing -= 1
-            node = child
-
 
 def _is_subsequence(short, tokens) -> bool:
     rest = iter(tokens)

@@ -13,7 +13,6 @@ from logweave.operators.sequence import with_next
 from logweave.session import materialize
 
 TILE = 1024  # co-occurrence compares templates in tiles of this side
-DENSE_LIMIT = 2000
 
 
 def _require(df: DataFrame, column: str) -> None:
@@ -153,13 +152,16 @@ def _packing(present: DataFrame) -> tuple[int, int]:
     return (best["pack"], best["last"]) if best else (1, 0)
 
 
-def dense(matrix: DataFrame, dim: int, limit: int = DENSE_LIMIT) -> DataFrame:
-    """One row per i with columns ``c0 … c<dim-1>``, missing cells 0; refused above ``limit``."""
-    if dim > limit:
-        raise ValueError(f"a dense {dim}×{dim} matrix is above the limit of {limit}")
-    cells = matrix.groupBy("i").pivot("j", list(range(dim))).agg(F.first("value"))
-    rows = matrix.sparkSession.range(dim).select(F.col("id").alias("i")).join(cells, "i", "left")
-    return rows.select("i", *[F.coalesce(F.col(f"`{j}`"), F.lit(0)).alias(f"c{j}") for j in range(dim)])
+def dense(matrix: DataFrame, dim: int) -> DataFrame:
+    """``(i, cells)``: one row per i, ``cells`` the ``dim`` values of its row, missing ones 0.
+
+    A row is one array, so no dimension is too large for a plan; it is filled from the cells that exist.
+    """
+    held = matrix.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("held"))
+    rows = matrix.sparkSession.range(dim).select(F.col("id").alias("i")).join(held, "i", "left")
+    nothing = F.lit(0).cast(matrix.schema["value"].dataType)
+    places = F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>")
+    return rows.select("i", F.transform(places, lambda j: F.coalesce(F.col("held")[j], nothing)).alias("cells"))
 
 
 def colour_scale(matrix: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from logweave.functions.text import contains_keyword, in_all
 from logweave.operators.sequence import with_rank
 
 Filters = dict[str, Sequence[str]]
-NEAR = 10_000  # pages that end before this row are cut from a top-k, later ones from a distributed sort
+NEAR = 10_000  # pages that end before this row are cut from a top-k, later ones from a distributed sort; both come sorted
 
 
 def filtered(df: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def page(
         return rows.orderBy(*keys).offset(offset).limit(limit)
     place = F.col("_place")
     wanted = place >= offset if limit < 0 else (place >= offset) & (place < offset + limit)
-    return with_rank(rows, keys, "_place").where(wanted).drop("_place")
+    return with_rank(rows, keys, "_place").where(wanted).orderBy("_place").drop("_place")
 
 
 def next_page(

@@ -95,8 +95,10 @@ def _checked_masks(masks: Iterable) -> list:
             raise ValueError("masks must be [regex, replacement] pairs")
         if not (m[0].isascii() and m[1].isascii()):
             raise ValueError("masks must be ASCII")
+        # named groups are written differently in Java, whose engine runs the masks
+        m = [re.sub(r"\(\?P<", "(?<", m[0]), m[1]]
         try:
-            re.compile(m[0])
+            re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", m[0]))
         except re.error as e:
             raise ValueError(f"invalid mask {m[0]!r}: {e}") from e
         checked.append(m)

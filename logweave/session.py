@@ -27,9 +27,11 @@ _stored: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="logweave-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -26,13 +26,15 @@ class LineFormat:
 
     @classmethod
     def compile(cls, text: str) -> "LineFormat":
-        pieces, fields, end = [], [], 0
-        for m in _FIELD.finditer(text):
-            pieces.append(_literal(text[end : m.start()]))
-            pieces.append(_ALIGNED[m.group(2)])
-            fields.append(m.group(1))
-            end = m.end()
-        pieces.append(_literal(text[end:]))
+        found = list(_FIELD.finditer(text))
+        fields = [m.group(1) for m in found]
+        pieces = [_literal(text[: found[0].start()] if found else text)]
+        for m, following in zip(found, [*found[1:], None]):
+            literal = _literal(text[m.end() : following.start() if following else len(text)])
+            field = _ALIGNED[m.group(2)] + literal
+            # A plain field ends at the first place of its separator: that leaves the most to the field behind,
+            # so no later place can fit if this one does not, and going back over it would be exponential.
+            pieces.append(f"(?>{field})" if literal and following and not m.group(2) else field)
         if not fields:
             raise ValueError(f"no field in line format {text!r}")
         if len(set(fields)) != len(fields):
@@ -100,7 +102,7 @@ def reject_bad(parsed: DataFrame) -> DataFrame:
     """Parity mode: the first line that does not fit fails the job."""
     checked = F.when(
         F.col("reason").isNotNull(),
-        F.raise_error(F.concat(F.lit("The log_format or timestamp_format is invalid at line "), F.col("LineID"))),
+        F.raise_error(F.concat(F.lit("line "), F.col("LineID"), F.lit(" does not fit the "), F.col("reason"))),
     )
     return parsed.withColumn("LineID", F.coalesce(checked.cast("long"), F.col("LineID"))).drop("raw", "reason")
 

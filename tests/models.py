@@ -93,103 +93,94 @@ def jaccard_drain(lines, depth=4, children=100, sim_thr=0.4):
     return _tree(lines, depth, children, sim_thr, False, sim, merge)
 
 
+def _common(a, b):
+    """The common subsequence of two token lists by its recursive definition, the shorter prefix of ``a`` first."""
+    from functools import cache
+
+    @cache
+    def of(i, j):
+        if not i or not j:
+            return ()
+        ways = [of(i - 1, j), of(i, j - 1)]
+        if a[i - 1] == b[j - 1]:
+            ways.append((*of(i - 1, j - 1), a[i - 1]))
+        longest = max(map(len, ways))
+        return next(w for w in ways if len(w) == longest)
+
+    return of(len(a), len(b))
+
+
+def _holds(tokens, short):
+    rest = iter(tokens)
+    return all(t in rest for t in short)
+
+
+def _generalised(template, common):
+    """What is common stays, every run of other tokens is one wildcard; nothing stays if nothing is common."""
+    from itertools import groupby
+
+    left = list(common)
+    signs = [left.pop(0) if left and t == left[0] else W for t in template] if common else []
+    return [t for sign, run in groupby(signs) for t in ([W] if sign == W else run)]
+
+
 def spell(lines, sim_thr=0.5):
-    thr = f32(sim_thr)
-    pool, root = [], {"next": {}, "c": None, "n": 0}
-    out = []
+    """The rules of the miner, stated over all templates so far.
 
-    def constants(c):
-        return [t for t in c.tokens if t != W]
+    ``shared`` counts the templates that begin with a run of constants, ``ends`` names the one that ended there last.
+    """
+    from collections import Counter
 
-    def link(c):
-        node = root
-        for t in constants(c):
-            node = node["next"].setdefault(t, {"next": {}, "c": None, "n": 0})
-            node["n"] += 1
-        node["c"] = c
+    thr, pool, shared, ends, out = f32(sim_thr), [], Counter(), {}, []
 
-    def unlink(c):
-        node = root
-        for t in constants(c):
-            if t not in node["next"]:
-                return
-            child = node["next"][t]
-            if child["n"] == 1:
-                del node["next"][t]
-                return
-            child["n"] -= 1
-            node = child
+    def prefixes(cluster):
+        constants = tuple(t for t in cluster.tokens if t != W)
+        return [constants[: k + 1] for k in range(len(constants))]
 
-    def table(a, b):
-        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i][j] = d[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(d[i - 1][j], d[i][j - 1])
-        return d
+    def enter(cluster):
+        own = prefixes(cluster)
+        shared.update(own)
+        ends[own[-1] if own else ()] = cluster
 
-    def find(tokens):
-        need = thr * f32(len(tokens))
-        node, matched = root, 0
+    def leave(cluster):
+        for k, prefix in enumerate(prefixes(cluster)):
+            if shared[prefix] <= 1:
+                for gone in prefixes(cluster)[k:]:
+                    shared.pop(gone, None)
+                    ends.pop(gone, None)
+                return
+            shared[prefix] -= 1
+
+    def by_prefix(tokens, need):
+        seen = ()
         for t in tokens:
-            if node["c"] is not None and f32(matched) >= need:
-                return node["c"]
-            if t in node["next"]:
-                node = node["next"][t]
-                matched += 1
-        for c in pool:
-            if f32(len(c.tokens)) < need:
-                continue
-            k = 0
-            for t in tokens:
-                if k < len(c.tokens) and t == c.tokens[k]:
-                    k += 1
-            if k == len(c.tokens):
-                return c
-        best, size = None, 0
-        for c in pool:
-            least = max(math.ceil(need), math.ceil(thr * f32(len(c.tokens))))
-            n = table(tokens, c.tokens)[-1][-1]
-            if n == 0 or n < least:
-                continue
-            if n > size or (n == size and len(c.tokens) < len(best.tokens)):
-                best, size = c, n
-        return best
+            if seen in ends and f32(len(seen)) >= need:
+                return ends[seen]
+            seen = (*seen, t) if shared[(*seen, t)] else seen
+        return None
+
+    def by_holding(tokens, need):
+        return next((c for c in pool if f32(len(c.tokens)) >= need and _holds(tokens, c.tokens)), None)
+
+    def by_common(tokens, need):
+        sized = [(len(_common(tokens, c.tokens)), -len(c.tokens), -k, c) for k, c in enumerate(pool)]
+        fit = [s for s in sized if s[0] and s[0] >= max(math.ceil(need), math.ceil(thr * f32(-s[1])))]
+        return max(fit, key=lambda s: s[:3])[3] if fit else None
 
     for tokens in lines:
-        c = find(tokens)
-        if c is None:
-            c = _Cluster(tokens)
-            pool.append(c)
-            link(c)
+        need = thr * f32(len(tokens))
+        cluster = by_prefix(tokens, need) or by_holding(tokens, need) or by_common(tokens, need)
+        if cluster is None:
+            cluster = _Cluster(tokens)
+            pool.append(cluster)
+            enter(cluster)
         else:
-            d = table(tokens, c.tokens)
-            i, j, common = len(tokens), len(c.tokens), []
-            while i and j:
-                if d[i][j] == d[i - 1][j]:
-                    i -= 1
-                elif d[i][j] == d[i][j - 1]:
-                    j -= 1
-                else:
-                    common.insert(0, tokens[i - 1])
-                    i, j = i - 1, j - 1
-            new, k = [], 0
-            if common:
-                for pos, t in enumerate(c.tokens):
-                    if k < len(common) and t == common[k]:
-                        new.append(t)
-                        k += 1
-                    else:
-                        new.append(W)
-                    if k == len(common):
-                        if pos < len(c.tokens) - 1:
-                            new.append(W)
-                        break
-            new = [t for p, t in enumerate(new) if not (t == W and p and new[p - 1] == W)]
-            if new != c.tokens:
-                unlink(c)
-                c.tokens = new
-                link(c)
-        out.append(c)
+            changed = _generalised(cluster.tokens, _common(tokens, cluster.tokens))
+            if changed != cluster.tokens:
+                leave(cluster)
+                cluster.tokens = changed
+                enter(cluster)
+        out.append(cluster)
     return [" ".join(c.tokens) for c in out]
 
 

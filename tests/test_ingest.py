@@ -166,7 +166,7 @@ def test_extract_file(spark, tmp_path):
 def test_bad_lines_fail_or_are_set_aside(spark):
     raw = [(1, "10:00:00 INFO: x"), (2, "nonsense"), (3, "99:00:00 INFO: x")]
     lines = spark.createDataFrame(raw, "LineID long, raw string")
-    with pytest.raises(Exception, match="invalid at line"):
+    with pytest.raises(Exception, match="does not fit the"):
         extract(lines, CONFIG)
     result = extract(lines, CONFIG, on_bad="quarantine")
     assert [r["LineID"] for r in result.structured.collect()] == [1]
@@ -182,3 +182,13 @@ def test_masks_and_tuning_options(spark):
     assert (full, user) == ("from <#IP#> x", "from 10.0.0.1:80 x")
     assert config.parameters("Brain") == {"var_thr": 7}
     assert config.parameters("Brain", tuned=False) == {"var_thr": 2}
+
+
+def test_a_line_without_its_separator_is_refused_at_once(spark):
+    import time
+
+    preset = PRESETS["Thunderbird"]
+    lines = spark.createDataFrame([(i, " ".join(["tok"] * (150 + i))) for i in range(20)], "LineID long, raw string")
+    start = time.time()
+    parsed = parse_lines(lines, preset.log_format, preset.timestamp_fields, preset.timestamp_format)
+    assert {r["reason"] for r in parsed.collect()} == {"line format"} and time.time() - start < 60
