@@ -7,9 +7,9 @@ at least one, and nodes with equal token there go on together. A bucket of at mo
 brute force; larger ones are split again, ``DEPTH`` times, and what is still larger is compared in pairs of
 blocks. Runs are repeated until the recall of a pair at the threshold is ``RECALL``; see ``runs_needed``.
 
-Brute force compares tokens and hands on a spanning forest of each bucket, never its pairs. Nodes thus joined
-are candidates; then the exact Jaccard similarity of all pairs of a candidate component is computed from the whole
-texts, again in pairs of bounded blocks. Counts of links and a forest of the true links leave these tasks.
+Brute force compares tokens and hands on, for each node, the first of its component in the bucket, never the pairs.
+Nodes thus joined are candidates; then the exact Jaccard similarity of all pairs of a candidate component is computed
+from the whole texts, again in pairs of bounded blocks. Counts of links and components of true links leave these tasks.
 
 So no bucket, group of near copies or hot passage is listed in one task, and copies cost one node. Work in
 a component of ``m`` different sets grows with its square, as any exact count of links does, but in blocks.
@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import grouped_by, map_batches, put_back, release, set_aside, slices, stored, utf8
 from logweave.llm.hashing import inside_row, mix, odd_numbers, runs, words
-from logweave.operators.components import connected_components
 from logweave.operators.joins import lookup_join
 
 SHINGLE = 5
 JACCARD = 0.8
 WIDTH = 64
-BUCKET = 1024
+BUCKET = 4096
 DEPTH = 4
 RECALL = 0.999
 #: Pairs whose tokens agree less are no candidates; four standard deviations below the threshold.
@@ -145,10 +144,8 @@ def buckets(nodes: DataFrame, run_count: int, bucket: int = BUCKET, depth: int =
     rows = _split(tokens.withColumn("root", roots), F.col("root")).select("key", "node")
     done = None
     for level in range(depth):
-        rows = stored(rows)
         sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         counted = stored(rows.join(sizes, "key"))
-        release(rows)
         small = counted.where(F.col("n") <= bucket).select("key", "node")
         done = small if done is None else done.unionByName(small)
         large = counted.where(F.col("n") > bucket)
@@ -162,29 +159,50 @@ def buckets(nodes: DataFrame, run_count: int, bucket: int = BUCKET, depth: int =
     return done
 
 
-def _forest(n: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of the graph in which ``near(i, others)`` tells which of ``others`` touch ``i``."""
-    left = np.ones(n, bool)
-    edges: list[tuple[int, int]] = []
+def _names(n: int, near) -> np.ndarray:
+    """For each of ``n`` nodes the first one of its component; ``near(i, others)`` tells which of ``others`` touch ``i``."""
+    name = np.full(n, -1)
     for begin in range(n):
-        if not left[begin]:
+        if name[begin] >= 0:
             continue
-        left[begin] = False
+        name[begin] = begin
         todo = [begin]
         while todo:
             i = todo.pop()
-            others = np.flatnonzero(left)
+            others = np.flatnonzero(name < 0)
             if not len(others):
-                return edges
+                return name
             found = others[near(i, others)]
-            left[found] = False
-            edges += [(i, int(j)) for j in found]
+            name[found] = begin
             todo += found.tolist()
-    return edges
+    return name
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` edges to ``(node, component)``, by contraction.
+
+    Every node points to the least of itself and its neighbours, and edges are drawn between the nodes pointed at
+    until none is left. The first round orders nodes by id, which settles stars; later rounds by a hash that
+    changes, so that chains shrink by a constant factor as well. Minima are combined before the shuffle.
+    """
+    edges, named, turn = stored(edges), None, 0
+    while True:
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.lit(0)).alias("r"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("node"), F.least("m", rank("u"))["id"].alias("component"))
+        least = stored(least)
+        named = least if named is None else stored(
+            named.join(least.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        )
+        drawn = edges.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").where("a <> b")
+        edges = stored(drawn.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        if edges.isEmpty():
+            return named
+        turn += 1
 
 
 def candidate_links(nodes: DataFrame, found: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """``(u, v)``: a spanning forest, per bucket, of the nodes whose tokens agree enough."""
+    """``(u, v)``: per bucket, the nodes joined by enough equal tokens, each with the first of its component."""
     filled = found.join(nodes.select("node", "tokens"), "node")
     ordered = filled.repartition("key").sortWithinPartitions("key", "node")
 
@@ -192,13 +210,12 @@ def candidate_links(nodes: DataFrame, found: DataFrame, alike: float = ALIKE) ->
         for group in grouped_by(batches, "key"):
             ids = group.column("node").to_numpy()
             tokens = group.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-            edges = _forest(len(ids), lambda i, others: (tokens[others] == tokens[i]).sum(axis=1) >= alike * WIDTH)
-            if edges:
-                a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["u", "v"])
+            name = _names(len(ids), lambda i, others: (tokens[others] == tokens[i]).sum(axis=1) >= alike * WIDTH)
+            linked = np.flatnonzero(name != np.arange(len(ids)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[name[linked]])], ["u", "v"])
 
-    pairs = map_batches(ordered.select("key", "node", "tokens"), read, "u bigint, v bigint")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return map_batches(ordered.select("key", "node", "tokens"), read, "u bigint, v bigint").distinct()
 
 
 def overlaps(members: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -241,7 +258,7 @@ def overlaps(members: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, components: DataFrame, least: float = JACCARD) -> DataFrame:
-    """``(u, v, links)``: per block pair a spanning forest of the true links (``v`` not null) and link counts of ``u``."""
+    """``(u, v, links)``: per block pair, the links of each node and the first node of its component of true links."""
     sized = nodes.join(components, "node").select("node", "row", "one", "two", "copies", "members", "component")
     totals = sized.groupBy("component").agg(F.count("*").alias("m"), F.sum("members").alias("total"))
     chosen = sized.join(totals, "component").withColumn("weight", F.lit(1))
@@ -260,13 +277,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, components: DataFrame, lea
             np.fill_diagonal(near, False)
             near &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
             links = near @ copies
-            edges = _forest(len(ids), lambda i, others: near[i, others])
-            a, b = np.array(edges, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids, ids[a]])), pa.array([None] * len(ids) + ids[b].tolist(), pa.int64()),
-                 pa.array(np.concatenate([links, np.zeros(len(a), np.int64)]), pa.int64())],
-                ["u", "v", "links"],
-            )
+            name = _names(len(ids), lambda i, others: near[i, others])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[name]), pa.array(links, pa.int64())], ["u", "v", "links"])
 
     return map_batches(ordered, read, "u bigint, v bigint, links bigint")
 
@@ -284,10 +296,9 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     )
     nodes = stored(sets.select(F.monotonically_increasing_id().alias("node"), F.col("name.row").alias("row"), "*"))
     edges = stored(candidate_links(nodes, buckets(nodes, runs_needed(recall))))
-    links = stored(verified_links(docs, nodes, connected_components(edges)))
-    release(edges)
+    links = stored(verified_links(docs, nodes, components(edges)))
     counts = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    parts = connected_components(links.where("v is not null").select("u", "v"))
+    parts = components(links.where("u <> v").select("u", "v"))
     classes = nodes.join(parts, "node").groupBy("component").agg(F.min("name").alias("best"))
     best = parts.join(classes, "component").select("node", "best")
     full = nodes.join(counts, "node", "left").join(best, "node", "left").select(
