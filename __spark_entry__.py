@@ -23,8 +23,8 @@ from logweave.functions import text, timing  # noqa: E402
 from logweave.operators.density import density_clusters, neighbour_counts  # noqa: E402
 from logweave.operators.sequence import with_next, with_rank  # noqa: E402
 from logweave.plans import analytics, browse, embedding  # noqa: E402
-from logweave.plans.config import BUILTIN_MASKS  # noqa: E402
-from logweave.plans.extract import mine, prepare, template_table  # noqa: E402
+from logweave.plans.config import BUILTIN_MASKS, FormatConfig  # noqa: E402
+from logweave.plans.extract import extract_files, mine, prepare, template_table  # noqa: E402
 from logweave.plans.presets import PRESETS  # noqa: E402
 from logweave.session import materialize, shared_dir, ship  # noqa: E402
 from logweave.sources import registry as reg  # noqa: E402
@@ -697,6 +697,28 @@ def drain_low_threshold(spark, sf):
     return mined(spark, sf, "Drain", sim_thr=0.2).select("LineID", "Template")
 
 
+_FILES_SQL = f"""with {PREPARED_SQL}, lines as (select LineID, LineID % 3 as file, str_split(PaddedContent, ' ') as tokens from p),
+    firsts as (select file, tokens[2] as key, row_number() over (partition by file order by min(LineID)) as place
+      from lines group by 1, 2),
+    routed as (select LineID, tokens, concat_ws(' ', lines.file, case when place <= 99 then tokens[2] else '*' end) as own
+      from lines join firsts on tokens[2] = key and lines.file = firsts.file)"""
+
+
+@query(
+    "extract_several_files",
+    "select LineID - 1 as event, Template from (" + _leaf_merge_sql("concat_ws(' ', len(tokens), tokens[1], own)", _FILES_SQL) + ")",
+)
+def extract_several_files(spark, sf):
+    """Three text files, each a log of its own, through the whole extraction."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    for k in range(3):
+        lines = raw_lines(spark, sf).where(F.col("LineID") % 3 == k)
+        lines.coalesce(1).sortWithinPartitions("LineID").select("raw").write.text(f"{folder}/{k}")
+    config = FormatConfig("Raw", _RAW_FORMAT, ["Date", "Time"], "%Y-%m-%d %H:%M:%S,%g", delimiters=DELIMITERS)
+    found = extract_files(spark, [f"{folder}/{k}" for k in range(3)], config, miner="Drain", sim_thr=0.2)
+    return found.structured.select(F.col("EventId").cast("long").alias("event"), "Template")
+
+
 @query(
     "jaccard_drain_low_threshold",
     _leaf_merge_sql("concat_ws(' ', tokens[1], own, tokens[3])", _ROUTED_SQL),

@@ -26,6 +26,10 @@ PARAMETERS = {
 }
 
 
+#: Columns that parsing and mining add; Spark does not tell ``Raw`` from ``raw``.
+RESERVED = frozenset(("lineid", "timestamp", "raw", "_raw", "reason", "template", "maskedcontent", "paddedcontent", "source_path"))
+
+
 def check_parameters(miner: str, params: dict) -> dict:
     """Defaults filled in; unknown names and values out of range are errors."""
     if miner not in PARAMETERS:
@@ -63,6 +67,9 @@ class FormatConfig:
         for f in self.timestamp_fields:
             if f not in fields:
                 raise ValueError(f"timestamp field {f!r} is not in the line format")
+        for f in set(fields) - set(self.timestamp_fields):
+            if f.lower() in RESERVED:
+                raise ValueError(f"{f!r} is a column of the extraction itself, name the field differently")
         if "Content" not in fields:
             raise ValueError("the line format needs a {Content} field")
         if not self.delimiters.isascii():

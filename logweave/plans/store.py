@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ class LogStore:
 
     def _replace(self, registry: DataFrame) -> None:
         # a table cannot be overwritten while it is read, so the new state is written beside it first
-        beside = f"{self.registry_table}_next"
+        beside = f"{self.registry_table}_{uuid.uuid4().hex}"
         registry.write.mode("overwrite").saveAsTable(beside)
         self.spark.table(beside).write.mode("overwrite").saveAsTable(self.registry_table)
         self.drop_table(beside)
@@ -61,13 +63,11 @@ class LogStore:
         found = self.logs().where(F.col("id") == log_id).select("log_path").first()
         if found is None:
             raise ValueError(f"no log with id {log_id}")
-        self.update(log_id, "format_type", config.name)
-        self.update(log_id, "extract_method", miner)
         result = extract_file(self.spark, found["log_path"], config, miner=miner, **options)
         self.write(log_id, result)
         n = self.row_count(f"s_{log_id}")
-        self.update(log_id, "is_extracted", True)
-        self.update(log_id, "line_count", n)
+        values = {"format_type": config.name, "extract_method": miner, "is_extracted": True, "line_count": n}
+        self._replace(reduce(lambda table, item: reg.update_log(table, log_id, *item), values.items(), self._registry()))
         return n
 
     def write(self, log_id: int, result: Extraction) -> None:

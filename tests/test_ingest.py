@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import timing
 from logweave.plans.config import FormatConfig
-from logweave.plans.extract import extract, extract_file
+from logweave.plans.extract import extract, extract_file, extract_files
 from logweave.plans.presets import PRESETS
 from logweave.sources.fields import LineFormat, parse_lines
 from logweave.sources.lines import read_log_lines
@@ -192,3 +192,23 @@ def test_a_line_without_its_separator_is_refused_at_once(spark):
     start = time.time()
     parsed = parse_lines(lines, preset.log_format, preset.timestamp_fields, preset.timestamp_format)
     assert {r["reason"] for r in parsed.collect()} == {"line format"} and time.time() - start < 60
+
+
+def test_reserved_field_names_and_named_groups():
+    with pytest.raises(ValueError, match="extraction itself"):
+        FormatConfig("x", "{Date} {Raw} {Content}", ["Date"], "%Y-%m-%d")
+    config = FormatConfig("x", "{Date} {Content}", ["Date"], "%Y-%m-%d", [[r"(?P<A>a+)(?<!b)", "<#A#>"]])
+    assert config.user_masks[0][0] == "(?<A>a+)(?<!b)"
+
+
+def test_several_files_are_several_logs(spark, tmp_path):
+    for name, words in (("a", "one two"), ("b", "six ten")):
+        (tmp_path / f"{name}.log").write_text("".join(f"2024-01-0{i} {words} {i}\n" for i in range(1, 5)))
+    config = FormatConfig("x", "{Date} {Content}", ["Date"], "%Y-%m-%d")
+    with pytest.raises(ValueError, match="several files"):
+        extract_file(spark, str(tmp_path), config)
+    for miner in ("Brain", "Spell"):
+        out = extract_files(spark, str(tmp_path), config, miner=miner)
+        rows = out.structured.collect()
+        assert len(rows) == 8 and {(r.source_path[-5:], r.LineID) for r in rows} == {(f, i) for f in ("a.log", "b.log") for i in range(1, 5)}
+        assert all(("one" in r.Template) == r.source_path.endswith("a.log") for r in rows)
