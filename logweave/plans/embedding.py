@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from collections.abc import Callable
+
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,24 +13,31 @@ from logweave.functions.text import WILDCARD, tokenize
 from logweave.operators.density import density_clusters
 from logweave.session import materialize
 
-FEATURES = 256  # the covariance of so many columns is one small matrix
+FEATURES = 256  # directions of the random projection; the covariance of so many columns is one small matrix
 AXES = 15
 
 
 def embed_templates(templates: DataFrame, features: int = FEATURES) -> DataFrame:
-    """``(id, vector)``: unit TF-IDF vectors of the constant tokens of each template."""
-    words = templates.select(
-        F.col("template_id").alias("id"),
-        F.filter(tokenize(F.col("Template")), lambda t: (t != WILDCARD) & (t != "")).alias("words"),
-    )
-    steps = Pipeline(
-        stages=[
-            HashingTF(numFeatures=features, inputCol="words", outputCol="counts"),
-            IDF(inputCol="counts", outputCol="weights"),
-            Normalizer(inputCol="weights", outputCol="unit"),
-        ]
-    )
-    return steps.fit(words).transform(words).select("id", vector_to_array("unit").alias("vector"))
+    """``(id, vector)``: unit TF-IDF vectors of the constant tokens of each template, projected at random.
+
+    Every token is a dimension of its own. It has a sign in each of ``features`` directions, fixed by a hash of token
+    and direction, so that products of vectors survive the projection up to a few hundredths.
+    """
+    ids = templates.select(F.col("template_id").alias("id"), tokenize(F.col("Template")).alias("words"))
+    used = F.filter("words", lambda t: (t != WILDCARD) & (t != ""))
+    counts = ids.select("id", F.explode(used).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    holders = counts.groupBy("token").agg(F.count("*").alias("df"))
+    rows = ids.agg(F.count("*").alias("rows"))  # one row
+    weight = F.col("tf") * F.log((F.col("rows") + 1) / (F.col("df") + 1))
+    weighed = counts.join(holders, "token").join(F.broadcast(rows)).select("id", F.struct("token", weight.alias("weight")).alias("t"))
+    held = weighed.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("held"), F.sqrt(F.sum(F.col("t.weight") ** 2)).alias("norm"))
+
+    def along(direction):
+        sign = lambda t: F.when(F.pmod(F.xxhash64(t["token"], direction), F.lit(2)) == 0, t["weight"]).otherwise(-t["weight"])
+        total = F.aggregate("held", F.lit(0.0), lambda s, t: s + sign(t)) / (F.col("norm") * features**0.5)
+        return F.when(F.col("norm") > 0, total).otherwise(0.0)
+
+    return ids.join(held, "id", "left").select("id", F.transform(F.sequence(F.lit(0), F.lit(features - 1)), along).alias("vector"))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -60,5 +68,8 @@ def cluster_vectors(vectors: DataFrame, eps: float = 0.5, min_points: int = 5, a
     return plane.join(density_clusters(reduced, eps, min_points), "id")
 
 
-def cluster_templates(templates: DataFrame, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    return cluster_vectors(embed_templates(templates), eps, min_points).withColumnRenamed("id", "template_id")
+def cluster_templates(
+    templates: DataFrame, eps: float = 0.5, min_points: int = 5, embed: Callable[[DataFrame], DataFrame] = embed_templates
+) -> DataFrame:
+    """``embed`` turns the template table into ``(id, vector)``; any model of that shape can stand in."""
+    return cluster_vectors(embed(templates), eps, min_points).withColumnRenamed("id", "template_id")
