@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from logweave.session import materialize
 
 BROADCAST_BYTES = 64 << 20
-HEAVY_SHARE = 256  # a key is hot when it holds more than 1/256 of the rows, so at most 255 are
-SALTS = 64
+TASK_ROWS = 1_000_000  # the rows of a key beyond this many are spread over further tasks
 
 
 def _row_bytes(table: DataFrame) -> Column:
@@ -40,22 +39,20 @@ def lookup_join(
     """Join ``rows`` to ``table``, whose ``weight`` column holds the number of rows per key.
 
     The table is written once and measured. Within ``max_bytes`` it is broadcast and ``rows`` do not
-    move. Beyond, it is a shuffle join in which the rows of every hot key are spread over ``SALTS``
-    partitions and the table row of that key is copied to each. The weight column is dropped.
+    move. Beyond, it is a shuffle join in which the rows of a key are spread over as many salts as it fills
+    tasks of ``TASK_ROWS`` rows, and the table row of that key is copied to each. The weight column is dropped.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     table = materialize(table)
-    size = table.agg(F.sum(_row_bytes(table)).alias("bytes"), F.sum(weight).alias("rows")).first()
+    size = table.agg(F.sum(_row_bytes(table)).alias("bytes")).first()
     if (size["bytes"] or 0) <= max_bytes:
         return rows.join(F.broadcast(table.drop(weight)), keys, how)
-    hot = F.col(weight) * HEAVY_SHARE > F.lit(size["rows"])
-    hot_keys = table.where(hot).select(*keys, F.lit(True).alias("_hot"))
+    salts = F.ceil(F.col(weight) / TASK_ROWS).cast("int")
+    # keys of more than one task: no more of them than tasks, a millionth of the rows
+    hot_keys = table.where(salts > 1).select(*keys, salts.alias("_salts"))
     salted_rows = rows.join(F.broadcast(hot_keys), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
+        "_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).cast("int")
     )
-    salted_table = table.withColumn(
-        "_salt",
-        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop(weight)
-    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt", "_hot")
+    copies = F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)
+    salted_table = table.withColumn("_salt", F.explode(copies)).drop(weight)
+    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt", "_salts")

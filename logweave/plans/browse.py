@@ -60,3 +60,11 @@ def value_histogram(
         rows = rows.where(contains_keyword(F.col(f"`{column}`"), keyword, ignore_case))
     counts = rows.groupBy(F.col(f"`{column}`")).agg(F.count("*").alias("Count"))
     return counts.orderBy(F.desc("Count"), F.asc(f"`{column}`"))
+
+
+def value_page(
+    df: DataFrame, column: str, offset: int, limit: int, keyword: str = "", filters: Filters | None = None, ignore_case: bool = True
+) -> tuple[DataFrame, int]:
+    """A page of ``value_histogram`` and the number of its values on all pages."""
+    values = value_histogram(df, column, keyword, filters, ignore_case)
+    return page(values, offset, limit, order=(F.desc("Count"), F.asc(f"`{column}`"))), values.count()

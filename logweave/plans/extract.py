@@ -77,6 +77,7 @@ def extract(
     tuned: bool = True,
     on_bad: str = "fail",
     block_lines: int | None = None,
+    default_year: int = 1900,
     **params,
 ) -> Extraction:
     """Parse, mask and mine numbered lines ``(LineID, raw)``.
@@ -86,7 +87,7 @@ def extract(
     """
     if masks not in ("config", "user") or on_bad not in ("fail", "quarantine"):
         raise ValueError("masks is 'config' or 'user', on_bad is 'fail' or 'quarantine'")
-    parsed = parse_lines(lines, config.log_format, config.timestamp_fields, config.timestamp_format)
+    parsed = parse_lines(lines, config.log_format, config.timestamp_fields, config.timestamp_format, default_year)
     bad = None
     if on_bad == "fail":
         good = reject_bad(parsed)

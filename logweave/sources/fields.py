@@ -62,12 +62,13 @@ def capture(raw: Column, fmt: LineFormat) -> Column:
 
 
 def parse_lines(
-    lines: DataFrame, log_format: str, timestamp_fields: Sequence[str], timestamp_format: str
+    lines: DataFrame, log_format: str, timestamp_fields: Sequence[str], timestamp_format: str, default_year: int = 1900
 ) -> DataFrame:
     """``(LineID, raw)`` to ``(LineID, raw, Timestamp, fields…, reason)``.
 
     Several time fields are joined by a space; the format ``epoch`` reads the first one only. ``reason``
-    is NULL for good lines and for blank ones, which keep NULL in every field.
+    is NULL for good lines and for blank ones, which keep NULL in every field. ``default_year`` stands in for
+    a year the time format lacks.
     """
     fmt = LineFormat.compile(log_format)
     column = {name: F.get("_parts", F.lit(i + 1)) for i, name in enumerate(fmt.fields)}
@@ -77,7 +78,7 @@ def parse_lines(
     else:
         text = times[0] if len(times) == 1 else F.concat_ws(" ", *times)
         time_parts = timing.timestamp_parts(text, timestamp_format)
-        timestamp = timing.timestamp_from_parts(F.col("_time"), timestamp_format)
+        timestamp = timing.timestamp_from_parts(F.col("_time"), timestamp_format, default_year)
     kept = [n for n in fmt.fields if n not in timestamp_fields]
     passed = [c for c in lines.columns if c not in ("LineID", "raw")]
     # exploding a one-element array keeps the optimizer from copying the regular expressions into every

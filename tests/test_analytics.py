@@ -116,6 +116,12 @@ def test_colour_scale(spark):
     assert tuple(analytics.colour_scale(df.where("value < 0")).first()) == (None,) * 4
 
 
+def test_value_page(s):
+    everything = [tuple(r) for r in browse.value_histogram(s, "Template").collect()]
+    got, total = browse.value_page(s, "Template", 1, 2)
+    assert [tuple(r) for r in got.collect()] == everything[1:3] and total == len(everything) > 2
+
+
 def test_browse(s):
     assert browse.row_count(s, {"Level": ["INFO"], "Template": ["a", "b"]}) == 4
     near = [r["LineID"] for r in browse.page(s, 1, 2, {"Level": ["INFO"]}).collect()]

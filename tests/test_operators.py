@@ -11,7 +11,8 @@ from logweave.operators.sequence import with_next, with_rank
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_lookup_join_with_a_hot_key_beyond_the_broadcast_size(spark, how):
+def test_lookup_join_with_a_hot_key_beyond_the_broadcast_size(spark, how, monkeypatch):
+    monkeypatch.setattr("logweave.operators.joins.TASK_ROWS", 50)
     keys = ["hot"] * 3000 + [f"k{i}" for i in range(50)] + [None, "missing"]
     rows = spark.createDataFrame(list(enumerate(keys)), "id long, k string")
     table = spark.createDataFrame([("hot", 3000, 1)] + [(f"k{i}", 1, i) for i in range(50)], "k string, n long, v long")
