@@ -32,6 +32,7 @@ from logweave.llm.common import grouped_by, map_batches, texts_of
 WINDOW = 2048
 END = 1
 SHARD_CHARS = 4_000_000
+#: Words whose ids a worker keeps from batch to batch and task to task; about 200 bytes each.
 KEPT_WORDS = 1_000_000
 K1, B = 1.2, 0.75
 
@@ -40,16 +41,17 @@ class WordTokenizer:
     """Token ids by the ``tokenizers`` library, one call per new word.
 
     White space separates tokens of this tokenizer, so ids of a text are those of its words in order. The ids
-    of ``KEPT_WORDS`` words are kept for later batches; a batch with other words asks for them anew.
+    of ``kept`` words are kept for later batches; a batch with other words asks for them anew.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kept = kept
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -58,7 +60,7 @@ class WordTokenizer:
         new = list(set().union(*split).difference(self.known))
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         ids = {word: array(self.code, x.ids).tobytes() for word, x in zip(new, found)}
-        if len(self.known) + len(ids) <= KEPT_WORDS:
+        if len(self.known) + len(ids) <= self.kept:
             self.known.update(ids)
             get = self.known.__getitem__
         else:
@@ -67,23 +69,23 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def word_tokenizer(definition: str) -> WordTokenizer:
+def word_tokenizer(definition: str, kept: int) -> WordTokenizer:
     """The tokenizer of this worker process, with the words it knows from earlier tasks."""
-    if definition not in _tokenizers:
+    if (definition, kept) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[definition] = WordTokenizer(definition)
-    return _tokenizers[definition]
+        _tokenizers[definition, kept] = WordTokenizer(definition, kept)
+    return _tokenizers[definition, kept]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = END, kept_words: int = KEPT_WORDS) -> DataFrame:
     """``(doc_id, shard_key, ids binary)``: the ids of every whole text and the end token behind them."""
     definition = Path(tokenizer).read_text()  # a file of the driver; its content goes to the tasks
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_tokenizer(definition)
+        own = word_tokenizer(definition, kept_words)
         last = array(own.code, [end]).tobytes()
         for batch in batches:
             ids = [x + last for x in own.encode(texts_of(batch.column(2)))]
@@ -188,11 +190,17 @@ def _power_tails(pieces: list[tuple[int, int, int, int, int]], last: int, size:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = True, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32`` and, if asked for, ``ids``."""
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = True, shard_chars: int = SHARD_CHARS,
+    kept_words: int = KEPT_WORDS,
+) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32`` and, if asked for, ``ids``.
+
+    ``kept_words`` trades memory of the workers, which outlives the job, for time; results do not depend on it.
+    """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = -(-chars // shard_chars) or 1
-    ids = tokenized(docs, tokenizer, end).withColumn("shard", F.pmod("shard_key", F.lit(shards)))
+    ids = tokenized(docs, tokenizer, end, kept_words).withColumn("shard", F.pmod("shard_key", F.lit(shards)))
     ordered = ids.repartition("shard").sortWithinPartitions("shard", "shard_key", "doc_id")
     from tokenizers import Tokenizer
 
