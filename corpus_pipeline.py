@@ -48,8 +48,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a training sequence, with its token ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """One row per piece of a training sequence, with its token ids.
+
+    Workers are shared with the other stages, so they keep few words.
+    """
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept_words=50_000)
 
 
 STAGES = [
