@@ -35,6 +35,8 @@ KEPT_WORDS = 500_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 21  # substrings looked up at once
+_LONG = 64  # longer words seldom have company of their length
+_BLOCK = 1 << 14
 
 
 class Vocabulary:
@@ -81,7 +83,10 @@ class Vocabulary:
             step = max(1, _CELLS // (size * min(size, self.longest) or 1))
             for low in range(first, last, step):
                 rows = order[low : min(low + step, last)]
-                if size:
+                if size > _LONG:
+                    for row in rows:
+                        out[row] = self._long(words[row])
+                elif size:
                     for row, ids in zip(rows, self._equal_length([words[r] for r in rows], size)):
                         out[row] = ids
             first = last
@@ -115,6 +120,40 @@ class Vocabulary:
                 piece[end][better] = np.where(found, self.ids[at], -1)[better]
         return self._read_back(chars, length, piece)
 
+    def _long(self, word: str) -> tuple[int, ...]:
+        """A word that has hardly any of its length beside it: its substrings are looked up at once, then it advances alone."""
+        size = len(word)
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        best, length, piece = [0.0] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        for low in range(0, size, _BLOCK):
+            # hashes of the substrings that end in this block
+            begin, high = max(0, low - self.longest), min(size, low + _BLOCK)
+            part = chars[begin:high].astype(np.uint64) + np.uint64(1)
+            ways: list[list[tuple[int, float, int]]] = [[] for _ in range(high - low)]
+            rolled = np.zeros(len(part), np.uint64)
+            for n in range(1, min(self.longest, high) + 1):
+                rolled = part[n - 1 :] if n == 1 else rolled[:-1] * _BASE + part[n - 1 :]
+                key = mix(rolled + np.uint64(n))
+                at = np.searchsorted(self.keys, key)
+                at[at == len(self.keys)] = 0
+                ends = np.arange(begin + n, high + 1)
+                for k in np.flatnonzero((self.keys[at] == key) & (ends > low)):
+                    ways[int(ends[k]) - low - 1].append((n, float(self.scores[at[k]]), int(self.ids[at[k]])))
+            for end, known in enumerate(ways, low + 1):
+                if not known or known[0][0] > 1:
+                    known.insert(0, (1, self.unknown, -1))
+                total, n, found = max((best[end - n] + s, n, i) for n, s, i in known)  # the longer piece wins a tie
+                best[end], length[end], piece[end] = total, n, found
+        ids: list[int] = []
+        end = size
+        while end:
+            if piece[end] >= 0:
+                ids.append(piece[end])
+            else:
+                ids += self.byte_ids[list(word[end - 1].encode("utf-8", "surrogatepass"))[::-1]].tolist()
+            end -= length[end]
+        return tuple(ids[::-1])
+
     def _read_back(self, chars: np.ndarray, length: np.ndarray, piece: np.ndarray) -> list[tuple[int, ...]]:
         """Follow the backpointers of all words at once."""
         n, size = chars.shape

@@ -18,20 +18,21 @@ def vocabulary():
 
 def brute(v, text):
     """The highest sum over all segmentations, by the plain recursion over prefixes."""
-    score = dict(zip(v.ids.tolist(), v.scores.tolist()))
-    by_piece = {p: (i, score[i]) for i, p, _ in v.pieces}
+    if not hasattr(v, "by_piece"):
+        score = dict(zip(v.ids.tolist(), v.scores.tolist()))
+        v.by_piece = {p: score[i] for i, p, _ in v.pieces}
     best = [0.0] + [-np.inf] * len(text)
     for end in range(1, len(text) + 1):
         for start in range(max(0, end - v.longest), end):
             part = text[start:end]
-            s = by_piece[part][1] if part in by_piece else v.unknown if len(part) == 1 else -np.inf
-            best[end] = max(best[end], best[start] + s)
+            best[end] = max(best[end], best[start] + v.by_piece.get(part, v.unknown if len(part) == 1 else -np.inf))
     return best[-1]
 
 
 def total(v, ids):
-    score = dict(zip(v.ids.tolist(), v.scores.tolist()))
-    return sum(score[i] for i in ids)
+    if not hasattr(v, "by_number"):
+        v.by_number = dict(zip(v.ids.tolist(), v.scores.tolist()))
+    return sum(v.by_number[i] for i in ids)
 
 
 def test_small_vocabulary_all_segmentations():
@@ -49,7 +50,7 @@ def test_best_score_on_words(vocabulary, sample):
     library = SentencePieceProcessor(model_file=MODEL)
     words = sorted({w for r in sample.collect() for w in r.text.split()})[:1500]
     for word, ids in zip(words, vocabulary.encode(words)):
-        if all(i in {j for j, _, _ in vocabulary.pieces[:0]} or i > 258 for i in ids.tolist()):
+        if min(ids.tolist()) > 258:
             assert total(vocabulary, ids.tolist()) == brute(vocabulary, "▁" + word)
             other = library.encode(word)
             if min(other) > 258:
@@ -65,6 +66,14 @@ def test_round_trip(vocabulary):
         assert library.decode(vocabulary.encode([t])[0].tolist()) == t
 
 
+def test_long_words_equal_short_ones_method(vocabulary):
+    rng = random.Random(3)
+    for word in ["▁" + "".join(rng.choice("thereinéandё日") for _ in range(n)) for n in (1, 2, 40, 100)] + ["▁▁▁", "日本", "▁theand" * 9]:
+        assert vocabulary._long(word) == vocabulary._equal_length([word], len(word))[0]
+    blocks = "the日in" * 9000  # several blocks
+    assert b"".join(vocabulary.by_id[i] for i in vocabulary._long(blocks)).decode() == blocks
+
+
 def test_words_do_not_depend_on_their_batch(vocabulary):
     words = ["alpha", "betas", "gamma", "unë", "xy"]
     alone = [S.Vocabulary.segment(vocabulary, ["▁" + w])[0] for w in words]
