@@ -223,15 +223,19 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 def link_near(prints: DataFrame, alike: float = ALIKE) -> DataFrame:
     """``(doc_id, fingerprint)`` to ``(fingerprint, near_id)``: the smallest document of a bucket it is verified to be like."""
     once = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    once = stored(once.withColumn("print", F.xxhash64("fingerprint")))
     wide = 2 * SLOTS // BANDS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * wide + 1, wide)) for b in range(BANDS)])
-    keyed = once.select("doc_id", "fingerprint", F.explode(bands).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("key", F.col("head.doc_id").alias("near_id"), F.col("head.fingerprint").alias("other"))
-    equal = F.expr(f"aggregate(sequence(0, {SLOTS - 1}), 0, (n, i) -> n + int(substr(fingerprint, 2*i + 1, 2) = substr(other, 2*i + 1, 2)))")
-    linked = keyed.select("key", "fingerprint").join(heads, "key").where(equal >= alike * SLOTS)
-    best = linked.groupBy("fingerprint").agg(F.min("near_id").alias("found"))
-    return once.join(best, "fingerprint", "left").select("fingerprint", F.least("doc_id", "found").alias("near_id"))
+    keyed = once.select("doc_id", "print", F.explode(bands).alias("key"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    heads = keyed.groupBy("key").agg(F.min(name).alias("head"), F.count("*").alias("n")).where("n > 1")
+    # the fingerprints themselves follow only to the pairs that share a bucket
+    pairs = keyed.join(heads, "key").where("print <> head.print").select("print", F.col("head.print").alias("other"), F.col("head.doc_id").alias("near_id"))
+    own, others = once.select("print", "fingerprint"), once.toDF("other_print", "near", "other")
+    equal = F.expr(f"aggregate(sequence(0, {SLOTS - 1}), 0, (n, i) -> n + int(substr(fingerprint, 2*i + 1, 2) = substr(other_print, 2*i + 1, 2)))")
+    linked = pairs.distinct().join(own, "print").join(others, "other").where(equal >= alike * SLOTS)
+    best = linked.groupBy("print").agg(F.min("near_id").alias("found"))
+    return once.join(best, "print", "left").select("fingerprint", F.least("doc_id", "found").alias("near_id"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
