@@ -41,7 +41,7 @@ NEW, OLD = 16, 8  # edges of a node that meet in a round, each way
 TOLD = 6  # nearer nodes that a node hears of in one meeting
 ROUNDS = 4
 CHANGED = 0.05
-BEAM = 160
+BEAM = 224
 SEARCH_ROUNDS = 12
 
 
