@@ -10,9 +10,10 @@ random sequence of record steps and takes the last one inside the text: uniform
 whatever its length, and the same step for most pairs of similar length. Likeness is the share of equal
 slots, an estimate of one minus the Hamming distance of the embedded texts.
 
-Near texts are found by banding: ``BANDS`` groups of sampled slots are keys, every text meets the smallest
-document of each of its buckets and the link holds if the whole fingerprints are alike. Buckets are only
-aggregated (a minimum), never listed, so a bucket with a third of all texts costs no more than its rows.
+Near texts are found by banding: ``BANDS`` groups of sampled slots are keys, and all different fingerprints of a
+bucket are compared whole. A bucket is dealt into blocks of about ``BLOCK_PRINTS`` and every pair of blocks is a
+task's work, in order of documents; a fingerprint is done at the first one it is like. Only buckets whose texts
+share a band but are not alike cost the square of their different fingerprints.
 
 Defined cases: null counts as empty; the empty text has a fingerprint of its own; documents with equal
 ids are ordered by a hash of their text; null ids come last; a single document is its own next one.
@@ -28,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_batches, sha256, stored, texts_of
+from logweave.llm.common import grouped_by, map_batches, sha256, stored, texts_of
 from logweave.llm.hashing import mix, odd_numbers
 
 BLOCK = 1024
 SLOTS = 64
 BANDS = 16
 ALIKE = 0.7
+BLOCK_PRINTS = 1024
+_CANDIDATES = 64
 _PERIOD = 4096
 _CHARS = 1 << 20  # characters embedded at once
 
@@ -220,21 +223,47 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return done.where("kind = 'row'").select("doc_id", *(n for n, _ in _RESULT)).unionByName(closed)
 
 
-def link_near(prints: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """``(doc_id, fingerprint)`` to ``(fingerprint, near_id)``: the smallest document of a bucket it is verified to be like."""
+def smallest_alike(prints: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """Per row the first earlier row it is like, or -1; all pairs are compared until a row has found one."""
+    out = np.full(len(prints), -1)
+    for first in range(0, len(prints), _CANDIDATES):
+        last = min(first + _CANDIDATES, len(prints))
+        rows = first + np.flatnonzero(out[first:] < 0)
+        equal = (prints[rows, None] == prints[None, first:last]).sum(axis=2, dtype=np.uint8) >= alike * SLOTS
+        equal &= np.arange(first, last) < rows[:, None]
+        found = equal.any(axis=1)
+        out[rows[found]] = first + equal[found].argmax(axis=1)
+    return out
+
+
+def link_near(prints: DataFrame, alike: float = ALIKE, block: int = BLOCK_PRINTS) -> DataFrame:
+    """``(doc_id, fingerprint)`` to ``(fingerprint, near_id)``: the smallest of all documents that share a bucket and are verified alike."""
+    id_type = prints.schema["doc_id"].dataType.simpleString()
     once = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     once = stored(once.withColumn("print", F.xxhash64("fingerprint")))
     wide = 2 * SLOTS // BANDS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * wide + 1, wide)) for b in range(BANDS)])
-    keyed = once.select("doc_id", "print", F.explode(bands).alias("key"))
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    heads = keyed.groupBy("key").agg(F.min(name).alias("head"), F.count("*").alias("n")).where("n > 1")
-    # the fingerprints themselves follow only to the pairs that share a bucket
-    pairs = keyed.join(heads, "key").where("print <> head.print").select("print", F.col("head.print").alias("other"), F.col("head.doc_id").alias("near_id"))
-    own, others = once.select("print", "fingerprint"), once.toDF("other_print", "near", "other")
-    equal = F.expr(f"aggregate(sequence(0, {SLOTS - 1}), 0, (n, i) -> n + int(substr(fingerprint, 2*i + 1, 2) = substr(other_print, 2*i + 1, 2)))")
-    linked = pairs.distinct().join(own, "print").join(others, "other").where(equal >= alike * SLOTS)
-    best = linked.groupBy("print").agg(F.min("near_id").alias("found"))
+    keyed = once.select("print", F.explode(bands).alias("key"))
+    shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    # every row of a bucket of several blocks goes to all pairs of its block with another one, which hold its own block too
+    blocks = shared.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), i -> i <> own))")))
+    blocks = blocks.select("print", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("pair"))
+    # the fingerprints themselves follow only to rows that share a bucket
+    rows = blocks.join(once.select("print", "doc_id", F.unhex("fingerprint").alias("bytes")), "print")
+    order = ["pair", F.asc_nulls_last("doc_id"), "print"]
+    rows = rows.select("pair", "print", "doc_id", "bytes").repartition("pair").sortWithinPartitions(*order)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped_by(batches, "pair"):
+            bytes_of = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            found = smallest_alike(bytes_of, alike)
+            linked = np.flatnonzero(found >= 0)
+            if len(linked):
+                names, ids = group.column("print").combine_chunks(), group.column("doc_id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(linked)), ids.take(pa.array(found[linked]))], ["print", "near_id"])
+
+    best = map_batches(rows, read, f"print bigint, near_id {id_type}").groupBy("print").agg(F.min("near_id").alias("found"))
     return once.join(best, "print", "left").select("fingerprint", F.least("doc_id", "found").alias("near_id"))
 
 

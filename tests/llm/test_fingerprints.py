@@ -78,6 +78,33 @@ def test_near_texts_are_linked(spark):
     assert all(found[i] == found[100 + i] == i for i in range(20)) and found[200] == 3
 
 
+def test_a_smaller_document_of_the_bucket_hides_no_link(spark):
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 256, P.SLOTS, np.uint8)
+    c, a = b.copy(), rng.integers(0, 256, P.SLOTS, np.uint8)
+    c[4::4] ^= 1  # alike, and only the first band is the same
+    a[:4] = b[:4]
+    rows = list(zip((1, 2, 3), P.as_text(np.stack([a, b, c]))))
+    found = {r.fingerprint: r.near_id for r in P.link_near(spark.createDataFrame(rows, "doc_id bigint, fingerprint string")).collect()}
+    assert [found[f] for _, f in rows] == [1, 2, 2]
+
+
+def test_links_of_a_bucket_of_many_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 256, (40, P.SLOTS), np.uint8)[rng.integers(0, 40, 300)]
+    prints[rng.random(prints.shape) < 0.12] = 0
+    prints[:, :4] = 7  # a passage that all texts hold
+    ids = [int(i) if i % 9 else None for i in rng.permutation(300)]
+    rows = list(zip(ids, P.as_text(prints)))
+    expected = {}
+    for i, (own, name) in enumerate(rows):
+        near = [ids[j] for j in range(300) if ids[j] is not None and (prints[i] == prints[j]).mean() >= P.ALIKE]
+        expected[name] = min(near, default=None)
+    docs = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
+    for block in (1024, 50):
+        assert {r.fingerprint: r.near_id for r in P.link_near(docs, block=block).collect()} == expected
+
+
 def test_edges(spark, edges, nothing):
     rows = P.fingerprint_documents(edges).collect()
     assert len(rows) == 13 and len({r.fingerprint for r in rows if r.n_chars == 0}) == 1
