@@ -3,7 +3,8 @@
 A page is parsed into a tree. Every element subtree gets a hash of its tag, its text and its children's
 hashes; Spark counts on how many different pages of a host each hash occurs, and subtrees that recur on
 many pages are deleted before the text is read. Elements whose role is fixed by HTML or by their name
-(menus, forms, scripts, adverts, comments, ...) are never read. Where a page has ``article`` or ``main``,
+(menus, forms, scripts, adverts, comments, ...) are not read; a name is a whole token of class or id, and does
+not hide the only article of a page or its ``main``. Where a page has ``article`` or ``main``,
 only these are read, and their plain paragraphs and headings stay even if a host repeats them.
 
 Counting is one aggregation by (host, hash), combined before the shuffle, so that a host with a third of
@@ -49,24 +50,43 @@ _CLOSES = {  # an open element of the second kind ends where one of the first be
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 _STOPS = frozenset("ul ol dl table article main section div body nav aside form".split())
-_ROLES = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alertdialog|alert|menu|menubar)\b""", re.I)
-_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _BOILERPLATE = frozenset(
     "ad ads adv advert advertisement adverts adsense adslot banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
     "disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo "
     "related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _roles(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is out of sight or has a role that is never read, and whether a name tells so."""
+    never = named = False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden":
+            never |= value.strip() != "false"
+        elif name == "aria-hidden":
+            never |= value.strip() == "true"
+        elif name == "style":
+            never |= bool(_NO_DISPLAY.search(value))
+        elif name == "role":
+            never |= not _ROLES.isdisjoint(value.split())
+        elif name in ("class", "id"):
+            # a token counts whole: sidebar, cookie-notice and ad-1, but not has-sidebar
+            named |= any(words and _BOILERPLATE.issuperset(words) for words in map(_WORD.findall, value.split()))
+    return never, named
 
 
 class Node:
-    __slots__ = ("tag", "never", "kids", "hash", "full", "plain")
+    __slots__ = ("tag", "never", "named", "kids", "hash", "full", "plain")
 
     def __init__(self, tag: str, attributes: str, inside_core: bool):
         self.tag = tag
@@ -75,10 +95,9 @@ class Node:
         self.full = False
         self.plain = not attributes.strip(" /")
         self.never = tag in _NEVER or (tag == "header" and not inside_core)
+        self.named = False
         if not self.never and not self.plain and tag not in _CORE and tag not in ("html", "body"):
-            self.never = bool(_ROLES.search(attributes)) or bool(_HIDDEN.search(attributes)) or any(
-                word in _BOILERPLATE for m in _NAMED.finditer(attributes) for word in _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-            )
+            self.never, self.named = _roles(attributes)
 
     def close(self) -> None:
         """Hash the finished subtree."""
@@ -146,18 +165,42 @@ def parse(text: str) -> Node:
 
 
 def _cores(root: Node) -> list[Node]:
-    """The outermost ``article`` elements, else ``main``, else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [(root, frozenset())]
+    """The outermost ``article`` and ``main`` elements, else the whole page.
+
+    A wrapper's name never hides ``main``; it hides an ``article`` only if another one stands outside such wrappers.
+    """
+    found: list[Node] = []
+    wrapped: list[tuple] = []  # articles below named elements, with a chain of these
+    article = False
+    todo: list[tuple] = [(root, None, False)]
     while todo:
-        node, inside = todo.pop()
+        node, names, in_main = todo.pop()
         if node.never:
             continue
-        if node.tag in found and node.tag not in inside and node.full:
-            found[node.tag].append(node)
-            inside = inside | {node.tag}
-        todo += [(k, inside) for k in reversed(node.kids) if not isinstance(k, str)]
-    return found["article"] or found["main"] or [root]
+        if node.tag == "article" and node.full:
+            if names:
+                wrapped.append((node, names, in_main))
+            else:
+                article = True
+                if not in_main:
+                    found.append(node)
+            continue
+        if node.tag == "main" and node.full and not in_main:
+            found.append(node)
+            names, in_main = None, True
+        elif node.named:
+            names = (node, names)
+        todo += [(k, names, in_main) for k in reversed(node.kids) if not isinstance(k, str)]
+    if not article:
+        alone = not found
+        for node, names, in_main in wrapped:
+            if in_main:
+                while names:
+                    names[0].named = False
+                    names = names[1]
+            elif alone:
+                found.append(node)
+    return found or [root]
 
 
 def _may_go(node: Node, in_core: bool) -> bool:
@@ -173,7 +216,7 @@ def subtree_hashes(root: Node) -> set[int]:
         todo = [core]
         while todo:
             node = todo.pop()
-            if node.never:
+            if node.never or node.named:
                 continue
             if _may_go(node, in_core) and node.tag in _BLOCKS:
                 out.add(node.hash)
@@ -201,7 +244,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
                 line.append(node)
             elif node is None:
                 flush()
-            elif node.never or template and node.hash in template and node.tag in _BLOCKS and _may_go(node, in_core):
+            elif node.never or node.named or template and node.hash in template and node.tag in _BLOCKS and _may_go(node, in_core):
                 if node.tag in _BLOCKS:
                     flush()
             elif node.tag in _BLOCKS:

@@ -21,6 +21,35 @@ def test_pages_without_article_and_broken_pages():
     assert H.main_text(H.parse(deep)) == "x"
 
 
+def _text(page):
+    return H.main_text(H.parse(page))
+
+
+def test_names_are_whole_tokens_and_attributes_have_names():
+    for attributes in (
+        'class="has-sidebar"', 'id="no-sidebar"', 'class="widget-content wide"', 'class="menu-open"', 'class="overflow-hidden"',
+        'data-id="menu"', 'data-role="banner"', 'title="hidden text"', 'aria-hidden="false"', 'data-hidden="1"',
+    ):
+        assert _text(f"<body><div {attributes}><p>kept</p></div></body>") == "kept", attributes
+    for attributes in (
+        'class="wide Sidebar"', "id=comments", 'class="cookie-notice"', 'class="ad-1"', "hidden", 'hidden=""', 'aria-hidden="true"',
+        'style="color: red; display : none"', "role=navigation",
+    ):
+        assert _text(f"<body><div {attributes}><p>gone</p></div><p>kept</p></body>") == "kept", attributes
+
+
+def test_named_wrappers_do_not_hide_article_or_main():
+    for core in ("article", "main"):
+        assert _text(f'<body><div class="widget"><p>a</p><div id="menu"><{core}><p>kept</p></{core}></div></div></body>') == "kept"
+    assert _text('<body><main><div class="widget"><article>kept</article></div></main></body>') == "kept"
+    assert _text('<body><article>kept</article><div id="comments"><article>reader</article></div></body>') == "kept"
+    assert _text('<body><div class="widget" hidden><article>gone</article></div><p>kept</p></body>') == "kept"
+
+
+def test_text_of_main_outside_its_article_stays():
+    assert _text('<main><p>before</p><article>a</article><div class="ad">x</div><p>behind</p></main><p>y</p>') == "before\na\nbehind"
+
+
 def _site(i, host="http://a.example"):
     # a block without any telling name, the same on all pages of a host
     return (i, f"{host}/p{i}", f"<body><div><p>Site motto</p><a href=/>go</a></div><div><p>Story {i} of its own</p><p>end</p></div></body>")
