@@ -41,15 +41,16 @@ class WordTokenizer:
     """Token ids by the ``tokenizers`` library, one call per new word.
 
     White space separates tokens of this tokenizer, so ids of a text are those of its words in order. The ids
-    of ``kept`` words are kept for later batches; a batch with other words asks for them anew.
+    of ``kept`` words are kept for later batches; a batch with other words asks for them anew. Special tokens
+    written out in a text are split like any word, or have their own ids as in the library's plain call.
     """
 
-    def __init__(self, definition: str, kept: int = KEPT_WORDS):
+    def __init__(self, definition: str, kept: int = KEPT_WORDS, split_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_special
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kept = kept
         self.known: dict[str, bytes] = {}
@@ -76,7 +77,7 @@ def word_tokenizer(definition: str, kept: int) -> WordTokenizer:
     """The tokenizer of this worker process, with the words it knows from earlier tasks."""
     if (definition, kept) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[definition, kept] = WordTokenizer(definition, kept)
+        _tokenizers[definition, kept] = WordTokenizer(definition, kept, split_special=False)
     return _tokenizers[definition, kept]
 
 

@@ -75,3 +75,12 @@ def test_edges(edges, nothing):
     rows = P.pack(edges, PATH).collect()
     assert sum(r.length for r in rows if r.doc_id == 2) == 1 and sum(r.length for r in rows if r.doc_id == 8) == 14
     assert P.pack(nothing, PATH).count() == 0
+
+
+def test_literal_special_tokens_have_the_ids_of_the_plain_call():
+    plain = Tokenizer.from_file(PATH)
+    words = P.word_tokenizer(open(PATH).read(), 1000)
+    texts = ["<|endoftext|>", "a <|startoftext|> b", "one<|endoftext|>two <|endoftext|><|startoftext|>", "x\n<|endoftext|>\ny", "no such token"]
+    got = [np.frombuffer(x, words.code).tolist() for x in words.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in got[0] and 49406 in got[1]
