@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, sentencepiece, substrings
+from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, sentencepiece, substrings, vector_dedup
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,21 @@ def op10_nearest_neighbours(spark, sf_dir):
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark, sf_dir):
     return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op11_embedding_dedup",
+    """with recursive e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+    ok as (select * from e where vec_id is not null and label is not null and len(v) > 0
+      and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+    p as (select a.vec_id as u, b.vec_id as w from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+      where list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach(u, w) as (select u, w from p union select reach.u, p.w from reach join p on reach.w = p.u),
+    c as (select u, min(w) as least from reach group by u),
+    l as (select u, count(*) as links from p group by u)
+    select vec_id, coalesce(links, 0) as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id,
+      vec_id = least(vec_id, coalesce(c.least, vec_id)) as kept
+    from e left join c on c.u = e.vec_id left join l on l.u = e.vec_id""",
+)
+def op11_embedding_dedup(spark, sf_dir):
+    return vector_dedup.vector_groups(table(spark, sf_dir, "embeddings"))
