@@ -50,8 +50,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, places: np.ndarray) -> Words:
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, places: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """``space`` marks the bytes between words, if others than those above."""
+    inside = ~space[data]
     rows = places[:-1][np.diff(places) > 0]
     joins = np.concatenate([[False], inside[:-1]])
     joins[rows] = False

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, pii, secrets, sentencepiece, substrings, vector_dedup
+from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, phrases, pii, secrets, sentencepiece, substrings, vector_dedup
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -117,3 +117,26 @@ def op5_sentencepiece(spark, sf_dir):
 )
 def op11_embedding_dedup(spark, sf_dir):
     return vector_dedup.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_collocations",
+    r"""with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from d),
+    total as (select lang, sum(len(ws)) as n from p group by lang),
+    g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) as p from p),
+    f as (select lang, p, count(*) as f from g group by lang, p having count(*) >= 100),
+    c as (select lang, p, f as a, ' ' || array_to_string(p, ' ') || ' ' as shown from f where len(p) >= 2),
+    kept as (select * from c where not exists (select 1 from c q where q.lang = c.lang and len(q.p) > len(c.p)
+      and 100 * q.a >= 100 * c.a and contains(q.shown, c.shown))),
+    cuts as (select lang, p, a, unnest(range(1, len(p))) as k from kept),
+    scored as (select c.lang, c.p, c.a, c.k, x.f as l, y.f as r, n, (cast(1000 as hugeint) * c.a * n) // (cast(x.f as hugeint) * y.f) as score
+      from cuts c join f x on x.lang = c.lang and x.p = c.p[1:c.k] join f y on y.lang = c.lang and y.p = c.p[c.k + 1:len(c.p)] join total t on t.lang = c.lang),
+    best as (select *, row_number() over (partition by lang, p order by score, k) as nth from scored),
+    ranked as (select *, array_to_string(p, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+      from best where nth = 1)
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000""",
+)
+def op12_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
