@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, phrases, pii, secrets, sentencepiece, substrings, vector_dedup
+from logweave.llm import fingerprints, html, jaccard, language, neighbours, packing, phrases, pii, secrets, sentencepiece, substrings, vector_dedup, whitening
 from logweave.llm.common import table
 
 QUERIES: dict = {}
@@ -140,3 +140,8 @@ def op11_embedding_dedup(spark, sf_dir):
 )
 def op12_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

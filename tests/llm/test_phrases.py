@@ -46,7 +46,7 @@ def mixed(spark):
     rng = np.random.default_rng(4)
     vocabulary = np.array([f"w{i}" for i in range(30)] + ["Ünï", "日本", "A", "a"])
     rows = []
-    for i in range(160):
+    for i in range(400):
         drawn = vocabulary[np.minimum(rng.zipf(1.4, rng.integers(0, 60)) - 1, len(vocabulary) - 1)]
         ends = rng.choice([" ", " ", " ", "\t ", ", ", ".\n", "!"], len(drawn))
         rows.append((["en", "de", None, "und"][i % 4], "".join(w + e for w, e in zip(drawn, ends))))
