@@ -491,6 +491,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, budget: int = BUDG
     deep = stored(_subtrees(leaves(runs, table, groups), support))
     two = pairs.select(F.expr(f"array(key div {size + 1}, key % {size + 1} - 1)").alias("p"), "f")
     all_ = known.select(F.array("id").alias("p"), "f").unionByName(two).unionByName(deep)
+    over = [(p, f) for p, f in over if f >= support]
     if over:
         all_ = all_.unionByName(spark.createDataFrame(over, "p array<bigint>, f bigint"))
     phrases = stored(all_)
