@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import ne
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +17,44 @@ BIN = ["_token_count", "_para_count"]
 
 
 class LeaderMiner:
-    """Contents of one bin join the first leader that differs in a small enough share of positions."""
+    """Contents of one bin join the first leader that differs in a small enough share of positions.
+
+    Where at most k positions may differ, two contents that are cut into k + 1 segments agree in one of them. Leaders are
+    looked up by their segments, so a content is compared only with leaders that share one.
+    """
 
     def __init__(self, merge_thr: float):
         self.threshold = np.float32(merge_thr)
-        self.leaders: list[Group] = []
+        self.most: dict[int, int] = {}
+        self.sharing: dict[tuple, list[tuple[int, Group]]] = {}
+        self.leaders = self.met = 0
+
+    def _most(self, n: int) -> int:
+        """The most positions of ``n`` that may differ; the share grows with their number."""
+        if n not in self.most:
+            self.most[n] = max((d for d in range(n + 1) if np.float32(d) / np.float32(n) <= self.threshold), default=-1)
+        return self.most[n]
+
+    def _segments(self, tokens: list[str]) -> list[tuple]:
+        k = self._most(len(tokens)) + 1
+        cuts = [len(tokens) * i // k for i in range(k + 1)] if k else []
+        return [(len(tokens), i, *tokens[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def find(self, tokens: list[str]) -> Group | None:
-        # the share grows with the number of differences, so the bound is a whole number
-        most = max(
-            (d for d in range(len(tokens) + 1) if np.float32(d) / np.float32(len(tokens)) <= self.threshold),
-            default=-1,
-        )
-        for leader in self.leaders:
-            if sum(a != b for a, b in zip(tokens, leader.tokens)) <= most:
-                return leader
-        return None
+        most, best, best_place = self._most(len(tokens)), None, self.leaders
+        for segment in self._segments(tokens):
+            for place, leader in self.sharing.get(segment, ()):
+                if place >= best_place:
+                    break
+                self.met += 1
+                if sum(map(ne, tokens, leader.tokens)) <= most:
+                    best, best_place = leader, place
+        return best
 
     def open(self, group: Group) -> bool:
-        self.leaders.append(group)
+        for segment in self._segments(group.tokens):
+            self.sharing.setdefault(segment, []).append((self.leaders, group))
+        self.leaders += 1
         return True
 
     def absorb(self, group: Group, tokens: list[str]) -> bool:

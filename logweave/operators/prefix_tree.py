@@ -9,19 +9,22 @@ keys may match inside that child before they get their own; such a node is repla
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD, tokenize
 from logweave.operators.joins import lookup_join
 from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay
-from logweave.session import materialize
+from logweave.session import materialize, ship
+
+FEW_PATHS = 100_000
 
 
 @dataclass(frozen=True)
@@ -189,8 +192,11 @@ def _mine(df: DataFrame, rules: TreeRules, block_lines: int) -> DataFrame:
             F.min("LineID").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")
         )
     )
-    n_blocks = blocks_needed(*paths.agg(F.sum("n"), F.sum("bytes")).first(), block_lines)
-    if _plain(paths, rules):
+    different, *size = paths.agg(F.count("*"), F.sum("n"), F.sum("bytes")).first()
+    n_blocks = blocks_needed(*size, block_lines)
+    if different <= FEW_PATHS:
+        routed = lookup_join(keyed, _few_routes(paths, rules), "keys", weight="n").drop("keys")
+    elif _plain(paths, rules):
         # the keys are the route
         routed = keyed.select(
             "LineID",
@@ -238,6 +244,38 @@ def _plain(paths: DataFrame, rules: TreeRules) -> bool:
     return not nodes["wild"] and (nodes["n"] < rules.children or nodes["size"] < rules.levels)
 
 
+def _few_routes(paths: DataFrame, rules: TreeRules) -> DataFrame:
+    """``_routes`` of at most ``FEW_PATHS`` key paths, all in one task: a few kilobytes in a log, and one job instead of
+    several a level."""
+
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not len(table):
+            return
+        table = table.sort_by("first")
+        keys = table.column("keys").to_pylist()
+        route, level, mixed = [""] * len(keys), [0] * len(keys), [False] * len(keys)
+        for depth in range(rules.levels):
+            met: dict[str, dict[str, None]] = {}  # the keys of a node in the order of their first lines
+            for i, own in enumerate(keys):
+                if not mixed[i] and len(own) > depth:
+                    met.setdefault(route[i], {})[own[depth]] = None
+            named = {node: set(list(found)[: rules.children - 1]) for node, found in met.items()}
+            for i, own in enumerate(keys):
+                node = route[i]
+                mixed[i] = mixed[i] or WILDCARD in met.get(node, ())
+                if not mixed[i] and len(own) > depth:
+                    route[i] = f"{node} ={own[depth]}" if own[depth] in named[node] else f"{node} *"
+                    level[i] = depth + 1
+        ends = [r if m or len(own) == rules.levels else None for r, m, own in zip(route, mixed, keys)]
+        arrays = [table.column("keys").combine_chunks(), pa.array(ends, pa.string()), pa.array(level, pa.int32()), table.column("n").combine_chunks()]
+        yield pa.RecordBatch.from_arrays(arrays, ["keys", "route", "level", "n"])
+
+    ship(paths.sparkSession)
+    rows = paths.select("keys", "first", "n").coalesce(1)
+    return rows.mapInArrow(routes, "keys array<string>, route string, level int, n long")
+
+
 def _routes(paths: DataFrame, rules: TreeRules) -> DataFrame:
     """Per key path its ``route`` (NULL if it ends above the leaves) and the ``level`` the route reaches."""
     paths = paths.withColumns({"route": F.lit(""), "level": F.lit(0), "mixed": F.lit(False)})

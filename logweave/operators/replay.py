@@ -1,43 +1,48 @@
-"""Exact parallel replay of order-dependent grouping.
+"""Exact parallel replay of order-dependent grouping, as a prefix scan of miner states.
 
 Some miners look at lines one by one and let each line change what later lines are compared with. Most
 lines change nothing, though: they fall into a group that already covers them. ``replay`` uses that.
 
 1. Lines are range-partitioned by (route, LineID) into blocks of bounded size. Routes are independent of
    each other; a hot route simply spans many blocks.
-2. Every block is replayed on its own from an empty state. For routes inside one block this is final.
-3. For the other routes the lines that changed the state are collected (few, whatever the number of
-   lines) and replayed in order, which tells the group each belongs to and the final templates. Every
-   block is then replayed again from the state that these lines of earlier blocks leave.
-4. A block that meets a change nobody knew of reports it, and step 3 is repeated for that route. When no
-   block does, each started from the true state and the result equals a sequential run.
+2. Every block is replayed on its own from an empty state. For routes inside one block this is final. For the others
+   the lines that changed the state are the *delta* of the block (few, whatever the number of lines).
+3. Deltas are combined over blocks in a tree: a node replays the deltas of ``FAN_IN`` children and keeps the lines
+   that still change something. Back from the root, a node turns the state before it and the deltas of its
+   children into the state before each child. So every block gets one state, whose size is that of the templates.
+4. Every block is replayed again from its state. A change that was not in its delta, or one that a node of the tree had
+   dropped, means that later states were wrong; then step 3 is repeated for that route with the new deltas. When there
+   is none, each block started from the true state and the result equals a sequential run.
 
 Each round makes at least one more block of an unfinished route exact, so the loop ends; usually two or
-three rounds do. No task ever holds the lines of more than one block. What one task does hold is the
-state-changing lines of a route, so memory follows the number of templates, not of lines.
+three rounds do. No task ever holds the lines of more than one block, or more than ``FAN_IN`` deltas and one state.
+
+What a miner answers depends only on which tokens of a line equal tokens of its templates, or each other. ``Replay``
+remembers the answer for this *shape* of a line, so a log of a few hundred templates costs a few look-ups a line.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.session import materialize
+from logweave.operators.joins import lookup_join
+from logweave.session import materialize, ship
 
 BLOCK_LINES = 500_000
 BLOCK_BYTES = 128 << 20
-FAN_IN = 64
+FAN_IN = 16
+KNOWN_SHAPES = 200_000
 
 INPUT = ["route", "level", "LineID", "content"]
-CHANGE = ["block", *INPUT, "leader", "Template"]
-_SCHEMA = (
-    "block int, route string, level int, LineID long, content string,"
-    " leader long, Template string, changed boolean"
-)
+_ROWS = "block long, route string, level int, LineID long, content string, leader long, Template string, changed boolean, new boolean"
+_DELTA = "route string, level int, node long, LineID long, content string, kept boolean"
+_STATES = "route string, node long, state binary, LineID long, leader long, Template string"
 
 
 class Group:
@@ -59,36 +64,43 @@ class Replay:
 
     def __init__(self, miner):
         self.miner = miner
-        self.version = 0
-        self.known: dict[str, tuple[int, Group]] = {}
-        self.opened: dict[int, Group] = {}
+        self.known: dict[tuple, Group] = {}
+        self.vocabulary: set[str] = set()
+
+    def __getstate__(self):
+        return self.miner, self.vocabulary
+
+    def __setstate__(self, state):
+        self.miner, self.vocabulary = state
+        self.known = {}
+
+    def _shape(self, tokens: list[str]) -> tuple:
+        """The tokens, those that no template ever had as numbers in the order of their first places."""
+        words, others = self.vocabulary, {}
+        return tuple([t if t in words else others.setdefault(t, len(others)) for t in tokens])
 
     def step(self, line_id: int, content: str) -> tuple[Group, bool]:
-        hit = self.known.get(content)
-        if hit is not None and hit[0] == self.version:
-            return hit[1], False
         tokens = content.split(" ")
+        shape = self._shape(tokens)
+        group = self.known.get(shape)
+        if group is not None:
+            return group, False
         group = self.miner.find(tokens)
-        if group is None:
+        found = group is not None
+        if found:
+            changed = self.miner.absorb(group, tokens)
+        else:
             group = Group(line_id, tokens)
             changed = self.miner.open(group)
-        else:
-            changed = self.miner.absorb(group, tokens)
         if changed:
-            self.version += 1
-        else:
-            self.known[content] = (self.version, group)
+            self.known.clear()
+            self.vocabulary.update(tokens, group.tokens)
+        elif found:
+            if len(self.known) >= KNOWN_SHAPES:
+                self.known.clear()
+            self.known[shape] = group
         return group, changed
 
-    def repeat(self, line_id: int, content: str, leader: int) -> None:
-        """A step whose group is known already: no search."""
-        tokens = content.split(" ")
-        if leader == line_id:
-            self.opened[leader] = Group(line_id, tokens)
-            self.miner.open(self.opened[leader])
-        else:
-            self.miner.absorb(self.opened[leader], tokens)
-
 
 # (level) -> miner with ``find(tokens) -> group or None``, ``open(group) -> changed`` and
 # ``absorb(group, tokens) -> changed``
@@ -105,145 +117,169 @@ def size_of(lines: DataFrame) -> tuple[int | None, int | None]:
 
 
 def replay(lines: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFrame:
-    """``(route, level, LineID, content)`` to ``(route, LineID, content, leader, Template)``."""
-    output = ["route", "LineID", "content", "leader", "Template"]
+    """``(route, level, LineID, content)`` to ``(route, LineID, leader, Template)``."""
+    ship(lines.sparkSession)
+    output = ["route", "LineID", "leader", "Template"]
     first = (
         lines.select(*INPUT)
         .repartitionByRange(n_blocks, "route", "LineID")
         .sortWithinPartitions("route", "LineID")
         .withColumn("block", F.spark_partition_id())
-        .mapInPandas(_first_pass(make_miner), _SCHEMA)
+        .mapInArrow(_first_pass(make_miner, n_blocks > 1), _ROWS)
     )
     if n_blocks == 1:
         return first.select(*output)
 
-    todo = materialize(first)
-    spanning = materialize(
-        todo.groupBy("route")
-        .agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-        .where("lo < hi")
-        .select("route")
-    )
-    result = todo.join(spanning, "route", "left_anti").select(*output)
-    todo = todo.join(spanning, "route", "left_semi")
-    changes = _pre_merge(todo.where("changed"), make_miner, n_blocks)
+    done = materialize(first)
+    # rows that keep their content belong to the first or last route of their block
+    ends = done.where("content is not null").groupBy("route").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    spanning = materialize(ends.where("low < high").select("route"))
+    result = done.join(spanning, "route", "left_anti").select(*output)
+    rows, lost = done.join(spanning, "route", "left_semi"), None
     while spanning.take(1):
-        changes = materialize(_true_changes(changes, make_miner))
-        places = todo.select("route", F.col("block").alias("to_block")).distinct()
-        known = changes.join(places, "route").withColumn("block", F.col("to_block")).drop("to_block")
-        done = materialize(
-            todo.groupBy("block")
-            .cogroup(known.groupBy("block"))
-            .applyInPandas(_next_pass(make_miner), _SCHEMA)
-        )
-        found = done.where("changed")
-        spanning = materialize(found.select("route").distinct())
-        result = result.unionByName(done.join(spanning, "route", "left_anti").select(*output))
-        todo = done.join(spanning, "route", "left_semi")
-        changes = changes.join(spanning, "route", "left_semi").unionByName(found.select(*CHANGE))
+        states = materialize(_scan(rows, make_miner, n_blocks, lost))
+        before = states.where("state is not null").select("route", F.col("node").alias("block"), "state")
+        done = materialize(rows.groupBy("route", "block").cogroup(before.groupBy("route", "block")).applyInArrow(_next_pass, _ROWS))
+        dropped = states.where("LineID is not null").select("route", "node", "LineID")
+        spanning = materialize(done.where("new").select("route").union(dropped.select("route")).distinct())
+        settled = done.join(spanning, "route", "left_anti").select(*output)
+        shared = settled.where("Template is null").drop("Template")
+        templates = states.where("leader is not null").select("route", "leader", "Template")
+        templates = templates.join(shared.groupBy("route", "leader").agg(F.count("*").alias("n")), ["route", "leader"])
+        shared = lookup_join(shared, templates, ["route", "leader"], weight="n").select(*output)
+        result = result.unionByName(settled.where("Template is not null")).unionByName(shared)
+        rows = done.join(spanning, "route", "left_semi")
+        lost = dropped if lost is None else lost.unionByName(dropped)
     return result
 
 
-def _pre_merge(changes: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFrame:
-    """Thin out the first guess, neighbouring blocks at a time; whatever it loses is found again later."""
-    span = FAN_IN
-    while span < n_blocks:
-        changes = _true_changes(changes.withColumn("part", F.floor(F.col("block") / span)), make_miner, "part")
-        span *= FAN_IN
-    return changes.select(*CHANGE)
-
-
-def _true_changes(changes: DataFrame, make_miner: MinerFactory, *within: str) -> DataFrame:
-    """Of the given lines those that change the state when only they are replayed, with their groups."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("LineID", kind="stable")
-        run = Replay(make_miner(int(pdf["level"].iat[0])))
-        steps = [run.step(i, c) for i, c in zip(pdf["LineID"].tolist(), pdf["content"].tolist())]
-        pdf["leader"] = [group.leader for group, _ in steps]
-        changed = [c for _, c in steps]
-        pdf["Template"] = [" ".join(group.tokens) if c else None for group, c in steps]
-        return pdf[changed]
-
-    changes = changes.select(*CHANGE, *within)
-    return changes.groupBy("route", *within).applyInPandas(keep, changes.schema).select(*CHANGE)
-
-
-class _Rows:
-    """Rows of one route in one block, whose templates are known only at its end."""
-
-    def __init__(self, route, level, miner, block):
-        self.route, self.level, self.block = route, level, block
-        self.run = Replay(miner)
-        self.ids: list[int] = []
-        self.contents: list[str] = []
-        self.groups: list[Group] = []
-        self.changed: list[bool] = []
-
-    def add(self, line_id: int, content: str, known=()):
-        group, changed = self.run.step(line_id, content)
-        self.ids.append(line_id)
-        self.contents.append(content)
-        self.groups.append(group)
-        self.changed.append(changed and line_id not in known)
-
-    def frame(self, final: dict[int, str] | None = None) -> pd.DataFrame:
-        final = final or {}
-        texts = {id(g): final.get(g.leader) or " ".join(g.tokens) for g in self.groups}
-        return pd.DataFrame(
-            {
-                "block": self.block,
-                "route": self.route,
-                "level": self.level,
-                "LineID": self.ids,
-                "content": self.contents,
-                "leader": [g.leader for g in self.groups],
-                "Template": [texts[id(g)] for g in self.groups],
-                "changed": self.changed,
-            }
-        )
-
-
-def _first_pass(make_miner: MinerFactory):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = None
-        pending: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            columns = [pdf[c].tolist() for c in ("route", "level", "LineID", "content", "block")]
-            for route, level, line_id, content, block in zip(*columns):
-                if rows is None or rows.route != route:
-                    if rows is not None:
-                        pending.append(rows.frame())
-                        size += len(rows.ids)
-                    rows = _Rows(route, level, make_miner(level), block)
-                    if size > 10_000:
-                        yield pd.concat(pending)
-                        pending, size = [], 0
-                rows.add(line_id, content)
-        if rows is not None:
-            yield pd.concat([*pending, rows.frame()])
+def _first_pass(make_miner: MinerFactory, may_span: bool):
+    """Blocks from an empty state. Rows of the first and the last route keep their content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route = run_ = None
+        rows: list[tuple] = []
+        first = True
+
+        def finished(keep: bool) -> pa.RecordBatch:
+            texts = {id(group): " ".join(group.tokens) for _, _, group, _ in rows}
+            n = len(rows)
+            columns = [
+                [block] * n, [route] * n, [level] * n, [r[0] for r in rows], [r[1] if keep else None for r in rows],
+                [r[2].leader for r in rows], [texts[id(r[2])] for r in rows], [r[3] for r in rows], [False] * n,
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for row_route, row_level, line_id, content, row_block in zip(*columns):
+                if row_route != route or run_ is None:
+                    if run_ is not None:
+                        yield finished(may_span and first)
+                        first = False
+                    route, level, block, rows = row_route, row_level, row_block, []
+                    run_ = Replay(make_miner(level))
+                rows.append((line_id, content, *run_.step(line_id, content)))
+        if run_ is not None:
+            yield finished(may_span)
 
     return run
 
 
-def _next_pass(make_miner: MinerFactory):
-    def run(lines: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        prior = {route: pdf.sort_values("LineID") for route, pdf in known.groupby("route", sort=False)}
-        frames = []
-        for route, pdf in lines.groupby("route", sort=False):
-            pdf = pdf.sort_values("LineID")
-            level = int(pdf["level"].iat[0])
-            rows = _Rows(route, level, make_miner(level), int(pdf["block"].iat[0]))
-            ids = pdf["LineID"].tolist()
-            given = prior.get(route, known.iloc[:0])  # none if no line of the route changes the state
-            before = given[given["LineID"] < ids[0]]
-            for i, c, leader in zip(before["LineID"].tolist(), before["content"].tolist(), before["leader"].tolist()):
-                rows.run.repeat(i, c, leader)
-            known_ids = set(given["LineID"].tolist())
-            for i, c in zip(ids, pdf["content"].tolist()):
-                rows.add(i, c, known_ids)
-            frames.append(rows.frame(dict(zip(given["leader"].tolist(), given["Template"].tolist()))))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-
-    return run
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+
+
+def _next_pass(key, rows, before):
+    """A block from the state before it; ``new`` marks changes that were not expected."""
+    rows = rows.sort_by("LineID")
+    run = pickle.loads(before.column("state")[0].as_py())
+    expected = rows.column("changed").to_pylist()
+    ids = rows.column("LineID").to_pylist()
+    steps = [run.step(i, c) for i, c in zip(ids, rows.column("content").to_pylist())]
+    changed = [c for _, c in steps]
+    found = {
+        "leader": pa.array([g.leader for g, _ in steps], pa.int64()),
+        # a line that opened a group without a change has it for itself
+        "Template": pa.array([" ".join(g.tokens) if g.leader == i and not c else None for i, (g, c) in zip(ids, steps)], pa.string()),
+        "changed": pa.array(changed, pa.bool_()),
+        "new": pa.array([c and not e for c, e in zip(changed, expected)], pa.bool_()),
+    }
+    return pa.table({name: found.get(name, rows.column(name) if name in rows.column_names else None) for name in _NAMES})
+
+
+def _scan(rows: DataFrame, make_miner: MinerFactory, n_blocks: int, lost: DataFrame | None) -> DataFrame:
+    """What ``_STATES`` says: the ``state`` before each block, ``LineID`` of changes that a node of the tree dropped, and
+    ``Template`` of each ``leader`` at the end. ``lost`` are the changes dropped in earlier rounds."""
+    places = rows.select("route", "level", F.col("block").alias("node")).distinct()
+    delta = rows.where("changed").select("route", "level", F.col("block").alias("node"), "LineID", "content", F.lit(True).alias("kept"))
+    if lost is not None:
+        must = lost.select("route", "LineID").distinct().withColumn("must", F.lit(True))
+        delta = delta.join(must, ["route", "LineID"], "left")
+    else:
+        delta = delta.withColumn("must", F.lit(False))
+    delta = delta.withColumn("must", F.coalesce("must", F.lit(False)))
+
+    def thinned(key, children):
+        children = children.sort_by("LineID")
+        run = Replay(make_miner(children.column("level")[0].as_py()))
+        steps = zip(children.column("LineID").to_pylist(), children.column("content").to_pylist(), children.column("must").to_pylist())
+        kept = [run.step(i, c)[1] or must for i, c, must in steps]
+        return children.drop_columns(["up"]).set_column(children.column_names.index("kept"), "kept", pa.array(kept, pa.bool_()))
+
+    tree, nodes = [], n_blocks
+    while nodes > FAN_IN:  # from the blocks up
+        up = F.floor(F.col("node") / FAN_IN)
+        known = delta.withColumn("up", up).select("route", "level", "node", "LineID", "content", "kept", "must", "up")
+        annotated = materialize(known.groupBy("route", "up").applyInArrow(thinned, _DELTA + ", must boolean"))
+        tree.append((annotated, places))
+        delta, places = annotated.where("kept").withColumn("node", up).withColumn("kept", F.lit(True)), places.withColumn("node", up).distinct()
+        nodes = math.ceil(nodes / FAN_IN)
+    tree.append((delta, places))
+
+    def spread(root: bool):
+        def states(key, group):
+            """The state before each child, from the one before the node and the deltas of the children."""
+            group = group.sort_by([("node", "ascending"), ("LineID", "ascending")])
+            columns = [group.column(c).to_pylist() for c in ("node", "LineID", "content", "kept", "state")]
+            start = next((s for s in columns[4] if s is not None), None)
+            run = pickle.loads(start) if start else Replay(make_miner(group.column("level")[0].as_py()))
+            route, out, groups, last = key[0].as_py(), [], {}, None
+            for node, line_id, content, kept, state in zip(*columns):
+                if state is not None:
+                    continue
+                if node != last:
+                    out.append((route, node, pickle.dumps(run), None, None, None))
+                    last = node
+                if line_id is not None:
+                    met, changed = run.step(line_id, content)
+                    groups[met.leader] = met
+                    if changed and not kept:
+                        out.append((route, node, None, line_id, None, None))
+            if root:
+                out += [(route, None, None, None, leader, " ".join(g.tokens)) for leader, g in groups.items()]
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _STATE_TYPES)], _STATE_NAMES)
+
+        return states
+
+    found = below = None
+    for delta, places in reversed(tree):  # and down again
+        given = delta.select("route", "level", "node", "LineID", "content", "kept", F.lit(None).cast("binary").alias("state"))
+        empty = places.select("route", "level", "node", F.lit(None).cast("long").alias("LineID"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("state"))
+        up = F.floor(F.col("node") / FAN_IN) if below is not None else F.lit(0).cast("long")
+        group = given.unionByName(empty).withColumn("up", up)
+        if below is not None:
+            start = below.where("state is not null").select(
+                "route", F.lit(0).alias("level"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("LineID"),
+                F.lit(None).cast("string").alias("content"), F.lit(True).alias("kept"), "state", F.col("node").alias("up"),
+            )
+            group = group.unionByName(start)
+        states = materialize(group.groupBy("route", "up").applyInArrow(spread(below is None), _STATES))
+        rest = states.where("LineID is not null or leader is not null")
+        found = rest if found is None else found.unionByName(rest)
+        below = states
+    return found.unionByName(below.where("state is not null"))
+
+
+_STATE_NAMES = [c.split()[0] for c in _STATES.split(", ")]
+_STATE_TYPES = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]

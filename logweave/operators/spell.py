@@ -1,12 +1,12 @@
 """Spell: groups by longest common subsequence, over the whole log.
 
-There is a single route, so parallelism comes from the blocks of ``replay`` alone.
+There is a single route, so parallelism comes from the blocks of ``replay`` alone. A line meets only templates that an index
+of their tokens finds, so free text, where every line opens a group, does not compare each line with all before it.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -63,6 +63,64 @@ class _Prefixes:
             self.owner.pop(at, None)
 
 
+class _SharedTokens:
+    """Templates by tokens that a line must have to match them.
+
+    Tokens are ordered by when a template first had them, newest first; repeated ones count apart. A template and a
+    line with ``least`` tokens in common share one among the first ``n - least + 1`` of the ``n`` tokens of each (prefix filter),
+    so a line is compared only with templates that its own first tokens lead to. A template can be a subsequence of a line
+    only if its newest token is in the line; the wildcard counts as the newest, since few lines have it.
+    """
+
+    def __init__(self, least):
+        self.least = least  # of a length, the tokens that must be common
+        self.rank: dict[str, int] = {}
+        self.first: dict[tuple[str, int], dict[int, Group]] = {}
+        self.newest: dict[str | None, dict[int, Group]] = {}
+        self.met = 0  # templates compared with lines
+
+    def _first(self, tokens: list[str]) -> list[tuple[str, int]]:
+        seen: dict[str, int] = {}
+        numbered = []
+        for t in tokens:
+            seen[t] = seen.get(t, -1) + 1
+            numbered.append((t, seen[t]))
+        unknown = len(self.rank)
+        numbered.sort(key=lambda x: (self.rank.get(x[0], unknown), x[1]), reverse=True)
+        return numbered[: len(tokens) - self.least(len(tokens)) + 1]
+
+    def _newest(self, tokens: list[str]) -> str | None:
+        return WILDCARD if WILDCARD in tokens else max(tokens, key=self.rank.__getitem__, default=None)
+
+    def add(self, group: Group) -> None:
+        for t in group.tokens:
+            self.rank.setdefault(t, len(self.rank))
+        for key in self._first(group.tokens):
+            self.first.setdefault(key, {})[group.leader] = group
+        self.newest.setdefault(self._newest(group.tokens), {})[group.leader] = group
+
+    def remove(self, group: Group) -> None:
+        for key in self._first(group.tokens):
+            del self.first[key][group.leader]
+        del self.newest[self._newest(group.tokens)][group.leader]
+
+    def sharing(self, tokens: list[str]) -> list[Group]:
+        """All templates with enough tokens in common with a line, and some others."""
+        found: dict[int, Group] = {}
+        for key in self._first(tokens):
+            found.update(self.first.get(key, ()))
+        self.met += len(found)
+        return list(found.values())
+
+    def inside(self, tokens: list[str]) -> list[Group]:
+        """All templates whose tokens a line may hold in order, the oldest first."""
+        found = dict(self.newest.get(None, ()))
+        for t in {*tokens}:
+            found.update(self.newest.get(t, ()))
+        self.met += len(found)
+        return [found[leader] for leader in sorted(found)]
+
+
 def _constants(template: list[str]) -> list[str]:
     return [t for t in template if t != WILDCARD]
 
@@ -70,16 +128,24 @@ def _constants(template: list[str]) -> list[str]:
 class SpellMiner:
     def __init__(self, sim_thr: float):
         self.threshold = np.float32(sim_thr)
-        self.groups: list[Group] = []
         self.prefixes = _Prefixes()
-        self._needed = lru_cache(maxsize=None)(lambda n: float(self.threshold * np.float32(n)))
+        self._bounds: dict[int, float] = {}
+        self.index = _SharedTokens(self._least)
+
+    def _needed(self, n: int) -> float:
+        if n not in self._bounds:
+            self._bounds[n] = float(self.threshold * np.float32(n))
+        return self._bounds[n]
+
+    def _least(self, n: int) -> int:
+        return max(math.ceil(self._needed(n)), 1)
 
     def find(self, tokens: list[str]) -> Group | None:
         needed = self._needed(len(tokens))
         return self._by_constants(tokens, needed) or self._by_subsequence(tokens, needed) or self._by_lcs(tokens)
 
     def open(self, group: Group) -> bool:
-        self.groups.append(group)
+        self.index.add(group)
         self.prefixes.add(_constants(group.tokens), group)
         return True
 
@@ -90,7 +156,9 @@ class SpellMiner:
         if template == group.tokens:
             return False
         self.prefixes.remove(_constants(group.tokens))
+        self.index.remove(group)
         group.tokens = template
+        self.index.add(group)
         self.prefixes.add(_constants(template), group)
         return True
 
@@ -106,27 +174,26 @@ class SpellMiner:
         return None
 
     def _by_subsequence(self, tokens, needed):
-        for group in self.groups:
-            if needed <= len(group.tokens) <= len(tokens):
-                if _is_subsequence(group.tokens, tokens):
-                    return group
+        for group in self.index.inside(tokens):
+            if needed <= len(group.tokens) <= len(tokens) and _is_subsequence(group.tokens, tokens):
+                return group
         return None
 
     def _by_lcs(self, tokens):
         positions: dict[str, int] = {}
         for i, token in enumerate(tokens):
             positions[token] = positions.get(token, 0) | (1 << i)
-        own = math.ceil(self._needed(len(tokens)))
-        best, best_rank = None, (0, 0)
-        for group in self.groups:
+        own = self._least(len(tokens))
+        best, best_rank = None, (0, 0, 0)
+        for group in self.index.sharing(tokens):
             template = group.tokens
-            least = max(own, math.ceil(self._needed(len(template))))
+            least = max(own, self._least(len(template)))
             if least > min(len(tokens), len(template)):
                 continue
             length = _lcs_length(positions, len(tokens), template)
             # the longest wins, then the shorter template, then the older one
-            if length >= max(least, 1) and (length, -len(template)) > best_rank:
-                best, best_rank = group, (length, -len(template))
+            if length >= least and (best is None or (length, -len(template), -group.leader) > best_rank):
+                best, best_rank = group, (length, -len(template), -group.leader)
         return best
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from logweave.operators import replay
+from logweave.operators import ael, prefix_tree, replay, spell
 from logweave.plans.extract import MINERS, mine, template_table
 from tests import models
 
@@ -46,6 +46,13 @@ def test_drain_equals_sequential(spark, seed, words, n, params, wild, block):
     assert mined(spark, lines, "Drain", block_lines=block, **params) == models.drain(lines, **params)
 
 
+@pytest.mark.parametrize("seed,words,n,params,wild,block", TREE_CASES[1:])
+def test_routes_level_by_level(spark, monkeypatch, seed, words, n, params, wild, block):
+    monkeypatch.setattr(prefix_tree, "FEW_PATHS", 0)
+    lines = random_lines(seed, words, n, wild=wild)
+    assert mined(spark, lines, "Drain", block_lines=block, **params) == models.drain(lines, **params)
+
+
 @pytest.mark.parametrize("seed,words,n,params,wild,block", TREE_CASES)
 def test_jaccard_drain_equals_sequential(spark, seed, words, n, params, wild, block):
     lines = random_lines(seed, words, n, wild=wild)
@@ -75,10 +82,63 @@ def test_one_hot_route_in_many_blocks(spark, miner):
     assert mined(spark, lines, miner, block_lines=20) == expected
 
 
-def test_pre_merge_levels(spark, monkeypatch):
+@pytest.mark.parametrize("miner,model", [("Drain", models.drain), ("Spell", models.spell), ("JaccardDrain", models.jaccard_drain)])
+def test_tree_of_many_levels(spark, monkeypatch, miner, model):
+    """Sixteen blocks under nodes of two children; nodes drop changes that only matter with what came before."""
     monkeypatch.setattr(replay, "FAN_IN", 2)
-    lines = random_lines(11, 6, 160)
-    assert mined(spark, lines, "Drain", block_lines=20) == models.drain(lines)
+    lines = [["go", "on", *t] for t in random_lines(11, 5, 160, (2, 5))]
+    assert mined(spark, lines, miner, block_lines=10) == model(lines)
+
+
+def test_states_not_changes_reach_the_blocks(spark):
+    """Every block of a hot route is given one state of about the same size, however many blocks there are."""
+    rnd = random.Random(3)
+    lines = [f"job {rnd.choice('abc')} took {rnd.randint(1, 999)} ms on node {rnd.randint(1, 99)}" for _ in range(4000)]
+    rows = spark.createDataFrame([("", 0, i, t) for i, t in enumerate(lines)], "route string, level int, LineID long, content string")
+    sizes = {}
+    for blocks in (4, 16):
+        cut = rows.repartitionByRange(blocks, "LineID").sortWithinPartitions("LineID").withColumn("block", replay.F.spark_partition_id())
+        first = replay.materialize(cut.mapInArrow(replay._first_pass(lambda level: spell.SpellMiner(0.5), True), replay._ROWS))
+        states = replay._scan(first, lambda level: spell.SpellMiner(0.5), blocks, None).where("state is not null").toPandas()
+        assert sorted(states.node) == list(range(blocks))
+        sizes[blocks] = states.state.map(len).max()
+    assert sizes[16] <= 1.2 * sizes[4]
+
+
+def test_answers_are_remembered_by_shape():
+    run = replay.Replay(spell.SpellMiner(0.5))
+    for i in range(500):
+        run.step(i, f"user {i} came from {i * 7}")
+    assert len(run.known) <= 3 and run.vocabulary >= {"user", "came", "from"}
+    # a token that comes twice is another shape than two different ones
+    rules = prefix_tree.jaccard_rules(3)
+    once = replay.Replay(prefix_tree.PrefixTreeMiner(rules, 0))
+    for lines in (["a b c d e"] * 2 + ["a b c x y", "a b c x x", "a b c z w", "a b c z z"],):
+        seen = [" ".join(once.step(i, t)[0].tokens) for i, t in enumerate(lines)]
+        plain = replay.Replay(prefix_tree.PrefixTreeMiner(rules, 0))
+        want = []
+        for i, t in enumerate(lines):
+            plain.known.clear()
+            want.append(" ".join(plain.step(i, t)[0].tokens))
+        assert seen == want
+
+
+def test_free_text_meets_few_templates():
+    """Where every line opens a group, the index keeps lines from meeting all of them."""
+    lines = [" ".join(t) for t in random_lines(5, 3000, 2000, (8, 14))]
+    run = replay.Replay(spell.SpellMiner(0.5))
+    for i, line in enumerate(lines):
+        run.step(i, line)
+    templates = len({leader for group in run.miner.index.first.values() for leader in group})
+    assert templates > 1500 and run.miner.index.met < 0.02 * 2 * len(lines) ** 2 / 2
+
+
+def test_contents_meet_few_leaders():
+    lines = random_lines(6, 400, 3000, (9, 9))
+    run = replay.Replay(ael.LeaderMiner(0.4))
+    for i, line in enumerate(lines):
+        run.step(i, " ".join(line))
+    assert run.miner.leaders > 2000 and run.miner.met < 0.01 * len(lines) ** 2 / 2
 
 
 @pytest.mark.parametrize("seed,words,n,thr,merge,block", [
