@@ -7,23 +7,20 @@ from logweave.llm import fingerprints as P
 
 
 def walk(text):
-    """The embedding of one text, step by step; the samples are read off it."""
-    steps, records, odd = P._fixed()
+    """The embeddings of one text, step by step; the samples are read off them."""
+    steps, _, records, odd = P._fixed()
     if not text:
         return bytes(P.SLOTS)
-    embedded = []  # per block the place under the pointer at every step
-    for begin in range(0, len(text), P.BLOCK):
-        block, under = text[begin : begin + P.BLOCK], []
-        for i, c in enumerate(block):
-            kind = (ord(c) ^ (ord(c) >> 8)) & 255
-            under += [begin + i] * int(steps[kind * P._PERIOD + len(under) % P._PERIOD])
-        embedded.append(under)
     out = []
     for slot in range(P.SLOTS):
+        each = P.SLOTS // P.WALKS
+        if slot % each == 0:
+            under = []  # the place under the pointer at every step
+            for i, c in enumerate(text):
+                kind = (ord(c) ^ (ord(c) >> 8)) & 255
+                under += [i] * int(steps[slot // each][kind * P._PERIOD + len(under) % P._PERIOD])
         step = int(max(r for r in records[slot] if r < 2 * len(text)))
-        block = min(step // (2 * P.BLOCK), len(embedded) - 1)
-        under = embedded[block]
-        at = under[min(step - block * 2 * P.BLOCK, len(under) - 1)]
+        at = under[min(step, len(under) - 1)]
         gram = sum(ord(text[at + k]) << (21 * k) for k in range(3) if at + k < len(text))
         out.append(int(P.mix(np.array([gram * int(odd[slot]) + step & (1 << 64) - 1], np.uint64))[0]) >> 56)
     return bytes(out)
@@ -31,12 +28,31 @@ def walk(text):
 
 def test_batched_walk_equals_the_single_one():
     rng = random.Random(2)
-    texts = ["", "a", "ab", "é日\U0001F600" * 5] + ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 1023, 1024, 1025, 5000)]
+    texts = ["", "a", "ab", "é日\U0001F600" * 5] + ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 1023, 1024, 1025, 5000, 9000)]
+    texts += ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) for _ in range(3 * P._FEW)]
     got = P.fingerprints(texts)
     for text, row in zip(texts, got):
         assert sum(a != b for a, b in zip(row.tobytes(), walk(text))) == 0, text[:20]
 
 
+def test_a_sentence_more_keeps_long_texts_alike():
+    """In front of a text and in its middle; the share of texts that stay alike grows with their length."""
+    alike = {}
+    for seed in range(24):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+        for size in (1100, 3200, 11000):
+            text = " ".join(rng.choice(words) for _ in range(size))
+            more = " ".join(rng.choice(words) for _ in range(11)) + ". "
+            half = text.index(" ", len(text) // 2) + 1
+            own = P.fingerprints([text, more + text, text[:half] + more + text[half:]])
+            alike.setdefault(size, []).append(P.likeness(own[1:], own[:1]) > 0.7)
+    front, middle = zip(*(np.mean(alike[size], axis=0) for size in (1100, 3200, 11000)))
+    assert front[0] >= 0.7 and front[1] >= 0.85 and front[2] >= 0.95 and min(middle[1:]) >= 0.85, (front, middle)
+    few = P.fingerprints(["".join(rng.choice("abcdefg hij") for _ in range(6000)) for _ in range(30)])
+    assert max(P.likeness(few[i + 1 :], few[i : i + 1]).max(initial=0) for i in range(29)) < 0.3
+
+
 def test_likeness_falls_with_edits():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij klmnop") for _ in range(4000))
