@@ -16,6 +16,7 @@ other row; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -34,15 +35,20 @@ END = 1
 SHARD_CHARS = 4_000_000
 #: Words whose ids a worker keeps from batch to batch and task to task; about 200 bytes each.
 KEPT_WORDS = 1_000_000
+#: Words of a call.
+TOGETHER = 256
 K1, B = 1.2, 0.75
 
 
 class WordTokenizer:
-    """Token ids by the ``tokenizers`` library, one call per new word.
+    """Token ids by the ``tokenizers`` library, for each new word once.
 
     White space separates tokens of this tokenizer, so ids of a text are those of its words in order. The ids
     of ``kept`` words are kept for later batches; a batch with other words asks for them anew. Special tokens
     written out in a text are split like any word, or have their own ids as in the library's plain call.
+
+    A call costs more than a word. Where the vocabulary marks the ends of words, and letters are split from what follows
+    them and lowered, new words of ASCII letters are joined to calls of ``TOGETHER`` words; the ids of each end at a mark.
     """
 
     def __init__(self, definition: str, kept: int = KEPT_WORDS, split_special: bool = True):
@@ -54,13 +60,56 @@ class WordTokenizer:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kept = kept
         self.known: dict[str, bytes] = {}
+        self.ends = self._ends(json.loads(definition).get("model", {}))
+
+    def _ends(self, model: dict) -> np.ndarray | None:
+        """Whether an id ends a word; none where words cannot be told apart by it."""
+        suffix = model.get("end_of_word_suffix")
+        parts = [self._plain([x])[0] for x in ("Word", "word", "word.", "word,", "word Word", ".", ",")]
+        if not suffix or parts[2:5] != [parts[1] + parts[5], parts[1] + parts[6], 2 * parts[1]] or parts[0] != parts[1]:
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith(suffix)
+        return ends
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The same for lower-case words of ASCII letters, many to a call."""
+        joined = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        raw = b"".join(self._plain(joined))
+        ids = np.frombuffer(raw, np.uint16 if self.code == "H" else np.uint32)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) != len(words):
+            return self._plain(words)
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _new(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not known."""
+        if self.ends is None:
+            return dict(zip(new, self._plain(list(new))))
+        stems, others = {}, []
+        for word in new:
+            stem = word[:-1] if word[-1:] in (".", ",") else word
+            if stem.isascii() and stem.isalpha():
+                stems[word] = stem.lower()
+            else:
+                others.append(word)
+        asked = [w for w in set(stems.values()) if w not in self.known]
+        found = dict(zip(asked, self._joined(asked))) if asked else {}
+        signs = dict(zip(".,", self._plain([".", ","])))
+        out = {}
+        for word, stem in stems.items():
+            ids = found.get(stem) or self.known[stem]
+            out[word] = ids if len(word) == len(stem) else ids + signs[word[-1]]
+        return found | out | dict(zip(others, self._plain(others)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in the machine's order of bytes."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*split).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = {word: array(self.code, x.ids).tobytes() for word, x in zip(new, found)}
+        ids = self._new(set().union(*split).difference(self.known))
         if len(self.known) + len(ids) <= self.kept:
             self.known.update(ids)
             get = self.known.__getitem__

@@ -61,9 +61,17 @@ def check(rows, ids):
     assert max(sizes) <= 2048 and all(s & (s - 1) == 0 for s in sizes)  # nothing is padded
 
 
+def test_joined_words_have_the_ids_of_the_plain_call(sample):
+    plain, own = Tokenizer.from_file(PATH), P.WordTokenizer(open(PATH).read(), kept=3000, split_special=False)
+    assert own.ends is not None
+    texts = [r.text or "" for r in sample.limit(60).collect()]
+    texts += ["Word. WORD, word Word,. a.b c,d e.. 's it's don't, X. , . ., Ab1. aé. É, ß. ſt,", "", ". . ,", "I'LL. we'RE, o'd"]
+    for _ in range(2):  # the second time some words are known
+        assert [np.frombuffer(x, own.code).tolist() for x in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query_against_the_library(spark, sample):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     ids = {r.doc_id: [*plain.encode(r.text or "", add_special_tokens=False).ids, 1] for r in sample.collect()}
     check(P.pack(sample, PATH, with_ids=False).collect(), ids)
     rows = P.pack(sample, PATH, shard_chars=50_000).collect()
