@@ -62,9 +62,10 @@ class LeaderMiner:
 
 
 def mine_ael(
-    df: DataFrame, cluster_thr: int = 2, merge_thr: float = 1.0, block_lines: int = BLOCK_LINES
+    df: DataFrame, cluster_thr: int = 2, merge_thr: float = 1.0, block_lines: int = BLOCK_LINES, log: str | None = None
 ) -> DataFrame:
-    """``df`` needs ``LineID``, ``MaskedContent`` and ``content``."""
+    """``df`` needs ``LineID``, ``MaskedContent`` and ``content``; ``log`` names a column that tells several logs apart."""
+    bins = [*BIN, *([log] if log else [])]
     binned = df.withColumns(
         {
             "_token_count": token_count(tokenize(F.col("content"))),
@@ -73,34 +74,33 @@ def mine_ael(
     )
     contents = materialize(
         binned.where(F.col("content").isNotNull())
-        .groupBy(*BIN, "content")
+        .groupBy(*bins, "content")
         .agg(F.min("LineID").alias("LineID"), F.count("*").alias("n"))
     )
-    sizes = contents.groupBy(*BIN).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
+    sizes = contents.groupBy(*bins).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
     large = sizes.where(F.col("contents") > cluster_thr)
     if merge_thr >= 1:
         # any two contents of a bin may merge, so the bin is the group and lines need no content join
-        merged = _merge(contents.join(large.select(*BIN), BIN), BIN)
-        joined = lookup_join(binned, sizes.join(merged, BIN, "left").drop("contents"), BIN, "n", how="left")
+        merged = _merge(contents.join(large.select(*bins), bins), bins)
+        joined = lookup_join(binned, sizes.join(merged, bins, "left").drop("contents"), bins, "n", how="left")
         return joined.withColumn("Template", F.coalesce("Template", "content")).drop(*BIN)
 
-    wide = materialize(contents.join(large.select(*BIN), BIN))
-    routed = wide.select(
-        F.concat_ws(" ", *BIN).alias("route"), F.lit(0).alias("level"), "LineID", "content"
-    )
+    wide = materialize(contents.join(large.select(*bins), bins).withColumn("route", F.concat_ws(" ", *bins)))
+    routed = wide.select("route", F.lit(0).alias("level"), "LineID", "content")
     n_blocks = blocks_needed(*size_of(routed), block_lines)
     led = materialize(
-        replay(routed, lambda level: LeaderMiner(merge_thr), n_blocks).select("LineID", "leader")
+        replay(routed, lambda level: LeaderMiner(merge_thr), n_blocks).select("route", "LineID", "leader")
     )
-    grouped = wide.join(led, "LineID")
-    sizes_of_groups = led.groupBy("leader").agg(F.count("*").alias("copies"))
-    templates = _merge(grouped, ["leader"]).join(sizes_of_groups, "leader")
-    by_content = lookup_join(grouped, templates, "leader", weight="copies").select(*BIN, "content", "Template", "n")
-    small = contents.join(large.select(*BIN), BIN, "left_anti").select(
-        *BIN, "content", F.col("content").alias("Template"), "n"
+    group = ["route", "leader"]
+    grouped = wide.join(led, ["route", "LineID"])
+    sizes_of_groups = led.groupBy(*group).agg(F.count("*").alias("copies"))
+    templates = _merge(grouped, group).join(sizes_of_groups, group)
+    by_content = lookup_join(grouped, templates, group, weight="copies").select(*bins, "content", "Template", "n")
+    small = contents.join(large.select(*bins), bins, "left_anti").select(
+        *bins, "content", F.col("content").alias("Template"), "n"
     )
     return lookup_join(
-        binned, by_content.unionByName(small), [*BIN, "content"], weight="n", how="left"
+        binned, by_content.unionByName(small), [*bins, "content"], weight="n", how="left"
     ).drop(*BIN)
 
 

@@ -12,39 +12,44 @@ from logweave.session import materialize
 ROOT_SHARE = 0.5  # a root is at least this share of the line's highest frequency
 
 
-def mine_brain(df: DataFrame, var_thr: int = 2) -> DataFrame:
-    """Work on distinct contents with their number of lines, then join the templates back to the lines."""
+def mine_brain(df: DataFrame, var_thr: int = 2, log: str | None = None) -> DataFrame:
+    """Work on distinct contents with their number of lines, then join the templates back to the lines.
+
+    ``log`` names a column that tells several logs apart; each is mined as if it were alone.
+    """
+    own = [log] if log else []
     contents = materialize(
         df.where(F.col("content").isNotNull())
-        .groupBy("content")
+        .groupBy(*own, "content")
         .agg(F.count("*").alias("n"))
         .withColumn("id", F.monotonically_increasing_id())
     )
-    rooted = materialize(_with_root(_with_frequencies(contents)))
-    family = ["length", "root_freq", "root_count"]
+    rooted = materialize(_with_root(_with_frequencies(contents, own)))
+    family = [*own, "length", "root_freq", "root_count"]
     wild = _wildcard_columns(rooted, family, var_thr)
     text = F.array_join(
         F.transform("cells", lambda c: F.when(F.array_contains("wild", c["col"]), F.lit(WILDCARD)).otherwise(c["token"])),
         " ",
     )
     templates = lookup_join(rooted, wild, family, weight="members").select(
+        *own,
         F.array_join(F.transform("cells", lambda c: c["token"]), " ").alias("content"),
         text.alias("Template"),
         "n",
     )
-    return lookup_join(df, templates, "content", weight="n", how="left")
+    return lookup_join(df, templates, [*own, "content"], weight="n", how="left")
 
 
-def _with_frequencies(contents: DataFrame) -> DataFrame:
+def _with_frequencies(contents: DataFrame, own: list[str]) -> DataFrame:
     """Per content its cells ``(col, token, freq)``: lines of that length with that token in that column."""
     cells = contents.withColumn("tokens", tokenize(F.col("content"))).select(
-        "id", "n", F.size("tokens").alias("length"), F.posexplode("tokens").alias("col", "token")
+        *own, "id", "n", F.size("tokens").alias("length"), F.posexplode("tokens").alias("col", "token")
     )
-    place = ["length", "col", "token"]
+    place = [*own, "length", "col", "token"]
     frequency = cells.groupBy(*place).agg(F.sum("n").alias("freq"), F.count("*").alias("copies"))
     return (
         lookup_join(cells, frequency, place, weight="copies")
-        .groupBy("id", "n", "length")
+        .groupBy("id", *own, "n", "length")
         .agg(F.array_sort(F.collect_list(F.struct("col", "token", "freq"))).alias("cells"))
         .drop("id")
     )

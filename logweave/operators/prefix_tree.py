@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD, tokenize
 from logweave.operators.joins import lookup_join
-from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay
+from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, root_of, with_templates
 from logweave.session import materialize, ship
 
 FEW_PATHS = 100_000
@@ -176,46 +176,43 @@ def jaccard_rules(depth: int = 4, children: int = 100, sim_thr: float = 0.4) ->
     )
 
 
-def mine_drain(df: DataFrame, depth=4, children=100, sim_thr=0.4, block_lines=BLOCK_LINES) -> DataFrame:
-    return _mine(df, drain_rules(depth, children, sim_thr), block_lines)
+def mine_drain(df: DataFrame, depth=4, children=100, sim_thr=0.4, block_lines=BLOCK_LINES, log: str | None = None) -> DataFrame:
+    return _mine(df, drain_rules(depth, children, sim_thr), block_lines, log)
 
 
-def mine_jaccard_drain(df: DataFrame, depth=4, children=100, sim_thr=0.4, block_lines=BLOCK_LINES) -> DataFrame:
-    return _mine(df, jaccard_rules(depth, children, sim_thr), block_lines)
+def mine_jaccard_drain(df: DataFrame, depth=4, children=100, sim_thr=0.4, block_lines=BLOCK_LINES, log: str | None = None) -> DataFrame:
+    return _mine(df, jaccard_rules(depth, children, sim_thr), block_lines, log)
 
 
-def _mine(df: DataFrame, rules: TreeRules, block_lines: int) -> DataFrame:
-    lines = df.where(F.col("content").isNotNull()).select("LineID", "content")
+def _mine(df: DataFrame, rules: TreeRules, block_lines: int, log: str | None) -> DataFrame:
+    """``log`` names a column that tells several logs apart; each has a root of its own in the tree."""
+    lines = df.where(F.col("content").isNotNull()).select(root_of(log).alias("root"), "LineID", "content")
     keyed = lines.withColumn("keys", _key_column(rules))
     paths = materialize(
-        keyed.groupBy("keys").agg(
+        keyed.groupBy("root", "keys").agg(
             F.min("LineID").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")
         )
     )
     different, *size = paths.agg(F.count("*"), F.sum("n"), F.sum("bytes")).first()
     n_blocks = blocks_needed(*size, block_lines)
-    if different <= FEW_PATHS:
-        routed = lookup_join(keyed, _few_routes(paths, rules), "keys", weight="n").drop("keys")
-    elif _plain(paths, rules):
+    if different > FEW_PATHS and _plain(paths, rules):
         # the keys are the route
         routed = keyed.select(
             "LineID",
             "content",
-            F.when(F.size("keys") == rules.levels, F.array_join("keys", " ")).alias("route"),
+            F.when(F.size("keys") == rules.levels, F.concat("root", F.array_join("keys", " "))).alias("route"),
             F.lit(rules.levels).alias("level"),
         )
     else:
-        routes = _routes(paths, rules).select("keys", "route", "level", "n")
-        routed = lookup_join(keyed, routes, "keys", weight="n").drop("keys")
+        routes = (_few_routes if different <= FEW_PATHS else _routes)(paths, rules)
+        routed = lookup_join(keyed, routes.select("root", "keys", "route", "level", "n"), ["root", "keys"], weight="n")
     mined = replay(
         routed.where(F.col("route").isNotNull()),
         lambda level: PrefixTreeMiner(rules, level),
         n_blocks,
     )
     # lines that end above the leaves are not replayed and keep their own text
-    return df.join(mined.select("LineID", "Template"), "LineID", "left").withColumn(
-        "Template", F.coalesce("Template", "content")
-    )
+    return with_templates(df, mined, log).withColumn("Template", F.coalesce("Template", "content"))
 
 
 def _key_column(rules: TreeRules) -> Column:
@@ -228,9 +225,9 @@ def _key_column(rules: TreeRules) -> Column:
 def _plain(paths: DataFrame, rules: TreeRules) -> bool:
     """Whether every key has a child of its own, or no line reaches a leaf at all."""
     nodes = (
-        paths.select("keys", F.posexplode("keys").alias("level", "key"))
-        .select(F.slice("keys", F.lit(1), F.col("level")).alias("node"), "key", F.size("keys").alias("size"))
-        .groupBy("node")
+        paths.select("root", "keys", F.posexplode("keys").alias("level", "key"))
+        .select("root", F.slice("keys", F.lit(1), F.col("level")).alias("node"), "key", F.size("keys").alias("size"))
+        .groupBy("root", "node")
         .agg(
             F.count_distinct("key").alias("n"),
             F.max((F.col("key") == WILDCARD).cast("int")).alias("wild"),
@@ -254,7 +251,7 @@ def _few_routes(paths: DataFrame, rules: TreeRules) -> DataFrame:
             return
         table = table.sort_by("first")
         keys = table.column("keys").to_pylist()
-        route, level, mixed = [""] * len(keys), [0] * len(keys), [False] * len(keys)
+        route, level, mixed = table.column("root").to_pylist(), [0] * len(keys), [False] * len(keys)
         for depth in range(rules.levels):
             met: dict[str, dict[str, None]] = {}  # the keys of a node in the order of their first lines
             for i, own in enumerate(keys):
@@ -268,17 +265,17 @@ def _few_routes(paths: DataFrame, rules: TreeRules) -> DataFrame:
                     route[i] = f"{node} ={own[depth]}" if own[depth] in named[node] else f"{node} *"
                     level[i] = depth + 1
         ends = [r if m or len(own) == rules.levels else None for r, m, own in zip(route, mixed, keys)]
-        arrays = [table.column("keys").combine_chunks(), pa.array(ends, pa.string()), pa.array(level, pa.int32()), table.column("n").combine_chunks()]
-        yield pa.RecordBatch.from_arrays(arrays, ["keys", "route", "level", "n"])
+        arrays = [table.column("root").combine_chunks(), table.column("keys").combine_chunks(), pa.array(ends, pa.string()), pa.array(level, pa.int32()), table.column("n").combine_chunks()]
+        yield pa.RecordBatch.from_arrays(arrays, ["root", "keys", "route", "level", "n"])
 
     ship(paths.sparkSession)
-    rows = paths.select("keys", "first", "n").coalesce(1)
-    return rows.mapInArrow(routes, "keys array<string>, route string, level int, n long")
+    rows = paths.select("root", "keys", "first", "n").coalesce(1)
+    return rows.mapInArrow(routes, "root string, keys array<string>, route string, level int, n long")
 
 
 def _routes(paths: DataFrame, rules: TreeRules) -> DataFrame:
     """Per key path its ``route`` (NULL if it ends above the leaves) and the ``level`` the route reaches."""
-    paths = paths.withColumns({"route": F.lit(""), "level": F.lit(0), "mixed": F.lit(False)})
+    paths = paths.withColumns({"route": F.col("root"), "level": F.lit(0), "mixed": F.lit(False)})
     for level in range(rules.levels):
         paths = materialize(_one_level(paths.withColumn("key", F.get("keys", F.lit(level))), rules, level))
     ends_at_leaf = F.col("mixed") | (F.size("keys") == rules.levels)

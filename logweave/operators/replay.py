@@ -28,7 +28,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.joins import lookup_join
@@ -116,6 +116,22 @@ def size_of(lines: DataFrame) -> tuple[int | None, int | None]:
     return tuple(lines.agg(F.count("*"), F.sum(F.octet_length("content"))).first())
 
 
+_LOG_END = "\0"  # between the name of a log and the route inside it
+
+
+def root_of(log: str | None) -> Column:
+    """The beginning of all routes of a log; ``log`` names the column that tells logs apart."""
+    return F.concat(F.col(log), F.lit(_LOG_END)) if log else F.lit("")
+
+
+def with_templates(df: DataFrame, mined: DataFrame, log: str | None) -> DataFrame:
+    """``df`` with the ``Template`` of the replayed lines."""
+    if not log:
+        return df.join(mined.select("LineID", "Template"), "LineID", "left")
+    named = mined.select(F.substring_index("route", _LOG_END, 1).alias(log), "LineID", "Template")
+    return df.join(named, [log, "LineID"], "left")
+
+
 def replay(lines: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFrame:
     """``(route, level, LineID, content)`` to ``(route, LineID, leader, Template)``."""
     ship(lines.sparkSession)

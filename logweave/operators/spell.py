@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD
-from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, size_of
+from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, root_of, size_of, with_templates
 
 
 class _Prefixes:
@@ -257,9 +257,10 @@ def aligned(common: list[str], template: list[str]) -> list[str]:
     return out
 
 
-def mine_spell(df: DataFrame, sim_thr: float = 0.5, block_lines: int = BLOCK_LINES) -> DataFrame:
+def mine_spell(df: DataFrame, sim_thr: float = 0.5, block_lines: int = BLOCK_LINES, log: str | None = None) -> DataFrame:
+    """``log`` names a column that tells several logs apart; each is a route of its own."""
     lines = df.where(F.col("content").isNotNull()).select(
-        F.lit("").alias("route"), F.lit(0).alias("level"), "LineID", "content"
+        root_of(log).alias("route"), F.lit(0).alias("level"), "LineID", "content"
     )
     mined = replay(lines, lambda level: SpellMiner(sim_thr), blocks_needed(*size_of(lines), block_lines))
-    return df.join(mined.select("LineID", "Template"), "LineID", "left")
+    return with_templates(df, mined, log)

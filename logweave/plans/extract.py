@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from logweave.functions.text import Mask, mask, pad_delimiters
 from logweave.operators.ael import mine_ael
 from logweave.operators.brain import mine_brain
+from logweave.operators.joins import lookup_join
 from logweave.operators.prefix_tree import mine_drain, mine_jaccard_drain
 from logweave.operators.sequence import with_rank
 from logweave.operators.spell import mine_spell
@@ -49,12 +48,17 @@ def prepare(parsed: DataFrame, masks: Sequence[Mask] = (), delimiters: str = "")
 
 
 def mine(
-    parsed: DataFrame, miner: str, masks: Sequence[Mask] = (), delimiters: str = "", block_lines=None, **params
+    parsed: DataFrame, miner: str, masks: Sequence[Mask] = (), delimiters: str = "", block_lines=None, log: str | None = None, **params
 ) -> DataFrame:
-    """Give every row of ``parsed`` (``LineID``, ``Content``, …) its ``Template``; NULL content gets NULL."""
+    """Give every row of ``parsed`` (``LineID``, ``Content``, …) its ``Template``; NULL content gets NULL.
+
+    ``log`` names a column that tells several logs apart; each is mined as if it were alone, all in the same jobs.
+    """
     arguments = check_parameters(miner, params)
     if block_lines and miner != "Brain":
         arguments["block_lines"] = block_lines
+    if log:
+        arguments["log"] = log
     # every miner reads its input more than once, so parsing and masking are done and written once;
     # Spark does not tell `content` from `Content`, so the original steps aside meanwhile
     work = prepare(parsed, masks, delimiters).withColumnsRenamed({"Content": "_raw", "PaddedContent": "content"})
@@ -62,11 +66,16 @@ def mine(
     return mined.select(*parsed.columns, "Template")
 
 
-def template_table(structured: DataFrame) -> DataFrame:
-    """``(template_id, Template, Count)``; ids are ranks by Count, ties by text, from 0."""
-    counts = structured.where(F.col("Template").isNotNull()).groupBy("Template").agg(F.count("*").alias("Count"))
-    ranked = with_rank(counts, [F.desc("Count"), F.asc("Template")], "template_id")
-    return materialize(ranked.select("template_id", "Template", "Count"))
+def template_table(structured: DataFrame, log: str | None = None) -> DataFrame:
+    """``(template_id, Template, Count)``; ids are ranks by Count, ties by text, from 0 in each log."""
+    own = [log] if log else []
+    counts = structured.where(F.col("Template").isNotNull()).groupBy(*own, "Template").agg(F.count("*").alias("Count"))
+    ranked = with_rank(counts, [*map(F.asc, own), F.desc("Count"), F.asc("Template")], "template_id")
+    if log:
+        ranked = materialize(ranked)
+        firsts = ranked.groupBy(log).agg(F.min("template_id").alias("_first"), F.count("*").alias("_n"))
+        ranked = lookup_join(ranked, firsts, log, weight="_n").withColumn("template_id", F.col("template_id") - F.col("_first"))
+    return materialize(ranked.select(*own, "template_id", "Template", "Count"))
 
 
 def extract(
@@ -78,9 +87,10 @@ def extract(
     on_bad: str = "fail",
     block_lines: int | None = None,
     default_year: int = 1900,
+    log: str | None = None,
     **params,
 ) -> Extraction:
-    """Parse, mask and mine numbered lines ``(LineID, raw)``.
+    """Parse, mask and mine numbered lines ``(LineID, raw)``, of several logs if ``log`` names a column that tells them apart.
 
     ``masks="user"`` leaves the built-in masks out, ``tuned=False`` ignores the parameters stored in the
     format. ``on_bad="fail"`` stops at the first line that does not fit, ``"quarantine"`` sets it aside.
@@ -100,10 +110,11 @@ def extract(
             config.masks if masks == "config" else config.user_masks,
             config.delimiters,
             block_lines,
+            log,
             **config.parameters(miner, tuned, **params),
         )
     )
-    return Extraction(structured, template_table(structured), bad)
+    return Extraction(structured, template_table(structured, log), bad)
 
 
 def _files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
@@ -117,21 +128,11 @@ def extract_file(spark: SparkSession, path: str, config: FormatConfig, **options
     return extract(read_log_lines(spark, path).drop("source_path"), config, **options)
 
 
-def extract_files(spark: SparkSession, paths: str | Sequence[str], config: FormatConfig, at_once: int = 4, **options) -> Extraction:
-    """Every text file under ``paths`` as a log of its own, ``at_once`` of them side by side.
+def extract_files(spark: SparkSession, paths: str | Sequence[str], config: FormatConfig, **options) -> Extraction:
+    """Every text file under ``paths`` as a log of its own, all of them in the same jobs.
 
-    Lines are numbered and templates mined per file; the rows of all tables begin with ``source_path``.
+    Lines are numbered, templates mined and their ids given per file; the rows of all tables begin with ``source_path``.
     """
-    files = _files(spark, paths)
-    if not files:
+    if not _files(spark, paths):
         raise ValueError("no file to extract")
-    with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(lambda path: extract_file(spark, path, config, **options), files))
-
-    def together(name: str) -> DataFrame | None:
-        parts = [(path, getattr(result, name)) for path, result in zip(files, done)]
-        if parts[0][1] is None:
-            return None
-        return reduce(DataFrame.unionByName, [part.select(F.lit(path).alias("source_path"), "*") for path, part in parts])
-
-    return Extraction(together("structured"), together("templates"), together("bad_lines"))
+    return extract(read_log_lines(spark, paths), config, log="source_path", **options)

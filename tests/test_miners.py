@@ -164,6 +164,45 @@ def test_blank_lines_have_no_template(spark, miner):
     assert got[1] is None and got[4] is None and all(got[i] is not None for i in (0, 2, 3))
 
 
+LOGS = {"a b": random_lines(21, 5, 60), "a": random_lines(22, 5, 45), "z": random_lines(23, 40, 50), "empty": [None]}
+
+
+@pytest.mark.parametrize("miner,options", [
+    ("Drain", dict(depth=3, children=3)), ("JaccardDrain", {}), ("Spell", {}), ("Brain", {}), ("AEL", {}), ("AEL", dict(merge_thr=0.4)),
+])
+def test_several_logs_are_mined_apart_in_the_same_jobs(spark, miner, options):
+    """Line numbers repeat between logs; every template and id is that of the log alone."""
+    rows = [(name, i, None if t is None else " ".join(t)) for name, lines in LOGS.items() for i, t in enumerate(lines, 1)]
+    together = mine(spark.createDataFrame(rows, "source_path string, LineID long, Content string"), miner, log="source_path", **options)
+    got = {(r.source_path, r.LineID): r.Template for r in together.collect()}
+    model = {"Drain": models.drain, "JaccardDrain": models.jaccard_drain, "Spell": models.spell, "Brain": models.brain, "AEL": models.ael}[miner]
+    want = {}
+    for name, lines in LOGS.items():
+        full = [t for t in lines if t is not None]
+        found = iter(model(full, **options))
+        want.update({(name, i): None if t is None else next(found) for i, t in enumerate(lines, 1)})
+    assert got == want
+    ids = [tuple(r) for r in template_table(together, "source_path").collect()]
+    for name in LOGS:
+        own = sorted((i, t, n) for path, i, t, n in ids if path == name)
+        counts = {}
+        for (path, _), t in want.items():
+            if path == name and t is not None:
+                counts[t] = counts.get(t, 0) + 1
+        assert own == [(i, t, n) for i, (t, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))]
+
+
+def test_number_of_jobs_does_not_grow_with_the_logs(spark):
+    context, jobs = spark.sparkContext, {}
+    for n in (2, 12):
+        rows = [(f"log{k}", i, f"job {i % 3} of {k} took {i * 7 % 11} ms") for k in range(n) for i in range(1, 9)]
+        context.setJobGroup(f"logs-{n}", "")
+        mine(spark.createDataFrame(rows, "source_path string, LineID long, Content string"), "Drain", log="source_path").collect()
+        jobs[n] = len(context.statusTracker().getJobIdsForGroup(f"logs-{n}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[12] <= jobs[2] + 1
+
+
 @pytest.mark.parametrize("miner", sorted(MINERS))
 def test_no_lines(spark, miner):
     assert mined(spark, [], miner) == []
