@@ -668,11 +668,82 @@ def ael_conversations(spark, sf):
     return mine(conversation_lines(spark, sf), "AEL", (), ",.", cluster_thr=3).select("LineID", "Template")
 
 
-@query("ael_partial_merge")
+# Miners that look at one line after the other are stated as recursion over the lines of a bin or leaf, the state
+# being the list of groups so far.
+
+_PARTIAL_MERGE_SQL = f"""with recursive {PREPARED_SQL},
+    lines as (select LineID, PaddedContent, str_split(PaddedContent, ' ') as tokens, len(regexp_extract_all(MaskedContent, '<#.*#>')) as paras from p),
+    distinct_ as (select len(tokens) as length, paras, PaddedContent, any_value(tokens) as tokens, min(LineID) as first from lines group by all),
+    placed as (select *, row_number() over (partition by length, paras order by first) as nth, count(*) over (partition by length, paras) as contents
+      from distinct_),
+    led(length, paras, nth, leaders, leader) as (
+      select length, paras, 1::bigint, [tokens], 1::bigint from placed where nth = 1
+      union all
+      select length, paras, nth, case when met is null then list_append(leaders, tokens) else leaders end, coalesce(met, len(leaders) + 1) from (
+        select p.length, p.paras, p.nth, p.tokens, l.leaders, list_filter(range(1, len(l.leaders) + 1), lambda k:
+          cast(len(list_filter(range(1, p.length + 1), lambda i: l.leaders[k][i] <> p.tokens[i])) as float) / cast(p.length as float)
+          <= cast(0.4 as float))[1] as met
+        from led l join placed p on p.length = l.length and p.paras = l.paras and p.nth = l.nth + 1)),
+    grouped as (select p.*, case when contents > 2 then leader else -nth end as own from placed p join led using (length, paras, nth)),
+    cells as (select length, paras, own, unnest(range(length)) as col, unnest(tokens) as token from grouped),
+    cols as (select length, paras, own, col, count(distinct token) as words, min(token) as token from cells group by all),
+    texts as (select length, paras, own, string_agg(case when words > 1 then '<#*#>' else token end, ' ' order by col) as Template
+      from cols group by all)
+    select LineID, Template from lines join grouped g using (PaddedContent)
+      join texts t on t.length = g.length and t.paras = g.paras and t.own = g.own"""
+
+
+@query("ael_partial_merge", _PARTIAL_MERGE_SQL)
 def ael_partial_merge(spark, sf):
     return mined(spark, sf, "AEL", merge_thr=0.4).select("LineID", "Template")
 
 
+def _tree_sql(sources: str, keys: list[str], least: int, fit: str, merge: str) -> str:
+    """Leaves by the first keys of a line, 99 of a node having a child of their own; then the lines of a leaf in order.
+
+    ``fit`` scores the groups ``m.groups`` of a leaf for the line ``p.tokens`` as structs (s, w, -k), ``merge`` is the template of
+    group ``met`` with the line, ``least`` the tokens a line needs to be found by later ones.
+    """
+    sql = f"with recursive {sources}, lines as (select LineID, PaddedContent, str_split(PaddedContent, ' ') as tokens from p), n0 as (select *, '' as node from lines)"
+    for k, key in enumerate(keys):
+        sql += f""",
+    k{k} as (select node, key, row_number() over (partition by node order by first) as place
+      from (select node, {key} as key, min(LineID) as first from n{k} group by 1, 2) where key is not null),
+    n{k + 1} as (select n.LineID, n.PaddedContent, n.tokens, concat(n.node, case when place <= 99 then ' =' || key else ' *' end) as node
+      from (select *, {key} as own from n{k}) n join k{k} k on k.node = n.node and k.key = n.own)"""
+    return sql + f""",
+    placed as (select *, len(tokens) >= {least} as stored, row_number() over (partition by node order by LineID) as nth from n{len(keys)}),
+    mined(node, nth, groups, own) as (
+      select node, 1::bigint, case when stored then [tokens] else [] end, case when stored then 1::bigint end from placed where nth = 1
+      union all
+      select node, nth, case when met is not null then list_concat(list_concat(groups[1:met - 1], [{merge}]), groups[met + 1:])
+          when stored then list_append(groups, tokens) else groups end, coalesce(met, case when stored then len(groups) + 1 end)
+      from (select *, case when best.s > cast(0.4 as float) then -best.k end as met from (
+        select p.node, p.nth, p.tokens, p.stored, m.groups, list_max({fit}) as best
+        from mined m join placed p on p.node = m.node and p.nth = m.nth + 1))),
+    last as (select node, arg_max(groups, nth) as groups from mined group by node)
+    select l.LineID, coalesce(array_to_string(t.groups[m.own], ' '), l.PaddedContent) as Template from lines l
+      left join placed p on p.LineID = l.LineID left join mined m on m.node = p.node and m.nth = p.nth left join last t on t.node = p.node"""
+
+
+_SAME_PLACES_SQL = """list_transform(range(1, len(tokens) + 1), lambda i:
+    case when i > len(groups[met]) or tokens[i] = groups[met][i] then tokens[i] else '<#*#>' end)"""
+_EQUAL_PLACES_SQL = """list_transform(range(1, len(m.groups) + 1), lambda k: {'s': cast(len(list_filter(range(1, least(len(p.tokens), len(m.groups[k])) + 1),
+    lambda i: p.tokens[i] = m.groups[k][i] and m.groups[k][i] <> '<#*#>')) as float) / cast(len(p.tokens) as float),
+    'w': len(list_filter(m.groups[k][1:len(p.tokens)], lambda x: x = '<#*#>')), 'k': -k})"""
+_SHARED_WORDS_SQL = """list_transform(range(1, len(m.groups) + 1), lambda k: {'s': least(cast(1 as float), cast(1.3 as float) * (
+    cast(len(list_intersect(list_distinct(p.tokens), list_filter(m.groups[k], lambda x: x <> '<#*#>'))) as float)
+    / cast(len(list_distinct(list_concat(p.tokens, list_filter(m.groups[k], lambda x: x <> '<#*#>')))) as float))),
+    'w': len(list_filter(m.groups[k], lambda x: x = '<#*#>')), 'k': -k})"""
+_WORD_MERGE_SQL = f"""case when len(tokens) = len(groups[met]) then {_SAME_PLACES_SQL}
+    when len(tokens) > len(groups[met]) then list_transform(tokens, lambda x: case when list_contains(groups[met], x) then x else '<#*#>' end)
+    else list_transform(groups[met], lambda x: case when list_contains(tokens, x) then x else '<#*#>' end) end"""
+
+
+def _drain_sql(sources: str) -> str:
+    return _tree_sql(sources, ["cast(len(tokens) as varchar)", "tokens[1]", "tokens[2]"], 3, _EQUAL_PLACES_SQL, _SAME_PLACES_SQL)
+
+
 def _leaf_merge_sql(leaf: str, sources: str) -> str:
     """With a low threshold every leaf is one group: its template keeps what all its lines share."""
     return sources + f""", leaves as (select LineID, tokens, {leaf} as leaf from routed),
@@ -732,21 +803,27 @@ def drain_short_lines(spark, sf):
     return mined(spark, sf, "Drain", depth=20).select("LineID", "Template")
 
 
-@query("drain")
+@query("drain", _drain_sql(PREPARED_SQL))
 def drain(spark, sf):
     return mined(spark, sf, "Drain").select("LineID", "Template")
 
 
-@query("drain_conversations")
+@query("drain_conversations", _drain_sql(_CONVERSATIONS_SQL))
 def drain_conversations(spark, sf):
     return mine(conversation_lines(spark, sf), "Drain", (), ",.").select("LineID", "Template")
 
 
-@query("jaccard_drain")
+@query("jaccard_drain", _tree_sql(PREPARED_SQL, ["tokens[1]", "tokens[2]", "tokens[3]"], 4, _SHARED_WORDS_SQL, _WORD_MERGE_SQL))
 def jaccard_drain(spark, sf):
     return mined(spark, sf, "JaccardDrain").select("LineID", "Template")
 
 
+@query("spell_conversations")
+def spell_conversations(spark, sf):
+    """Free text: nearly every line opens a group."""
+    return mine(conversation_lines(spark, sf), "Spell", (), ",.").select("LineID", "Template")
+
+
 @query("spell")
 def spell(spark, sf):
     return mined(spark, sf, "Spell").select("LineID", "Template")
@@ -932,7 +1009,7 @@ def registry_search(spark, sf):
 )
 def registry_sorted(spark, sf):
     shown = reg.logs(registry(spark, sf)).withColumn("extract_method", F.nullif("extract_method", F.lit("")))
-    order = [F.col("extract_method").desc_nulls_first(), F.asc("id")]
+    order = reg.sort_order("extract_method", descending=True)
     return with_rank(shown, order, "place").select("id", "extract_method", (F.col("place") + 1).alias("place"))
 
 

@@ -87,10 +87,14 @@ def delete_log(registry: DataFrame, log_id: int) -> DataFrame:
     return registry.withColumn("deleted", F.col("deleted") | (F.col("id") == log_id))
 
 
-def sort_logs(shown: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def sort_order(column: str, descending: bool = False) -> list[Column]:
     """By a column or the derived ``status``; NULLs last, first when descending; ties by id."""
     key = F.when(F.col("is_extracted"), 0).otherwise(1) if column == "status" else F.col(column)
-    return shown.orderBy(key.desc_nulls_first() if descending else key.asc_nulls_last(), "id")
+    return [key.desc_nulls_first() if descending else key.asc_nulls_last(), F.asc("id")]
+
+
+def sort_logs(shown: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    return shown.orderBy(*sort_order(column, descending))
 
 
 def search_logs(shown: DataFrame, keyword: str) -> DataFrame:
