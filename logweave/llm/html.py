@@ -5,7 +5,8 @@ hashes; Spark counts on how many different pages of a host each hash occurs, and
 many pages are deleted before the text is read. Elements whose role is fixed by HTML or by their name
 (menus, forms, scripts, adverts, comments, ...) are not read; a name is a whole token of class or id, and does
 not hide the only article of a page or its ``main``. Where a page has ``article`` or ``main``,
-only these are read, and their plain paragraphs and headings stay even if a host repeats them.
+only these are read, and of what a host repeats there only boxes of links, and elements named as standing around an
+article (notices, sidebars, ...), go: its prose, lists and tables stay. Parsing takes time linear in the page.
 
 Counting is one aggregation by (host, hash), combined before the shuffle, so that a host with a third of
 all pages is spread over all tasks; a page meets the templates of its host by its own hashes, so no list of a
@@ -52,23 +53,28 @@ _CLOSES = {  # an open element of the second kind ends where one of the first be
 _STOPS = frozenset("ul ol dl table article main section div body nav aside form".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_BOILERPLATE = frozenset(
-    "ad ads adv advert advertisement adverts adsense adslot banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
-    "disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo "
-    "related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+# fixed values: words in names of elements; menus, adverts, comments and forms are no part of an article wherever they stand
+_APART = frozenset(
+    "ad ads adv advert advertisement adverts adsense adslot breadcrumb breadcrumbs comment comments commentlist disqus menu nav navbar navigation "
+    "newsletter pagination pager promo respond share sharing signup social sponsor sponsored subscribe toolbar".split()
 )
+_AROUND = frozenset(
+    "banner cookie cookies consent disclaimer footer gdpr masthead modal notice notices overlay popup related sidebar skip widget widgets".split()
+)
+_BOILERPLATE = _APART | _AROUND
 _NO_DISPLAY = re.compile(r"display\s*:\s*none")
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _roles(attributes: str) -> tuple[bool, bool]:
-    """Whether an element is out of sight or has a role that is never read, and whether a name tells so."""
-    never = named = False
+def _roles(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is out of sight or has a role that is never read, whether a name sets it apart, and whether a name
+    tells that it stands around articles."""
+    never = apart = around = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden":
@@ -81,23 +87,32 @@ def _roles(attributes: str) -> tuple[bool, bool]:
             never |= not _ROLES.isdisjoint(value.split())
         elif name in ("class", "id"):
             # a token counts whole: sidebar, cookie-notice and ad-1, but not has-sidebar
-            named |= any(words and _BOILERPLATE.issuperset(words) for words in map(_WORD.findall, value.split()))
-    return never, named
+            tokens = [words for words in map(_WORD.findall, value.split()) if words and _BOILERPLATE.issuperset(words)]
+            apart |= any(not _APART.isdisjoint(words) for words in tokens)
+            around |= bool(tokens)
+    return never, apart, around and not apart
 
 
 class Node:
-    __slots__ = ("tag", "never", "named", "kids", "hash", "full", "plain")
+    """``apart`` and ``around`` are what names tell: the first never belongs to an article, the second only outside of one."""
+
+    __slots__ = ("tag", "never", "apart", "around", "kids", "hash", "full", "plain", "links")
 
     def __init__(self, tag: str, attributes: str, inside_core: bool):
         self.tag = tag
         self.kids: list = []
         self.hash = 0
         self.full = False
+        self.links = tag == "a"
         self.plain = not attributes.strip(" /")
         self.never = tag in _NEVER or (tag == "header" and not inside_core)
-        self.named = False
+        self.apart = self.around = False
         if not self.never and not self.plain and tag not in _CORE and tag not in ("html", "body"):
-            self.never, self.named = _roles(attributes)
+            self.never, self.apart, self.around = _roles(attributes)
+
+    def goes(self, in_core: bool) -> bool:
+        """Whether tag or names leave the element out, whatever its host repeats."""
+        return self.never or self.apart or (self.around and not in_core)
 
     def close(self) -> None:
         """Hash the finished subtree."""
@@ -110,56 +125,78 @@ class Node:
                     parts.append(text)
             else:
                 self.full |= kid.full
+                self.links |= kid.links
                 parts.append(f"\0{kid.hash}")
         self.hash = xxhash.xxh3_64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
-def parse(text: str) -> Node:
-    """The tree of a page; end tags without a beginning are passed over, what stays open ends with its parent."""
-    root = Node("html", "", False)
-    stack, at, core = [root], 0, 0
+class _Stack:
+    """The open elements of a page, and for each tag where it is open; every step costs what it closes."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.stops: list[int] = [0]
+        self.cores = 0
 
-    def end() -> None:
-        nonlocal core
-        node = stack.pop()
-        core -= node.tag in _CORE
-        node.close()
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _STOPS:
+            self.stops.append(len(self.nodes))
+        self.cores += node.tag in _CORE
+        self.nodes.append(node)
 
-    while m := _TOKEN.search(text, at):
+    def cut(self, size: int) -> None:
+        """Close elements until ``size`` are open."""
+        while len(self.nodes) > size:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in _STOPS:
+                self.stops.pop()
+            self.cores -= node.tag in _CORE
+            node.close()
+
+    def innermost(self, *tags: str) -> int:
+        """Where the innermost open element of these tags is; 0 if none is."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+def parse(text: str) -> Node:
+    """The tree of a page in time linear in its length; end tags without a beginning are passed over, what stays open ends with its parent."""
+    root = Node("html", "", False)
+    stack, at = _Stack(root), 0
+    last = text.rfind(">")  # behind it no tag ends
+    data = text.rfind("]]>")
+    while at <= last and (m := _TOKEN.search(text, at)) and m.start() < last:
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(text[at : m.start()]))
+            stack.nodes[-1].kids.append(html.unescape(text[at : m.start()]))
         at = m.end()
         if name := m[1]:
-            name = name.lower()
-            if any(node.tag == name for node in stack[1:]):
-                while stack[-1].tag != name:
-                    end()
-                end()
+            if place := stack.innermost(name.lower()):
+                stack.cut(place)
         elif name := m[2] or m[4]:
             name = name.lower()
             ends = _CLOSES.get(name, ())
-            for back in range(len(stack) - 1, 0, -1):
-                if stack[back].tag in ends:
-                    while len(stack) > back:
-                        end()
-                elif stack[back].tag in _STOPS:
-                    break
+            while ends and (place := stack.innermost(*ends)) > stack.stops[-1]:
+                stack.cut(place)
             attributes = m[3] or m[5] or ""
-            node = Node(name, attributes, core > 0)
-            stack[-1].kids.append(node)
+            node = Node(name, attributes, stack.cores > 0)
+            stack.nodes[-1].kids.append(node)
             if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
                 node.close()
             elif name in _RAW:
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(text, at)
-                at = stop.end()
+                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, at, last + 1) if at <= last else None
+                at = stop.end() if stop else len(text)
                 node.close()
             else:
-                core += name in _CORE
-                stack.append(node)
-    if at < len(text):
-        stack[-1].kids.append(html.unescape(text[at:]))
-    while len(stack) > 1:
-        end()
+                stack.push(node)
+        elif text.startswith("<![CDATA[", m.start()) and m.start() < data:
+            at = text.index("]]>", m.start()) + 3
+    rest = text[at:]
+    if rest:
+        opened = rest.find("<!--")  # a comment that does not end
+        stack.nodes[-1].kids.append(html.unescape(rest if opened < 0 else rest[:opened]))
+    stack.cut(1)
     root.close()
     return root
 
@@ -188,7 +225,7 @@ def _cores(root: Node) -> list[Node]:
         if node.tag == "main" and node.full and not in_main:
             found.append(node)
             names, in_main = None, True
-        elif node.named:
+        elif node.apart or node.around:
             names = (node, names)
         todo += [(k, names, in_main) for k in reversed(node.kids) if not isinstance(k, str)]
     if not article:
@@ -196,7 +233,7 @@ def _cores(root: Node) -> list[Node]:
         for node, names, in_main in wrapped:
             if in_main:
                 while names:
-                    names[0].named = False
+                    names[0].apart = names[0].around = False
                     names = names[1]
             elif alone:
                 found.append(node)
@@ -204,8 +241,11 @@ def _cores(root: Node) -> list[Node]:
 
 
 def _may_go(node: Node, in_core: bool) -> bool:
-    """Whether a recurring subtree is deleted: plain prose of an article stays."""
-    return node.full and not (in_core and node.plain and node.tag in _PROSE) and node.tag not in ("html", "body", *_CORE)
+    """Whether a recurring subtree is deleted: of an article only menus, which hold links and are no plain prose, and what a
+    name tells to stand around articles."""
+    if in_core and not node.around and (not node.links or node.plain and node.tag in _PROSE):
+        return False
+    return node.full and node.tag not in ("html", "body", *_CORE)
 
 
 def subtree_hashes(root: Node) -> set[int]:
@@ -216,7 +256,7 @@ def subtree_hashes(root: Node) -> set[int]:
         todo = [core]
         while todo:
             node = todo.pop()
-            if node.never or node.named:
+            if node.goes(in_core):
                 continue
             if _may_go(node, in_core) and node.tag in _BLOCKS:
                 out.add(node.hash)
@@ -244,7 +284,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
                 line.append(node)
             elif node is None:
                 flush()
-            elif node.never or node.named or template and node.hash in template and node.tag in _BLOCKS and _may_go(node, in_core):
+            elif node.goes(in_core) or template and node.hash in template and node.tag in _BLOCKS and _may_go(node, in_core):
                 if node.tag in _BLOCKS:
                     flush()
             elif node.tag in _BLOCKS:

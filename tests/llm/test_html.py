@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from logweave.llm import html as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a}</style><script>var t="</p><p>no";</script></head><body>
@@ -82,3 +86,34 @@ def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = H.extract_main_text(pages).collect()
     assert len(rows) == pages.count() and all(r.text and r.n_chars == len(r.text) for r in rows)
+
+
+def test_articles_keep_what_a_host_repeats(spark):
+    body = "<p>Unique {0}</p><ul><li>same item</li></ul><table class=t><tr><td>same cell</td></tr></table><div class=notice>read this {1}</div>"
+    rows = [(i, f"http://a.example/{i}", f"<article>{body.format(i, i if i % 2 else 'always')}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Unique 3\nsame item\nsame cell\nread this 3"  # a name alone does not take it out
+    assert got[4] == "Unique 4\nsame item\nsame cell"
+
+
+BROKEN = ["<span>x", "<a ", "<b>", "</p>", "<li><p>", "<a '", "<![CDATA[ ", "<!-- ", "<!", "<title>x", "</title", "<div><b>", "<table><tr><td>", "<"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+@pytest.mark.parametrize("tail", ["", "<p>end</p>"])
+def test_long_broken_pages_take_linear_time(piece, tail):
+    def seconds(size):
+        page = "<article>one" + piece * (size // len(piece)) + tail
+        began = time.process_time()
+        H.main_text(H.parse(page))
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 20 and seconds(800_000) < 12 * max(seconds(200_000), 0.02)
+
+
+def test_two_broken_kinds_take_linear_time():
+    for page in ("<b>" * 150_000 + "</p>" * 150_000, "<p><b>" * 100_000 + "</i>" * 100_000, "<span>" * 100_000 + "<p>" * 100_000):
+        began = time.process_time()
+        H.main_text(H.parse(page))
+        assert time.process_time() - began < 20
