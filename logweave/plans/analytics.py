@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.timing import DEFAULT_WIDTH, Width, bucket_number, bucket_seconds, epoch_micros
@@ -155,13 +155,22 @@ def _packing(present: DataFrame) -> tuple[int, int]:
 def dense(matrix: DataFrame, dim: int) -> DataFrame:
     """``(i, cells)``: one row per i, ``cells`` the ``dim`` values of its row, missing ones 0.
 
-    A row is one array, so no dimension is too large for a plan; it is filled from the cells that exist.
+    A row is one array, so no dimension is too large for a plan. Each cell brings the zeros in front of it, so a row takes
+    time in proportion to its length.
     """
-    held = matrix.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("held"))
+    cells = F.array_sort(F.collect_list(F.struct("j", "value")))
+    held = matrix.where((F.col("j") >= 0) & (F.col("j") < dim)).groupBy("i").agg(cells.alias("held"))
     rows = matrix.sparkSession.range(dim).select(F.col("id").alias("i")).join(held, "i", "left")
     nothing = F.lit(0).cast(matrix.schema["value"].dataType)
-    places = F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<bigint>")
-    return rows.select("i", F.transform(places, lambda j: F.coalesce(F.col("held")[j], nothing)).alias("cells"))
+
+    def with_gap(cell: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(-1).cast("bigint")).otherwise(F.get(F.col("held"), k - 1)["j"])
+        return F.concat(F.array_repeat(nothing, (cell["j"] - before - 1).cast("int")), F.array(cell["value"]))
+
+    last = F.coalesce(F.get(F.col("held"), F.size("held") - 1)["j"], F.lit(-1))
+    nothings = F.array().cast(f"array<{matrix.schema['value'].dataType.simpleString()}>")
+    filled = F.coalesce(F.flatten(F.transform("held", with_gap)), nothings)
+    return rows.select("i", F.concat(filled, F.array_repeat(nothing, (F.lit(dim - 1) - last).cast("int"))).alias("cells"))
 
 
 def colour_scale(matrix: DataFrame) -> DataFrame:
