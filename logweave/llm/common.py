@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,21 +15,40 @@ from pyspark.sql import types as T
 from logweave.session import shared_dir, ship
 
 ROWS_PER_BATCH = 1024
+BYTES_PER_BATCH = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _given_back(fn):
+    """``fn``, and the memory that it freed returned to the system at the end of the task: workers are shared by all stages."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``ROWS_PER_BATCH`` rows, so that long texts fit a worker."""
+    """``mapInArrow`` over batches of at most ``ROWS_PER_BATCH`` rows and about ``BYTES_PER_BATCH``, so that long texts fit a worker."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH)) <= ROWS_PER_BATCH:
         conf.set(_BATCH, str(ROWS_PER_BATCH))
-    return df.mapInArrow(fn, schema)
+    if not 0 < int(conf.get(_BYTES).rstrip("b")) <= BYTES_PER_BATCH:
+        conf.set(_BYTES, str(BYTES_PER_BATCH))
+    return df.mapInArrow(_given_back(fn), schema)
 
 
 def extended(df: DataFrame, more: str) -> T.StructType:

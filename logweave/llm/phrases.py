@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.bits import BitTable
 from logweave.llm.common import grouped_by, map_batches, release, slices, stored, utf8
 from logweave.llm.hashing import mix, words
 from logweave.operators.joins import lookup_join
@@ -42,8 +43,7 @@ DEPTH = 5
 TOP = 2000
 BUDGET = 1_000_000  # suffixes of a group
 DICTIONARY_BYTES = 256 << 20
-TABLE_BITS = 29
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
 # fixed values: the bytes that end a piece, and those between words
@@ -259,7 +259,7 @@ def runs_by_join(docs: DataFrame, known: DataFrame) -> DataFrame:
     return map_batches(ordered, gather, _RUNS).where(F.size("ids") > 0)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], least: int = 1 << 20) -> Iterator[np.ndarray]:
+def _arrays(batches: Iterator[pa.RecordBatch], least: int = 1 << 19) -> Iterator[np.ndarray]:
     """Runs of several rows at a time."""
     held, size = [], 0
     for batch in batches:
@@ -293,44 +293,6 @@ def pair_counts(runs: DataFrame, size: int) -> DataFrame:
     return map_batches(runs, count, _KEYED).groupBy("key").agg(F.sum("f").alias("f"))
 
 
-@dataclass
-class BitTable:
-    """Answers whether a key was put in; it may say yes for others."""
-
-    bits: int
-    table: np.ndarray
-
-    @classmethod
-    def of(cls, keys: DataFrame, count: int) -> BitTable:
-        bits = min(TABLE_BITS, max(16, int(16 * count).bit_length()))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = cls._places(np.asarray(batch.column(0)), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(at))], ["at"])
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in grouped_by(batches, "chunk"):
-                flags = np.zeros(1 << 16, np.uint8)
-                flags[group.column("at").to_numpy() & 0xFFFF] = 1
-                yield pa.RecordBatch.from_arrays([group.column("chunk").combine_chunks()[:1], pa.array([np.packbits(flags).tobytes()])], ["chunk", "packed"])
-
-        placed = map_batches(keys.select("key"), place, "at bigint").distinct().withColumn("chunk", F.shiftright("at", 16))
-        packed = map_batches(placed.select("at", "chunk").repartition("chunk").sortWithinPartitions("chunk"), pack, "chunk bigint, packed binary")
-        table = np.zeros(1 << (bits - 3), np.uint8)
-        for row in packed.toLocalIterator():
-            table[row.chunk << 13 : (row.chunk + 1) << 13] = np.frombuffer(row.packed, np.uint8)
-        return cls(bits, table)
-
-    @staticmethod
-    def _places(keys: np.ndarray, bits: int) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = self._places(keys, self.bits)
-        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def suffixes(ids: np.ndarray, pairs: BitTable, size: int) -> np.ndarray:
     """All suffixes of three words or more of runs, cut at five words and at rare pairs; -1 behind the end."""
     ids = np.concatenate([ids, np.full(DEPTH, -1)])
