@@ -413,6 +413,28 @@ for _width in ("1 minute", "1 hour", "1 day", "1 week", "1 month"):
     _frequency(_width)
 
 
+def _roll_up_sql(columns: str, count: str, groups: str) -> str:
+    """The same query once for each width."""
+    one = "select '{name}' as width, {columns}epoch(time_bucket({width}, Timestamp))::bigint as bucket, {count} as Count from s group by {groups}"
+    each = [one.format(name=n, columns=columns, width=w, count=count, groups=groups) for n, w in _WIDTH_SQL.items()]
+    return f"with {STRUCTURED_SQL} " + " union all ".join(each)
+
+
+@query("log_roll_up", _roll_up_sql("", "count(*)", "2"))
+def log_roll_up(spark, sf):
+    return analytics.log_roll_up(analytics.finest_counts(structured(spark, sf)))
+
+
+@query("level_roll_up", _roll_up_sql("Level, ", "count(*)", "2, 3"))
+def level_roll_up(spark, sf):
+    return analytics.level_roll_up(analytics.finest_counts(structured(spark, sf)))
+
+
+@query("template_roll_up", _roll_up_sql("", "count(distinct Template)", "2"))
+def template_roll_up(spark, sf):
+    return analytics.template_roll_up(analytics.finest_counts(structured(spark, sf)))
+
+
 @query(
     "log_frequency_null_times",
     f"""with {LOG_SQL}, n as (select case when LineID % 100 <> 0 then Timestamp end as Timestamp from log)

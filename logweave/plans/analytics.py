@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.timing import DEFAULT_WIDTH, Width, bucket_number, bucket_seconds, epoch_micros
+from logweave.functions.timing import DEFAULT_WIDTH, WIDTHS, Width, bucket_number, bucket_seconds, epoch_micros
 from logweave.operators.joins import lookup_join
 from logweave.operators.sequence import with_next
 from logweave.session import materialize
@@ -53,6 +53,48 @@ def level_frequency(structured: DataFrame, width: Width | str = DEFAULT_WIDTH) -
     return structured.groupBy("Level", bucket).agg(F.count("*").alias("Count"))
 
 
+def finest_counts(structured: DataFrame) -> DataFrame:
+    """``(second, Level, Template, n)``: the one scan of the lines that all roll-ups are made from; written once.
+
+    ``second`` starts the finest bucket; every width is a multiple of it or whole days or months.
+    """
+    level = F.col("Level") if "Level" in structured.columns else F.lit(None).cast("string")
+    second = bucket_seconds(F.col("Timestamp"), "1 second").alias("second")
+    return materialize(structured.groupBy(second, level.alias("Level"), "Template").agg(F.count("*").alias("n")))
+
+
+def _in_widths(fine: DataFrame, widths: Sequence[str]) -> DataFrame:
+    """Each row once per width, with the bucket it falls into there."""
+    at = F.timestamp_seconds("second")
+    buckets = F.array(*[F.struct(F.lit(w).alias("width"), bucket_seconds(at, w).alias("bucket")) for w in widths])
+    return fine.withColumn("_b", F.explode(buckets)).select("_b.width", "_b.bucket", *[c for c in fine.columns if c != "second"])
+
+
+def log_roll_up(fine: DataFrame, widths: Sequence[str] = tuple(WIDTHS)) -> DataFrame:
+    """``(width, bucket, Count)``: ``log_frequency`` of all widths, from ``finest_counts``."""
+    return _in_widths(fine.groupBy("second").agg(F.sum("n").alias("n")), widths).groupBy("width", "bucket").agg(F.sum("n").alias("Count"))
+
+
+def level_roll_up(fine: DataFrame, widths: Sequence[str] = tuple(WIDTHS)) -> DataFrame:
+    """``(width, Level, bucket, Count)``: ``level_frequency`` of all widths."""
+    seconds = fine.groupBy("second", "Level").agg(F.sum("n").alias("n"))
+    return _in_widths(seconds, widths).groupBy("width", "Level", "bucket").agg(F.sum("n").alias("Count"))
+
+
+def template_roll_up(fine: DataFrame, widths: Sequence[str] = tuple(WIDTHS), approximate: bool = False) -> DataFrame:
+    """``(width, bucket, Count)``: ``template_frequency`` of all widths.
+
+    Distinct counts do not add up, so the exact form carries the templates of a second to every width. The approximate one makes
+    a sketch a second and merges sketches, whose size does not grow with the templates.
+    """
+    if approximate:
+        sketches = fine.groupBy("second").agg(F.hll_sketch_agg("Template").alias("sketch"))
+        merged = _in_widths(sketches, widths).groupBy("width", "bucket").agg(F.hll_union_agg("sketch").alias("sketch"))
+        return merged.select("width", "bucket", F.hll_sketch_estimate("sketch").alias("Count"))
+    templates = fine.select("second", "Template").distinct()
+    return _in_widths(templates, widths).groupBy("width", "bucket").agg(F.count_distinct("Template").alias("Count"))
+
+
 def with_template_id(structured: DataFrame, templates: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The given columns of every line that has a template, plus its ``template_id``."""
     columns = list(dict.fromkeys([*columns, "Template"]))

@@ -142,3 +142,16 @@ def test_template_clusters_separate_unlike_texts(spark):
     assert len(got) == 16
     first, second = {got[i]["cluster"] for i in range(8)}, {got[i]["cluster"] for i in range(8, 16)}
     assert len(first) == len(second) == 1 and first != second and -1 not in first | second
+
+
+def test_roll_ups_equal_single_widths(spark, s):
+    fine = analytics.finest_counts(s)
+    logs, levels, templates = analytics.log_roll_up(fine), analytics.level_roll_up(fine), analytics.template_roll_up(fine)
+    near = analytics.template_roll_up(fine, ["1 day"], approximate=True)
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    for width in ("1 second", "10 minutes", "1 day", "1 week", "1 month"):
+        own = f"width = '{width}'"
+        assert rows(logs.where(own), "bucket", "Count") == rows(analytics.log_frequency(s, width), "bucket", "Count")
+        assert rows(levels.where(own), "Level", "bucket", "Count") == rows(analytics.level_frequency(s, width), "Level", "bucket", "Count")
+        assert rows(templates.where(own), "bucket", "Count") == rows(analytics.template_frequency(s, width), "bucket", "Count")
+    assert rows(near, "bucket", "Count") == rows(analytics.template_frequency(s, "1 day"), "bucket", "Count")  # few templates: exact

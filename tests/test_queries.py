@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 # one or two queries per area; the driver compares all of them on more data
 COMPARED = [
-    "field_extraction", "preset_lines", "tokens", "time_buckets", "level_frequency_1_hour", "template_table",
+    "field_extraction", "preset_lines", "tokens", "time_buckets", "level_frequency_1_hour", "log_roll_up", "level_roll_up", "template_roll_up", "template_table",
     "template_transition_gapped", "template_dwell", "template_cooccurrence_6_hours", "brain_tuned", "ael",
     "drain", "drain_conversations", "jaccard_drain", "ael_partial_merge", "extract_several_files", "page", "registry_insert", "vector_neighbours",
 ]
