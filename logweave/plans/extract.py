@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from logweave.operators.joins import lookup_join
 from logweave.operators.prefix_tree import mine_drain, mine_jaccard_drain
 from logweave.operators.sequence import with_rank
 from logweave.operators.spell import mine_spell
-from logweave.plans.config import FormatConfig, check_parameters
+from logweave.plans.config import PARAMETERS, FormatConfig, check_parameters
 from logweave.session import materialize
 from logweave.sources.fields import parse_lines, reject_bad, split_bad
 from logweave.sources.lines import read_log_lines
@@ -30,6 +30,25 @@ MINERS: dict[str, Miner] = {
 }
 
 
+_IN_BLOCKS = frozenset(("AEL", "Drain", "JaccardDrain", "Spell"))  # miners that replay lines in blocks
+
+
+def register_miner(name: str, miner: Miner, parameters: Mapping[str, tuple[float, float, float]]) -> None:
+    """Make a miner of your own known under ``name``, for ``mine``, ``extract`` and the store.
+
+    It is called with a frame that has ``LineID``, ``content`` (masked, delimiters padded) and ``MaskedContent`` beside other
+    columns, and with ``parameters``, given as (default, lowest, highest); with several logs also with ``log``, the column that
+    tells them apart. It returns the frame with ``Template``.
+    """
+    if name in MINERS:
+        raise ValueError(f"there is a miner {name!r} already")
+    for parameter, (default, low, high) in parameters.items():
+        if not low <= default <= high:
+            raise ValueError(f"the default of {parameter!r} must lie in {low}..{high}")
+    MINERS[name] = miner
+    PARAMETERS[name] = dict(parameters)
+
+
 @dataclass(frozen=True)
 class Extraction:
     structured: DataFrame
@@ -55,7 +74,7 @@ def mine(
     ``log`` names a column that tells several logs apart; each is mined as if it were alone, all in the same jobs.
     """
     arguments = check_parameters(miner, params)
-    if block_lines and miner != "Brain":
+    if block_lines and miner in _IN_BLOCKS:
         arguments["block_lines"] = block_lines
     if log:
         arguments["log"] = log

@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.operators import ael, prefix_tree, replay, spell
-from logweave.plans.extract import MINERS, mine, template_table
+from logweave.plans.config import PARAMETERS
+from logweave.plans.extract import MINERS, mine, register_miner, template_table
 from tests import models
 
 
@@ -221,3 +223,20 @@ def test_template_ids_break_ties_by_text(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate("b b a a c".split())] + [(9, None)], "LineID long, Template string")
     got = [tuple(r) for r in template_table(rows).orderBy("template_id").collect()]
     assert got == [(0, "a", 2), (1, "b", 2), (2, "c", 1)]
+
+
+def test_a_miner_of_ones_own(spark):
+    def first_words(df, words, log=None):
+        return df.withColumn("Template", F.array_join(F.slice(F.split("content", " "), 1, words), " "))
+
+    register_miner("FirstWords", first_words, {"words": (1, 1, 9)})
+    try:
+        assert mined(spark, [["a", "b"], ["c"]], "FirstWords") == ["a", "c"]
+        assert mined(spark, [["a", "b", "c"], None], "FirstWords", words=2) == ["a b", None]
+        with pytest.raises(ValueError):
+            mined(spark, [["a"]], "FirstWords", words=10)
+        for name, spec in (("FirstWords", {}), ("Drain", {}), ("Other", {"x": (5, 6, 7)})):
+            with pytest.raises(ValueError):
+                register_miner(name, first_words, spec)
+    finally:
+        del MINERS["FirstWords"], PARAMETERS["FirstWords"]
