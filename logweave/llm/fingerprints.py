@@ -6,7 +6,7 @@ few edits change few of its places, because two walks that were set apart meet a
 move the pointer holds it for the rest of ``HOLD`` steps, which lets walks that are a sentence apart drift together
 sooner than single steps would. Each walk runs over the whole text, however long; those of a batch advance together
 in numpy, longest first, and the few longest go on alone. There are ``WALKS`` of them, since a walk may fail to
-meet: a sentence in front of a text leaves it alike in about half of the cases at 2,000 characters, in most from 6,000 on.
+meet: a sentence in front of a text leaves it alike in four of ten cases at 2,000 characters, in most from 6,000 on.
 
 The fingerprint samples the embedded texts at ``SLOTS`` steps in all, one byte each. Each slot has an endless
 random sequence of record steps and takes the last one inside the text: uniform over the whole text
