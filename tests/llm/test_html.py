@@ -1,6 +1,10 @@
+import random
 import time
+from collections import defaultdict
+from urllib.parse import urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import html as H
 
@@ -117,3 +121,31 @@ def test_two_broken_kinds_take_linear_time():
         began = time.process_time()
         H.main_text(H.parse(page))
         assert time.process_time() - began < 20
+
+
+def test_query_equals_a_plain_count(spark):
+    """Subtrees counted in dictionaries, page by page: sites made of recurring blocks, and the whole given table."""
+    rng = random.Random(6)
+    rows = []
+    for host in range(4):
+        pool = [f"<{t} class=x{k}><p>box {k} of {host}</p>{'<a href=/>link</a>' if k % 2 else ''}</{t}>" for k, t in enumerate(("div", "section", "ul", "div", "table", "p", "div"))]
+        for page in range(25):
+            body = "".join(rng.sample(pool, rng.randrange(5))) + f"<p>own words {host} {page}</p>"
+            body = f"<article>{body}</article>" if host % 2 else body
+            rows += [(len(rows), f"https://H{host}.example/{page}", f"<html><body>{body}</body></html>")] * (1 + page % 2)
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").withColumn("page_id", F.col("page_id") + 1000)
+    table = table.union(given)
+    rows = [(r.page_id, (urlsplit(r.url or "").hostname or "").lower(), r.html or "") for r in table.collect()]
+    holders, pages = defaultdict(set), defaultdict(set)
+    for _, host, text in rows:
+        pages[host].add(text)
+        for h in H.subtree_hashes(H.parse(text)):
+            holders[host, h].add(text)
+    recurring = defaultdict(set)
+    for (host, h), found in holders.items():
+        if host and len(found) >= H.MIN_PAGES and len(found) >= H.MIN_SHARE * len(pages[host]):
+            recurring[host].add(h)
+    want = sorted((page, H.main_text(H.parse(text), frozenset(recurring[host]))) for page, host, text in rows)
+    got = sorted((r.page_id, r.text) for r in H.extract_main_text(table).collect())
+    assert got == want and all(len(recurring[f"h{host}.example"]) >= 2 for host in range(4))
