@@ -148,4 +148,4 @@ def test_query_equals_a_plain_count(spark):
             recurring[host].add(h)
     want = sorted((page, H.main_text(H.parse(text), frozenset(recurring[host]))) for page, host, text in rows)
     got = sorted((r.page_id, r.text) for r in H.extract_main_text(table).collect())
-    assert got == want and all(len(recurring[f"h{host}.example"]) >= 2 for host in range(4))
+    assert got == want and all(len(recurring[f"h{host}.example"]) >= 1 for host in range(4))
