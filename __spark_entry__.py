@@ -840,13 +840,69 @@ def jaccard_drain(spark, sf):
     return mined(spark, sf, "JaccardDrain").select("LineID", "Template")
 
 
+# one longest common subsequence of two token lists, row after row; of several, that over the shorter prefix of the first list
+_COMMON_SQL = """list_reduce(list_prepend(list_transform(range(0, len({c}) + 1), lambda j: cast([] as varchar[])), list_transform({t}, lambda x: [[x]])), lambda row, a:
+      list_reduce(list_prepend([cast([] as varchar[])], list_transform(range(1, len({c}) + 1), lambda j: [[cast(j as varchar)]])), lambda done, b:
+        list_append(done, case
+          when {c}[cast(b[1][1] as bigint)] = a[1][1]
+            and len(row[cast(b[1][1] as bigint)]) + 1 > greatest(len(row[cast(b[1][1] as bigint) + 1]), len(done[cast(b[1][1] as bigint)]))
+            then list_append(row[cast(b[1][1] as bigint)], a[1][1])
+          when len(done[cast(b[1][1] as bigint)]) > len(row[cast(b[1][1] as bigint) + 1]) then done[cast(b[1][1] as bigint)]
+          else row[cast(b[1][1] as bigint) + 1] end)))[-1]"""
+
+
+def _prefixes_sql(tokens: str) -> str:
+    return f"list_transform(range(1, len({tokens}) + 1), lambda k: {tokens}[1:k])"
+
+
+def _spell_sql(sources: str) -> str:
+    """The state is all templates, how many begin with each run of constants, and which ended at a run last."""
+    return f"""with recursive {sources}, lines as (select LineID, str_split(PaddedContent, ' ') as tokens, row_number() over (order by LineID) as nth from p),
+    mined(nth, pool, shared, ends, own) as (
+      select nth, [tokens], list_transform({_prefixes_sql('tokens')}, lambda x: {{'p': x, 'n': 1::bigint}}), [{{'p': tokens, 'g': 1::bigint}}], 1::bigint from lines where nth = 1
+      union all
+      select nth, pool,
+        list_concat(list_transform(shared, lambda s: {{'p': s.p, 'n': s.n + case when list_contains(entering, s.p) then 1 else 0 end}}),
+          list_transform(list_filter(entering, lambda x: not list_contains(list_transform(shared, lambda s: s.p), x)), lambda x: {{'p': x, 'n': 1::bigint}})),
+        case when entered is null then ends else list_append(list_filter(ends, lambda x: x.p <> entered), {{'p': entered, 'g': own}}) end, own
+      from (select nth, own, entered, coalesce({_prefixes_sql('entered')}, []) as entering,
+          case when met is null then list_append(pool, tokens) when same then pool else list_concat(list_concat(pool[1:met - 1], [changed]), pool[met + 1:]) end as pool,
+          list_filter(list_transform(shared, lambda s: {{'p': s.p, 'n': s.n - case when list_contains(leaving[1:gone - 1], s.p) then 1 else 0 end}}),
+            lambda s: not list_contains(leaving[gone:], s.p)) as shared,
+          list_filter(ends, lambda x: not list_contains(leaving[gone:], x.p)) as ends
+        from (select *, coalesce(list_filter(range(1, len(leaving) + 1), lambda k:
+              coalesce(list_filter(shared, lambda s: s.p = leaving[k])[1].n, 0) <= 1)[1], len(leaving) + 1) as gone
+          from (select *, coalesce(met, len(pool) + 1) as own,
+              case when met is null then tokens when not same then list_filter(changed, lambda x: x <> '<#*#>') end as entered,
+              case when same or met is null then cast([] as varchar[][]) else {_prefixes_sql('old')} end as leaving
+            from (select *, changed = pool[met] as same, list_filter(pool[met], lambda x: x <> '<#*#>') as old
+              from (select *, case when len(commons[met]) = 0 then [] else list_reduce(list_prepend({{'left': commons[met], 'made': cast([] as varchar[])}},
+                    list_transform(pool[met], lambda x: {{'left': [x], 'made': cast([] as varchar[])}})), lambda s, x: case
+                      when len(s.left) > 0 and s.left[1] = x.left[1] then {{'left': s.left[2:], 'made': list_append(s.made, x.left[1])}}
+                      when s.made[-1] = '<#*#>' then s else {{'left': s.left, 'made': list_append(s.made, '<#*#>')}} end).made end as changed
+                from (select *, coalesce(by_prefix, list_filter(range(1, len(pool) + 1), lambda k: len(pool[k]) >= need and len(commons[k]) = len(pool[k]))[1],
+                    -list_max(list_transform(list_filter(range(1, len(pool) + 1), lambda k: len(commons[k]) >= greatest(1, ceil(need), ceil(cast(0.5 as float) * len(pool[k])))),
+                      lambda k: {{'l': len(commons[k]), 's': -len(pool[k]), 'k': -k}})).k) as met
+                  from (select l.nth, l.tokens, pool, shared, ends, cast(0.5 as float) * len(l.tokens) as need,
+                      list_transform(pool, lambda o: {_COMMON_SQL.format(c='o', t='l.tokens')}) as commons,
+                      list_reduce(list_prepend({{'seen': cast([] as varchar[]), 'hit': null::bigint}}, list_transform(l.tokens, lambda x: {{'seen': [x], 'hit': null::bigint}})),
+                        lambda s, x: case when s.hit is not null then s
+                          when len(s.seen) >= cast(0.5 as float) * len(l.tokens) and len(list_filter(ends, lambda y: y.p = s.seen)) > 0
+                            then {{'seen': s.seen, 'hit': list_filter(ends, lambda y: y.p = s.seen)[1].g}}
+                          when len(list_filter(shared, lambda y: y.p = list_append(s.seen, x.seen[1]) and y.n > 0)) > 0
+                            then {{'seen': list_append(s.seen, x.seen[1]), 'hit': null::bigint}} else s end).hit as by_prefix
+                    from mined m join lines l on l.nth = m.nth + 1)))))))),
+    last as (select arg_max(pool, nth) as pool from mined)
+    select l.LineID, array_to_string(last.pool[m.own], ' ') as Template from lines l join mined m using (nth), last"""
+
+
 @query("spell_conversations")
 def spell_conversations(spark, sf):
     """Free text: nearly every line opens a group."""
     return mine(conversation_lines(spark, sf), "Spell", (), ",.").select("LineID", "Template")
 
 
-@query("spell")
+@query("spell", _spell_sql(PREPARED_SQL))
 def spell(spark, sf):
     return mined(spark, sf, "Spell").select("LineID", "Template")
 

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = [
     "field_extraction", "preset_lines", "tokens", "time_buckets", "level_frequency_1_hour", "log_roll_up", "level_roll_up", "template_roll_up", "template_table",
     "template_transition_gapped", "template_dwell", "template_cooccurrence_6_hours", "brain_tuned", "ael",
-    "drain", "drain_conversations", "jaccard_drain", "ael_partial_merge", "extract_several_files", "page", "registry_insert", "vector_neighbours",
+    "drain", "drain_conversations", "jaccard_drain", "spell", "ael_partial_merge", "extract_several_files", "page", "registry_insert", "vector_neighbours",
 ]
 
 
