@@ -26,7 +26,7 @@ class BitTable:
 
     @classmethod
     def of(cls, keys: DataFrame, count: int) -> BitTable:
-        bits = min(TABLE_BITS, max(16, int(16 * count).bit_length()))
+        bits = min(TABLE_BITS, max(16, int(64 * count).bit_length()))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -15,9 +15,10 @@ sequence of an earlier window (smaller id, or same document and earlier start),
 
 The reference grows with the corpus, so that an automaton of all of it has no bound that would allow a
 broadcast. Each shard goes only to the tasks that need it; a shard whose passages exceed ``LOAD_WORDS`` words is
-copied to several tasks, so that a passage in a third of all documents is spread. Text is shuffled twice,
-all other exchanges carry hashes and places; a hot anchor or window is aggregated before the shuffle, and
-the joins back are split by adaptive execution.
+copied to several tasks, so that a passage in a third of all documents is spread. Only the text of regions is
+shuffled, all other exchanges carry hashes and places; a hot anchor or window is aggregated before the shuffle, and
+the joins back are split by adaptive execution. Repeated anchors reach the scan of the texts as a bit table of at most
+64 MB; what it takes for repeated by mistake is sorted out with the hashes of whole windows.
 
 Defined cases: null and empty texts have no words; null ids come last; rows of equal id are told apart by a
 hash of their text, rows equal in both are one document; other columns of the input stay.
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.bits import ROOM, BitTable
 from logweave.llm.common import map_batches, put_back, release, set_aside, sha256, slices, stored, texts_of, utf8
 from logweave.llm.hashing import inside_row, runs, words
 
@@ -92,27 +94,48 @@ def _anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(keyed.select(*_KEY, "text"), read, "_id bigint, _tie bigint, hash bigint")
 
 
-def _repeated_hashes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(_id, _tie, hashes)``: per document its anchors that another document has too."""
+def _regions(keyed: DataFrame, length: int, gram: int, room: int) -> DataFrame:
+    """``(_id, _tie, start, text)``: the stretches of a document covered by windows that may repeat.
+
+    Up to ``room`` anchors that several documents have are shipped to the scan as a bit table. Beyond, each document is joined
+    with its own.
+    """
     anchors = _anchors(keyed, length, gram)
-    often = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return anchors.join(often, "hash").groupBy(*_KEY).agg(F.collect_list("hash").alias("hashes"))
+    often = stored(anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("key")))
+    count = often.count()
+    texts = keyed.select(*_KEY, "text")
+    if count <= room:
+        shared = keyed.sparkSession.sparkContext.broadcast(BitTable.of(often, count))
+        regions = map_batches(texts, _stretches(length, gram, lambda anchors, _: shared.value.has(anchors)), _REGION)
+    else:
+        own = anchors.join(often.withColumnRenamed("key", "hash"), "hash").groupBy(*_KEY).agg(F.collect_list("hash").alias("hashes"))
+        regions = map_batches(texts.join(own, _KEY, "left"), _stretches(length, gram, _is_own), _REGION)
+    regions = stored(regions)
+    release(often)
+    return regions
+
+
+_REGION = "_id bigint, _tie bigint, start int, text string"
+
+
+def _is_own(anchors: np.ndarray, hashes: pa.Scalar) -> np.ndarray:
+    return np.isin(anchors, np.asarray(hashes.values if hashes.is_valid else [], np.int64).view(np.uint64))
 
 
-def _regions(keyed: DataFrame, hashes: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(_id, _tie, start, text)``: the stretches of a document covered by windows that may repeat."""
+def _stretches(length: int, gram: int, may_repeat):
+    """Cut out what windows cover whose anchor may repeat, or that their own document holds twice."""
 
     def read(batches):
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
+            known = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
             data, places = utf8(batch.column(2))
             out: list[tuple] = []
-            for i, known in enumerate(batch.column(3)):
+            for i in range(batch.num_rows):
                 own = data[places[i] : places[i + 1]]
                 found = words(own, np.array([0, len(own)]))
                 starts, anchors = window_anchors(found.hashes, found.first, length, gram)
-                repeated = np.isin(anchors, np.asarray(known.values if known.is_valid else [], np.int64).view(np.uint64))
-                at = starts[repeated | _twice(found.hashes, starts, length)]
+                at = starts[may_repeat(anchors, known[i]) | _twice(found.hashes, starts, length)]
                 if len(at):
                     cut = np.flatnonzero(np.diff(at) > length)
                     for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + length):
@@ -122,8 +145,7 @@ def _regions(keyed: DataFrame, hashes: DataFrame, length: int, gram: int) -> Dat
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*_KEY, "start", "text"])
 
-    joined = keyed.select(*_KEY, "text").join(hashes, _KEY, "left")
-    return map_batches(joined, read, "_id bigint, _tie bigint, start int, text string")
+    return read
 
 
 def _twice(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -297,15 +319,13 @@ def _matched(passages: DataFrame, length: int, load_words: int) -> DataFrame:
     return map_batches(dealt, read, "_id bigint, _tie bigint, start int, end int")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORDS, load_words: int = LOAD_WORDS) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORDS, load_words: int = LOAD_WORDS, room: int = ROOM) -> DataFrame:
     """``docs`` with ``repeats array<struct<start, end>>``: word ranges to remove, sorted, apart; a column of that name is replaced."""
     names = [c for c in docs.columns if c != "repeats"]
     docs, taken = set_aside(docs.drop("repeats"), *_KEY)
     gram = min(GRAM, length)
     keyed = _keyed(docs)
-    hashes = stored(_repeated_hashes(keyed, length, gram))
-    regions = stored(_regions(keyed, hashes, length, gram))
-    release(hashes)
+    regions = _regions(keyed, length, gram, room)
     place = F.struct(*_KEY, "pos")
     firsts = _windows(regions, length).groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").select("window", "first"))

@@ -68,6 +68,7 @@ def test_random_texts_equal_brute_force(spark, vocabulary, length):
         rows.append((i * 3, "  ".join(parts)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert digests(S.find_repeats(docs, length, shard_words=50, load_words=200)) == brute(rows, length)
+    assert digests(S.find_repeats(docs, length, shard_words=50, load_words=200, room=0)) == brute(rows, length)
 
 
 def test_query_equals_brute_force(sample):
