@@ -102,3 +102,22 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch, dims, eps, least
     clusters, degrees = _dbscan(points, eps, least)
     assert {r["id"]: r["neighbours"] for r in neighbour_counts(df, eps).collect()} == degrees
     assert {r["id"]: r["cluster"] for r in density_clusters(df, eps, least).collect()} == clusters
+
+
+def test_density_compares_blocks(spark, monkeypatch):
+    monkeypatch.setattr(density, "CELL_POINTS", 16)
+    written, real = [], density.materialize
+    monkeypatch.setattr(density, "materialize", lambda df: written.append(real(df)) or written[-1])
+    rnd = random.Random(11)
+    points = {i: [rnd.gauss(0, 0.3) for _ in range(20)] for i in range(300)}
+    points[300] = [*points[0][:19], points[0][19] + 2.0]  # exactly eps away
+    points.update({301: [float("nan")] * 20, 302: [float("inf")] * 20, 303: [1e30] * 20, 304: [1e30] * 20, 305: [0.0] * 3})
+    df = spark.createDataFrame(list(points.items()), "id long, vector array<double>").unionByName(
+        spark.createDataFrame([(400, None), (401, [None] * 20)], "id long, vector array<double>")
+    )
+    clusters, degrees = _dbscan({i: p for i, p in points.items() if i < 301 or i in (303, 304)}, 2.0, 6)
+    assert {r["id"]: r["neighbours"] for r in neighbour_counts(df, 2.0).collect()} == degrees | {305: 1}
+    found = {r["id"]: r["cluster"] for r in density_clusters(df, 2.0, 6).collect()}
+    assert found == clusters | {i: -1 for i in (301, 302, 305, 401)}
+    blocks = [w for w in written if "rows" in w.columns]
+    assert blocks and all(w.where("octet_length(rows) > 16 * 20 * 8").isEmpty() for w in blocks)
