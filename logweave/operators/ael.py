@@ -77,15 +77,15 @@ def mine_ael(
         .groupBy(*bins, "content")
         .agg(F.min("LineID").alias("LineID"), F.count("*").alias("n"))
     )
-    sizes = contents.groupBy(*bins).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
+    sizes = materialize(contents.groupBy(*bins).agg(F.count("*").alias("contents"), F.sum("n").alias("n")))
     large = sizes.where(F.col("contents") > cluster_thr)
     if merge_thr >= 1:
         # any two contents of a bin may merge, so the bin is the group and lines need no content join
-        merged = _merge(contents.join(large.select(*bins), bins), bins)
+        merged = _merge(_of(contents, large, bins), bins)
         joined = lookup_join(binned, sizes.join(merged, bins, "left").drop("contents"), bins, "n", how="left")
         return joined.withColumn("Template", F.coalesce("Template", "content")).drop(*BIN)
 
-    wide = materialize(contents.join(large.select(*bins), bins).withColumn("route", F.concat_ws(" ", *bins)))
+    wide = materialize(_of(contents, large, bins).withColumn("route", F.concat_ws(" ", *bins)))
     routed = wide.select("route", F.lit(0).alias("level"), "LineID", "content")
     n_blocks = blocks_needed(*size_of(routed), block_lines)
     led = materialize(
@@ -96,7 +96,8 @@ def mine_ael(
     sizes_of_groups = led.groupBy(*group).agg(F.count("*").alias("copies"))
     templates = _merge(grouped, group).join(sizes_of_groups, group)
     by_content = lookup_join(grouped, templates, group, weight="copies").select(*bins, "content", "Template", "n")
-    small = contents.join(large.select(*bins), bins, "left_anti").select(
+    marked = lookup_join(contents, large.drop("n").withColumn("_large", F.lit(True)), bins, weight="contents", how="left")
+    small = marked.where(F.col("_large").isNull()).select(
         *bins, "content", F.col("content").alias("Template"), "n"
     )
     return lookup_join(
@@ -104,14 +105,26 @@ def mine_ael(
     ).drop(*BIN)
 
 
+def _of(contents: DataFrame, large: DataFrame, bins: list[str]) -> DataFrame:
+    """The contents of large bins; a bin may hold most of them, so they are not dealt by it."""
+    return lookup_join(contents, large.drop("n"), bins, weight="contents")
+
+
 def _merge(contents: DataFrame, group: list[str]) -> DataFrame:
-    """One template per group: a position is kept if all contents agree on it."""
-    cells = contents.select(*group, F.posexplode(tokenize(F.col("content"))).alias("col", "token"))
-    positions = cells.groupBy(*group, "col").agg(F.min("token").alias("low"), F.max("token").alias("high"))
-    token = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(WILDCARD))
-    ordered = F.array_sort(F.collect_list(F.struct("col", token.alias("token"))))
-    return (
-        positions.groupBy(*group)
-        .agg(ordered.alias("cells"))
-        .select(*group, F.array_join(F.transform("cells", lambda c: c["token"]), " ").alias("Template"))
-    )
+    """One template per group: a position is kept if all contents agree on it.
+
+    Contents are compared with one of their group, so only the places where they differ are counted and no text is sorted.
+    """
+    hashed = contents.select(*group, "content", F.xxhash64("content").alias("_hash"))
+    least = hashed.groupBy(*group).agg(F.min("_hash").alias("_least"), F.count("*").alias("_n"))
+    picked = lookup_join(hashed, least, group, weight="_n").where("_hash = _least")
+    firsts = picked.groupBy(*group).agg(F.min("content").alias("_one"))
+    firsts = materialize(firsts.join(least.select(*group, "_n"), group))
+    beside = lookup_join(contents.select(*group, "content"), firsts, group, weight="_n")
+    differs = F.zip_with(tokenize(F.col("content")), tokenize(F.col("_one")), lambda a, b: a != b)
+    places = F.filter(F.transform(differs, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+    varied = beside.select(*group, F.explode(places).alias("col")).distinct()
+    varied = varied.groupBy(*group).agg(F.collect_list("col").alias("_varied"))
+    shown = F.transform(tokenize(F.col("_one")), lambda t, i: F.when(F.array_contains("_varied", i), F.lit(WILDCARD)).otherwise(t))
+    template = F.when(F.col("_varied").isNull(), F.col("_one")).otherwise(F.array_join(shown, " "))
+    return firsts.drop("_n").join(varied, group, "left").select(*group, template.alias("Template"))

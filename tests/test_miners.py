@@ -1,5 +1,7 @@
 import random
+from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,56 @@ def test_a_miner_of_ones_own(spark):
                 register_miner(name, first_words, spec)
     finally:
         del MINERS["FirstWords"], PARAMETERS["FirstWords"]
+
+
+@pytest.mark.parametrize("params", [dict(depth=3, children=3, sim_thr=0.4), dict(depth=4, children=2, sim_thr=0.6)])
+def test_drain_with_many_groups_in_a_leaf(spark, params):
+    """Lines of several lengths in one leaf, and templates that change after their leaf became a matrix."""
+    lines = random_lines(21, 60, 600, lengths=(1, 12), wild=0.03)
+    lines += [[*line[:-1], "other"] for line in lines[::3]]
+    for block in (10_000, 90):
+        assert mined(spark, lines, "Drain", block_lines=block, **params) == models.drain(lines, **params)
+
+
+def test_large_leaf_is_compared_at_once():
+    rules = prefix_tree.drain_rules()
+    miner = prefix_tree.PrefixTreeMiner(rules, rules.levels)
+    rnd, scored = random.Random(4), []
+    miner.rules = replace(rules, score=lambda *a: scored.append(a) or rules.score(*a))
+    run = replay.Replay(miner)
+    for i in range(300):
+        run.step(i, " ".join(["20", "a", "b"] + [f"w{rnd.randrange(10**6)}" for _ in range(17)]))
+    assert len(miner.root[1]) == 300 and len(scored) <= prefix_tree.MANY ** 2
+
+
+def test_first_pass_holds_batches_as_columns():
+    """Routes that end inside a batch, at its edge, and that span batches; the ends of the block keep their content."""
+    names = ["a", "a", "b", "c", "c", "c", "c", "d", "e", "e"]
+    rows = pa.table({
+        "route": names, "level": pa.array([0] * 10, pa.int32()), "LineID": pa.array(range(10), pa.int64()),
+        "content": [f"{n} {i}" for i, n in enumerate(names)], "block": pa.array([7] * 10, pa.int32()),
+    })
+    make = lambda level: ael.LeaderMiner(0.5)
+    for size in (1, 2, 3, 4, 10):
+        out = pa.Table.from_batches(replay._first_pass(make, True)(iter(rows.to_batches(size)))).to_pylist()
+        assert [r["LineID"] for r in out] == list(range(10)) and [r["leader"] for r in out] == [0, 0, 2, 3, 3, 3, 3, 7, 8, 8]
+        assert [r["content"] for r in out] == ["a 0", "a 1"] + [None] * 6 + ["e 8", "e 9"]
+        assert [r["Template"] for r in out] == ["a 0", "a 0", "b 2", "c 3", "c 3", "c 3", "c 3", "d 7", "e 8", "e 8"]
+    assert all(r["content"] is None for b in replay._first_pass(make, False)(iter(rows.to_batches(3))) for r in b.to_pylist())
+
+
+def test_one_batch_out_for_many_routes():
+    """Free text has a route for nearly every line."""
+    rows = pa.table({
+        "route": [f"r{i:04d}" for i in range(1000)], "level": pa.array([0] * 1000, pa.int32()), "LineID": pa.array(range(1000), pa.int64()),
+        "content": ["x y"] * 1000, "block": pa.array([0] * 1000, pa.int32()),
+    })
+    assert len(list(replay._first_pass(lambda level: ael.LeaderMiner(0.5), True)(iter(rows.to_batches(500))))) == 2
+
+
+def test_ael_merge_explodes_only_what_differs(spark):
+    lines = [["a", "b", str(i), "c"] for i in range(50)] + [["x"]]
+    rows = frame(spark, lines)
+    out = ael._merge(rows.select(F.lit(1).alias("bin"), "LineID", F.col("Content").alias("content")).where("LineID <= 50"), ["bin"])
+    assert out.collect() == [(1, "a b <#*#> c")]
+    assert "min(token" not in out._jdf.queryExecution().executedPlan().toString()
