@@ -27,7 +27,9 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ BLOCK_LINES = 500_000
 BLOCK_BYTES = 128 << 20
 FAN_IN = 16
 KNOWN_SHAPES = 200_000
+STEP_LINES = 8192  # lines of a block that are Python objects at a time
 
 INPUT = ["route", "level", "LineID", "content"]
 _ROWS = "block long, route string, level int, LineID long, content string, leader long, Template string, changed boolean, new boolean"
@@ -155,7 +158,8 @@ def replay(lines: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFra
     while spanning.take(1):
         states = materialize(_scan(rows, make_miner, n_blocks, lost))
         before = states.where("state is not null").select("route", F.col("node").alias("block"), "state")
-        done = materialize(rows.groupBy("route", "block").cogroup(before.groupBy("route", "block")).applyInArrow(_next_pass, _ROWS))
+        known = rows.drop("leader", "Template", "new")
+        done = materialize(known.groupBy("route", "block").cogroup(before.groupBy("route", "block")).applyInArrow(_next_pass, _ROWS))
         dropped = states.where("LineID is not null").select("route", "node", "LineID")
         spanning = materialize(done.where("new").select("route").union(dropped.select("route")).distinct())
         settled = done.join(spanning, "route", "left_anti").select(*output)
@@ -170,34 +174,54 @@ def replay(lines: DataFrame, make_miner: MinerFactory, n_blocks: int) -> DataFra
 
 
 def _first_pass(make_miner: MinerFactory, may_span: bool):
-    """Blocks from an empty state. Rows of the first and the last route keep their content."""
+    """Blocks from an empty state. Rows of the first and the last route keep their content.
+
+    A batch goes out when its last route has ended. Until then it is held as Arrow columns, beside one group a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route = run_ = None
-        rows: list[tuple] = []
-        first = True
-
-        def finished(keep: bool) -> pa.RecordBatch:
-            texts = {id(group): " ".join(group.tokens) for _, _, group, _ in rows}
-            n = len(rows)
-            columns = [
-                [block] * n, [route] * n, [level] * n, [r[0] for r in rows], [r[1] if keep else None for r in rows],
-                [r[2].leader for r in rows], [texts[id(r[2])] for r in rows], [r[3] for r in rows], [False] * n,
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+        nth = -1  # of the route in the block
+        held: list[tuple] = []
+
+        def finished(last: int) -> Iterator[pa.RecordBatch]:
+            for columns, groups, changed, places in held:
+                texts: dict[int, str] = {}
+                for group in groups:
+                    if id(group) not in texts:
+                        texts[id(group)] = " ".join(group.tokens)
+                n = len(groups)
+                keep = pa.array((places == 0) | (places == last) if may_span else np.zeros(n, bool))
+                columns["content"] = pc.if_else(keep, columns["content"], pa.scalar(None, pa.string()))
+                columns["leader"] = pa.array([g.leader for g in groups], pa.int64())
+                columns["Template"] = pa.array([texts[id(g)] for g in groups], pa.string())
+                columns["changed"] = pa.array(changed, pa.bool_())
+                columns["new"] = pa.array(np.zeros(n, bool))
+                yield pa.RecordBatch.from_arrays([columns[c].cast(t) for c, t in zip(_NAMES, _TYPES)], _NAMES)
+            held.clear()
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for row_route, row_level, line_id, content, row_block in zip(*columns):
+            routes, levels, ids, contents = (batch.column(i).to_pylist() for i in range(4))
+            groups, changed, places = [], [], []
+            for row_route, row_level, line_id, content in zip(routes, levels, ids, contents):
                 if row_route != route or run_ is None:
-                    if run_ is not None:
-                        yield finished(may_span and first)
-                        first = False
-                    route, level, block, rows = row_route, row_level, row_block, []
-                    run_ = Replay(make_miner(level))
-                rows.append((line_id, content, *run_.step(line_id, content)))
-        if run_ is not None:
-            yield finished(may_span)
+                    if run_ is not None and not groups:
+                        yield from finished(-1)
+                    route, nth, run_ = row_route, nth + 1, Replay(make_miner(row_level))
+                group, new = run_.step(line_id, content)
+                groups.append(group)
+                changed.append(new)
+                places.append(nth)
+            if not groups:
+                continue
+            if places[0] != nth:
+                yield from finished(-1)  # the batches before hold only routes that have ended
+            own = pa.array(np.arange(batch.num_rows))  # copies, so that the batch itself can go
+            columns = {c: batch.column(i).take(own) for i, c in enumerate(INPUT) if c != "route"}
+            columns["route"] = batch.column(0).dictionary_encode()
+            columns["block"] = batch.column(4).dictionary_encode()
+            held.append((columns, groups, np.array(changed, bool), np.array(places, np.int32)))
+        yield from finished(nth)
 
     return run
 
@@ -210,18 +234,20 @@ def _next_pass(key, rows, before):
     """A block from the state before it; ``new`` marks changes that were not expected."""
     rows = rows.sort_by("LineID")
     run = pickle.loads(before.column("state")[0].as_py())
-    expected = rows.column("changed").to_pylist()
-    ids = rows.column("LineID").to_pylist()
-    steps = [run.step(i, c) for i, c in zip(ids, rows.column("content").to_pylist())]
-    changed = [c for _, c in steps]
-    found = {
-        "leader": pa.array([g.leader for g, _ in steps], pa.int64()),
+    found: dict[str, list[pa.Array]] = {"leader": [], "Template": [], "changed": [], "new": []}
+    for begin in range(0, len(rows), STEP_LINES):
+        part = rows.slice(begin, STEP_LINES)
+        ids = part.column("LineID").to_pylist()
+        steps = [run.step(i, c) for i, c in zip(ids, part.column("content").to_pylist())]
         # a line that opened a group without a change has it for itself
-        "Template": pa.array([" ".join(g.tokens) if g.leader == i and not c else None for i, (g, c) in zip(ids, steps)], pa.string()),
-        "changed": pa.array(changed, pa.bool_()),
-        "new": pa.array([c and not e for c, e in zip(changed, expected)], pa.bool_()),
-    }
-    return pa.table({name: found.get(name, rows.column(name) if name in rows.column_names else None) for name in _NAMES})
+        own = [" ".join(g.tokens) if g.leader == i and not c else None for i, (g, c) in zip(ids, steps)]
+        new = [c and not e for (_, c), e in zip(steps, part.column("changed").to_pylist())]
+        found["leader"].append(pa.array([g.leader for g, _ in steps], pa.int64()))
+        found["Template"].append(pa.array(own, pa.string()))
+        found["changed"].append(pa.array([c for _, c in steps], pa.bool_()))
+        found["new"].append(pa.array(new, pa.bool_()))
+    columns = {n: pa.chunked_array(found[n], t) if n in found else rows.column(n) for n, t in zip(_NAMES, _TYPES)}
+    return pa.table(columns)
 
 
 def _scan(rows: DataFrame, make_miner: MinerFactory, n_blocks: int, lost: DataFrame | None) -> DataFrame:
