@@ -25,6 +25,8 @@ from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay,
 from logweave.session import materialize, ship
 
 FEW_PATHS = 100_000
+RUN = 512  # groups of a leaf that are not indexed yet
+MANY = 12  # groups of a leaf that are compared with a line at once
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ class TreeRules:
     template_view: Callable[[list[str]], object]  # and of a template
     score: Callable[[object, object], tuple[float, int]]  # (similarity, wildcards of the template)
     merge: Callable[[list[str], list[str]], list[str]]
+    by_position: bool  # whether ``score`` compares tokens at equal places
 
     def keys(self, tokens: list[str]) -> list[str]:
         if self.count_is_key:
@@ -47,13 +50,110 @@ class TreeRules:
         return tokens[: self.levels]
 
 
+class _Leaf(list):
+    """The groups of a leaf and, once there are ``MANY``, their templates as one matrix of token numbers.
+
+    All but the last rows are indexed by place and token, in runs of sorted keys that are merged as they grow. A line that must
+    share ``least`` of ``n`` known tokens with a template shares one of any ``n - least + 1``, so the rarest of these
+    lead to all rows that can match. What a row has lost since is seen when it is compared; rows that became longer are loose.
+    """
+
+    def __init__(self):
+        self.table = None  # a row a group, 0 where a template has ended
+        self.runs: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # first row, row behind the last, keys, their rows
+        self.loose: set[int] = set()
+
+    def __reduce__(self):
+        return _Leaf, (), None, iter(self)  # the matrix is made again
+
+    def write(self, row: int, template: list[str], numbers: dict[str, int]) -> None:
+        height, width = self.table.shape
+        if row >= height or len(template) > width:
+            grown = np.zeros((2 * row if row >= height else height, max(width, len(template))), np.int32)
+            grown[:height, :width] = self.table
+            self.table = grown
+        if row < self._indexed() and np.count_nonzero(self.table[row]) < len(template):
+            self.loose.add(row)
+        self.table[row] = 0
+        self.table[row, : len(template)] = [numbers.setdefault(t, len(numbers) + 1) for t in template]
+
+    def _indexed(self) -> int:
+        return self.runs[-1][1] if self.runs else 0
+
+    def _index(self) -> None:
+        first, end = self._indexed(), len(self)
+        while self.runs and self.runs[-1][1] - self.runs[-1][0] <= end - first:
+            first = self.runs.pop()[0]
+        row, place = np.nonzero(self.table[first:end])
+        keys = place.astype(np.int64) << 32 | self.table[first:end][row, place]
+        order = np.argsort(keys, kind="stable")
+        self.runs.append((first, end, keys[order], (first + row[order]).astype(np.int32)))
+        self.loose = {r for r in self.loose if r < first}
+
+    def _candidates(self, line: np.ndarray, least: int) -> np.ndarray | None:
+        """Rows that may equal the line in ``least`` places, in their order; ``None`` for all."""
+        if len(self) - self._indexed() >= RUN:
+            self._index()
+        if not self.runs or least < 1:
+            return None
+        place = np.flatnonzero(line > 0)
+        if len(place) < least:
+            return np.zeros(0, np.int64)
+        keys = place.astype(np.int64) << 32 | line[place]
+        spans = [(np.searchsorted(run[2], keys), np.searchsorted(run[2], keys, "right")) for run in self.runs]
+        held = sum(high - low for low, high in spans)
+        chosen = np.argsort(held, kind="stable")[: len(place) - least + 1]
+        found = [np.arange(self._indexed(), len(self)), np.fromiter(self.loose, np.int64)]
+        for (low, high), run in zip(spans, self.runs):
+            found += [run[3][low[k] : high[k]] for k in chosen if low[k] < high[k]]
+        return np.unique(np.concatenate(found))
+
+    def nearest(self, tokens: list[str], numbers: dict[str, int], least: int) -> tuple[int, int] | None:
+        """The first row of the highest rank and its number of equal tokens, if ``least`` are."""
+        if self.table is None:
+            self.table = np.zeros((len(self), 1), np.int32)
+            for row, group in enumerate(self):
+                self.write(row, group.tokens, numbers)
+        width = min(len(tokens), self.table.shape[1])
+        # what no template has equals nothing, nor does the wildcard
+        line = np.array([-1 if t == WILDCARD else numbers.get(t, -1) for t in tokens[:width]], np.int32)
+        may = self._candidates(line, least)
+        rows = self.table[: len(self), :width] if may is None else self.table[may, :width]
+        if not len(rows):
+            return None
+        equal = np.count_nonzero(rows == line, axis=1)
+        most = int(equal.max())
+        if most < least:
+            return None
+        best = np.flatnonzero(equal == most)
+        if len(best) > 1:
+            wildcards = np.count_nonzero(rows[best] == numbers.get(WILDCARD, -2), axis=1)
+            best = best[wildcards.argmax() :]
+        return int(best[0] if may is None else may[best[0]]), most
+
+
+@lru_cache(maxsize=1 << 16)
+def _least_equal(n: int, threshold: float) -> int:
+    """The fewest of ``n`` tokens whose share is above the threshold."""
+    return next((k for k in range(n + 1) if _ratio(k, n) > threshold), n + 1)
+
+
 class PrefixTreeMiner:
     """The part of the tree below a route; usually just one leaf."""
 
     def __init__(self, rules: TreeRules, level: int):
         self.rules = rules
         self.level = level
-        self.root: tuple[dict, list[Group]] = ({}, [])
+        self.root: tuple[dict, _Leaf] = ({}, _Leaf())
+        self.numbers: dict[str, int] = {}  # of the tokens in the matrices of leaves
+        self.met: tuple[_Leaf, int] | None = None  # where the last group was found
+
+    def __getstate__(self):
+        return self.rules, self.level, self.root
+
+    def __setstate__(self, state):
+        self.rules, self.level, self.root = state
+        self.numbers, self.met = {}, None
 
     def _keys(self, tokens: list[str]) -> list[str]:
         return self.rules.keys(tokens)[self.level :]
@@ -65,6 +165,13 @@ class PrefixTreeMiner:
             node = children.get(key) or children.get(WILDCARD)
             if node is None:
                 return None
+        self.met = None
+        if self.rules.by_position and len(node[1]) >= MANY:
+            found = node[1].nearest(tokens, self.numbers, _least_equal(len(tokens), self.rules.threshold))
+            if found is None:
+                return None
+            self.met = node[1], found[0]
+            return node[1][found[0]]
         best, best_rank = None, None
         line, score = self.rules.line_view(tokens), self.rules.score
         for group in node[1]:
@@ -85,6 +192,9 @@ class PrefixTreeMiner:
         if merged == group.tokens:
             return False
         group.tokens, group.view = merged, None
+        if self.met is not None:
+            leaf, row = self.met
+            leaf.write(row, merged, self.numbers)
         return True
 
     def open(self, group: Group) -> bool:
@@ -94,10 +204,12 @@ class PrefixTreeMiner:
             if key not in children and len(children) + 1 >= self.rules.children:
                 key = WILDCARD
             grown = grown or key not in children
-            node = children.setdefault(key, ({}, []))
+            node = children.setdefault(key, ({}, _Leaf()))
         if len(group.tokens) < self.rules.stores_from:
             return grown
         node[1].append(group)
+        if node[1].table is not None:
+            node[1].write(len(node[1]) - 1, group.tokens, self.numbers)
         return True
 
 
@@ -157,6 +269,7 @@ def drain_rules(depth: int = 4, children: int = 100, sim_thr: float = 0.4) -> Tr
         template_view=list,
         score=_position_score,
         merge=_position_merge,
+        by_position=True,
     )
 
 
@@ -173,6 +286,7 @@ def jaccard_rules(depth: int = 4, children: int = 100, sim_thr: float = 0.4) ->
         template_view=_constants,
         score=_set_score,
         merge=_set_merge,
+        by_position=False,
     )
 
 

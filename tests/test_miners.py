@@ -295,3 +295,16 @@ def test_ael_merge_explodes_only_what_differs(spark):
     out = ael._merge(rows.select(F.lit(1).alias("bin"), "LineID", F.col("Content").alias("content")).where("LineID <= 50"), ["bin"])
     assert out.collect() == [(1, "a b <#*#> c")]
     assert "min(token" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed,lengths,wild", [(31, (1, 14), 0.03), (32, (9, 9), 0.0), (33, (3, 30), 0.0)])
+def test_indexed_leaf_finds_what_the_model_finds(monkeypatch, seed, lengths, wild):
+    monkeypatch.setattr(prefix_tree, "RUN", 8)
+    params = dict(depth=3, children=2, sim_thr=0.4)
+    rules = prefix_tree.drain_rules(**params)
+    lines = random_lines(seed, 40, 900, lengths, wild)
+    lines += [[*line, "tail", "more"] for line in lines[::4]] + [line[:-1] + ["z"] for line in lines[::5]]
+    run = replay.Replay(prefix_tree.PrefixTreeMiner(rules, 0))
+    groups = [run.step(i, " ".join(line))[0] for i, line in enumerate(lines)]
+    found = [" ".join(g.tokens) for g in groups]
+    assert found == [t if len(line) >= 2 else " ".join(line) for t, line in zip(models.drain(lines, **params), lines)]
