@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from logweave.session import materialize
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20  # the driver holds a broadcast about four times over, and those of several steps at once
 TASK_ROWS = 1_000_000  # the rows of a key beyond this many are spread over further tasks
 
 
