@@ -68,18 +68,22 @@ class Replay:
     def __init__(self, miner):
         self.miner = miner
         self.known: dict[tuple, Group] = {}
-        self.vocabulary: set[str] = set()
+        self.one: dict[str, str] = {}  # the tokens that templates ever had; they share one string for a token
 
     def __getstate__(self):
-        return self.miner, self.vocabulary
+        return self.miner, self.one
 
     def __setstate__(self, state):
-        self.miner, self.vocabulary = state
+        self.miner, self.one = state
         self.known = {}
 
+    @property
+    def vocabulary(self):
+        return self.one.keys()
+
     def _shape(self, tokens: list[str]) -> tuple:
         """The tokens, those that no template ever had as numbers in the order of their first places."""
-        words, others = self.vocabulary, {}
+        words, others = self.one, {}
         return tuple([t if t in words else others.setdefault(t, len(others)) for t in tokens])
 
     def step(self, line_id: int, content: str) -> tuple[Group, bool]:
@@ -93,11 +97,14 @@ class Replay:
         if found:
             changed = self.miner.absorb(group, tokens)
         else:
-            group = Group(line_id, tokens)
+            group = Group(line_id, [self.one.get(t, t) for t in tokens])
             changed = self.miner.open(group)
         if changed:
             self.known.clear()
-            self.vocabulary.update(tokens, group.tokens)
+            one = self.one.setdefault
+            for t in tokens:
+                one(t, t)
+            group.tokens[:] = [one(t, t) for t in group.tokens]
         elif found:
             if len(self.known) >= KNOWN_SHAPES:
                 self.known.clear()

@@ -308,3 +308,16 @@ def test_indexed_leaf_finds_what_the_model_finds(monkeypatch, seed, lengths, wil
     groups = [run.step(i, " ".join(line))[0] for i, line in enumerate(lines)]
     found = [" ".join(g.tokens) for g in groups]
     assert found == [t if len(line) >= 2 else " ".join(line) for t, line in zip(models.drain(lines, **params), lines)]
+
+
+def test_templates_share_their_tokens():
+    rules = prefix_tree.drain_rules(depth=3, sim_thr=0.6)
+    run = replay.Replay(prefix_tree.PrefixTreeMiner(rules, 0))
+    for i in range(60):
+        run.step(i, f"first w{i % 7} w{i % 5} common w{i % 3} last{i % 2}")
+    groups, nodes = [], [run.miner.root]
+    for node in nodes:
+        groups += node[1]
+        nodes += node[0].values()
+    held = [t for g in groups for t in g.tokens]
+    assert len(groups) > 5 and len({id(t) for t in held}) == len(set(held))
