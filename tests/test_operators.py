@@ -121,3 +121,10 @@ def test_density_compares_blocks(spark, monkeypatch):
     assert found == clusters | {i: -1 for i in (301, 302, 305, 401)}
     blocks = [w for w in written if "rows" in w.columns]
     assert blocks and all(w.where("octet_length(rows) > 16 * 20 * 8").isEmpty() for w in blocks)
+
+
+def test_lookup_join_spares_the_driver_tables_of_tens_of_megabytes(spark):
+    table = spark.range(450_000).select(F.col("id").alias("k"), F.lit(1).alias("n"), F.col("id").alias("v"))
+    joined = lookup_join(spark.range(10).select(F.col("id").alias("k")), table, "k", "n")
+    assert "_salt" in joined._jdf.queryExecution().logical().toString()
+    assert sorted(joined.collect()) == [(i, i) for i in range(10)]
