@@ -7,6 +7,7 @@ of their tokens finds, so free text, where every line opens a group, does not co
 from __future__ import annotations
 
 import math
+from array import array
 from itertools import count
 
 import numpy as np
@@ -21,104 +22,167 @@ class _Prefixes:
     """The prefixes of the templates' constants, each with the number of templates that share it.
 
     A prefix is a number, ``after`` leads from one prefix and a token to the next. ``owner`` holds the template
-    that was the last to end at a prefix, which may have changed since.
+    that was the last to end at a prefix, which may have changed since. Prefixes that one template has alone are not laid out: ``after``
+    leads to that ``(constants, length of the prefix, template)`` instead, so free text costs one entry a line.
     """
 
     def __init__(self):
-        self.after: dict[tuple[int, str], int] = {}
+        self.after: dict[tuple[int, str], int | tuple[list[str], int, Group]] = {}
         self.sharing: dict[int, int] = {}
         self.owner: dict[int, Group] = {}
         self._names = count(1)
 
-    def _steps(self, constants: list[str]) -> list[tuple[int, str]]:
-        """The known steps along ``constants``, as far as they are known."""
-        steps, at = [], 0
-        for token in constants:
-            if (at, token) not in self.after:
-                break
-            steps.append((at, token))
-            at = self.after[at, token]
-        return steps
+    def _laid_out(self, step: tuple[int, str]) -> int:
+        """The prefix behind ``step``; one that a template had alone becomes a number."""
+        further = self.after[step]
+        if isinstance(further, tuple):
+            constants, length, group = further
+            self.after[step] = further = next(self._names)
+            self.sharing[further] = 1
+            if length < len(constants):
+                self.after[further, constants[length]] = (constants, length + 1, group)
+            else:
+                self.owner[further] = group
+        return further
 
     def add(self, constants: list[str], group: Group) -> None:
-        known = self._steps(constants)
-        at = self.after[known[-1]] if known else 0
-        for token in constants[len(known) :]:
-            known.append((at, token))
-            self.after[at, token] = further = next(self._names)
-            at = further
-        for step in known:
-            self.sharing[self.after[step]] = self.sharing.get(self.after[step], 0) + 1
+        at = 0
+        for i, token in enumerate(constants, 1):
+            if (at, token) not in self.after:
+                self.after[at, token] = (constants, i, group)
+                return
+            at = self._laid_out((at, token))
+            self.sharing[at] += 1
         self.owner[at] = group
 
     def remove(self, constants: list[str]) -> None:
         """Forget the prefixes that only this template has; one that others share keeps its owner."""
-        steps = self._steps(constants)
-        alone = next((k for k, step in enumerate(steps) if self.sharing[self.after[step]] == 1), len(steps))
-        for step in steps[:alone]:
-            self.sharing[self.after[step]] -= 1
-        for step in steps[alone:]:
-            at = self.after.pop(step)
-            self.sharing.pop(at, None)
-            self.owner.pop(at, None)
+        at, alone = 0, False
+        for token in constants:
+            if (at, token) not in self.after:
+                return
+            further = self.after[at, token]
+            if isinstance(further, tuple):
+                del self.after[at, token]
+                return
+            alone = alone or self.sharing[further] == 1
+            if alone:
+                del self.after[at, token], self.sharing[further]
+                self.owner.pop(further, None)
+            else:
+                self.sharing[further] -= 1
+            at = further
+
+    def along(self, tokens: list[str], needed: float) -> Group | None:
+        """The first template to end where the tokens lead, those skipped that lead nowhere, after ``needed`` steps or more."""
+        at, tail, matched = 0, None, 0
+        for token in tokens:
+            if matched >= needed:
+                owner = self.owner.get(at) if tail is None else tail[2] if matched == len(tail[0]) else None
+                if owner is not None:
+                    return owner
+            if tail is not None:
+                matched += matched < len(tail[0]) and tail[0][matched] == token
+                continue
+            further = self.after.get((at, token))
+            if further is not None:
+                matched += 1
+                if isinstance(further, tuple):
+                    tail = further
+                else:
+                    at = further
+        return None
+
+
+_NEVER = 1 << 30
+_MORE_PLACES = 1024
 
 
 class _SharedTokens:
-    """Templates by tokens that a line must have to match them.
+    """Templates by their tokens; repeated ones count apart.
 
-    Tokens are ordered by when a template first had them, newest first; repeated ones count apart. A template and a
-    line with ``least`` tokens in common share one among the first ``n - least + 1`` of the ``n`` tokens of each (prefix filter),
-    so a line is compared only with templates that its own first tokens lead to. A template can be a subsequence of a line
-    only if its newest token is in the line; the wildcard counts as the newest, since few lines have it.
+    ``first`` lists for every token the places of the templates that hold it, ``groups`` the template of a place. A template
+    that changes moves to a new place. A line with ``least`` tokens in common with a template meets it in the lists of any
+    ``n - least + 1`` of its ``n`` tokens, so the shortest lists are counted, and those that may still
+    have enough in common are looked up in the longer ones, until the number in common is known.
     """
 
     def __init__(self, least):
         self.least = least  # of a length, the tokens that must be common
-        self.rank: dict[str, int] = {}
-        self.first: dict[tuple[str, int], dict[int, Group]] = {}
-        self.newest: dict[str | None, dict[int, Group]] = {}
+        self.first: dict[tuple[str, int], array] = {}
+        self.groups: list[Group | None] = []
+        self.needed = array("i")  # by a template at that place
+        self.length = array("i")
+        self.empty: list[Group] = []  # templates without tokens
+        self.gone = 0  # places left
         self.met = 0  # templates compared with lines
 
-    def _first(self, tokens: list[str]) -> list[tuple[str, int]]:
+    @staticmethod
+    def _numbered(tokens: list[str]) -> list[tuple[str, int]]:
         seen: dict[str, int] = {}
         numbered = []
         for t in tokens:
             seen[t] = seen.get(t, -1) + 1
             numbered.append((t, seen[t]))
-        unknown = len(self.rank)
-        numbered.sort(key=lambda x: (self.rank.get(x[0], unknown), x[1]), reverse=True)
-        return numbered[: len(tokens) - self.least(len(tokens)) + 1]
-
-    def _newest(self, tokens: list[str]) -> str | None:
-        return WILDCARD if WILDCARD in tokens else max(tokens, key=self.rank.__getitem__, default=None)
+        return numbered
 
     def add(self, group: Group) -> None:
-        for t in group.tokens:
-            self.rank.setdefault(t, len(self.rank))
-        for key in self._first(group.tokens):
-            self.first.setdefault(key, {})[group.leader] = group
-        self.newest.setdefault(self._newest(group.tokens), {})[group.leader] = group
+        if not group.tokens:
+            self.empty.append(group)
+            return
+        group.view = len(self.groups)
+        for key in self._numbered(group.tokens):
+            if key not in self.first:
+                self.first[key] = array("i")
+            self.first[key].append(group.view)
+        self.groups.append(group)
+        self.needed.append(self.least(len(group.tokens)))
+        self.length.append(len(group.tokens))
 
     def remove(self, group: Group) -> None:
-        for key in self._first(group.tokens):
-            del self.first[key][group.leader]
-        del self.newest[self._newest(group.tokens)][group.leader]
+        if not group.tokens:
+            self.empty.remove(group)
+            return
+        self.groups[group.view] = None
+        self.needed[group.view] = _NEVER
+        self.gone += 1
+        if self.gone > 1000 + len(self.groups) // 2:
+            here = [g for g in self.groups if g is not None]
+            self.first, self.groups, self.needed, self.length, self.gone = {}, [], array("i"), array("i"), 0
+            for g in here:
+                self.add(g)
 
     def sharing(self, tokens: list[str]) -> list[Group]:
-        """All templates with enough tokens in common with a line, and some others."""
-        found: dict[int, Group] = {}
-        for key in self._first(tokens):
-            found.update(self.first.get(key, ()))
-        self.met += len(found)
-        return list(found.values())
-
-    def inside(self, tokens: list[str]) -> list[Group]:
-        """All templates whose tokens a line may hold in order, the oldest first."""
-        found = dict(self.newest.get(None, ()))
-        for t in {*tokens}:
-            found.update(self.newest.get(t, ()))
-        self.met += len(found)
-        return [found[leader] for leader in sorted(found)]
+        """All templates with enough tokens in common with a line, in whatever order, the oldest first."""
+        least = self.least(len(tokens))
+        lists = sorted((self.first[key] for key in self._numbered(tokens) if key in self.first), key=len)
+        if len(lists) < least:
+            return []
+        counted = len(lists) - least + 1
+        places = sum(map(len, lists[:counted]))
+        room = places + _MORE_PLACES
+        while counted < len(lists) and places + len(lists[counted]) <= room:
+            places += len(lists[counted])
+            counted += 1
+        at, common = np.unique(np.frombuffer(b"".join(lists[:counted]), np.int32), return_counts=True)
+        left = len(lists) - counted
+        needed = np.maximum(np.frombuffer(self.needed, np.int32)[at], least)
+        enough = common + left >= needed
+        at, common, needed = at[enough], common[enough], needed[enough]
+        for longer in lists[counted:]:
+            if not len(at):
+                break
+            longer = np.frombuffer(longer, np.int32)
+            left -= 1
+            common += longer[np.minimum(np.searchsorted(longer, at), len(longer) - 1)] == at
+            enough = common + left >= needed
+            at, common, needed = at[enough], common[enough], needed[enough]
+        self.met += len(at)
+        return sorted((self.groups[k] for k in at.tolist()), key=_age)
+
+
+def _age(group: Group) -> tuple:
+    return group.leader is not None, group.leader
 
 
 def _constants(template: list[str]) -> list[str]:
@@ -142,7 +206,11 @@ class SpellMiner:
 
     def find(self, tokens: list[str]) -> Group | None:
         needed = self._needed(len(tokens))
-        return self._by_constants(tokens, needed) or self._by_subsequence(tokens, needed) or self._by_lcs(tokens)
+        found = self.prefixes.along(tokens, needed)
+        if found is None:
+            alike = self.index.sharing(tokens)
+            found = self._by_subsequence(tokens, needed, alike) or self._by_lcs(tokens, alike)
+        return found
 
     def open(self, group: Group) -> bool:
         self.index.add(group)
@@ -162,38 +230,29 @@ class SpellMiner:
         self.prefixes.add(_constants(template), group)
         return True
 
-    def _by_constants(self, tokens, needed):
-        at = matched = 0
-        for token in tokens:
-            owner = self.prefixes.owner.get(at)
-            if owner is not None and matched >= needed:
-                return owner
-            further = self.prefixes.after.get((at, token))
-            if further is not None:
-                at, matched = further, matched + 1
-        return None
-
-    def _by_subsequence(self, tokens, needed):
-        for group in self.index.inside(tokens):
+    def _by_subsequence(self, tokens, needed, alike):
+        if needed <= 0 and self.index.empty:
+            alike = sorted([*self.index.empty, *alike], key=_age)
+        for group in alike:
             if needed <= len(group.tokens) <= len(tokens) and _is_subsequence(group.tokens, tokens):
                 return group
         return None
 
-    def _by_lcs(self, tokens):
+    def _by_lcs(self, tokens, alike):
         positions: dict[str, int] = {}
         for i, token in enumerate(tokens):
             positions[token] = positions.get(token, 0) | (1 << i)
         own = self._least(len(tokens))
-        best, best_rank = None, (0, 0, 0)
-        for group in self.index.sharing(tokens):
+        best, best_rank = None, (0, 0)
+        for group in alike:
             template = group.tokens
             least = max(own, self._least(len(template)))
             if least > min(len(tokens), len(template)):
                 continue
             length = _lcs_length(positions, len(tokens), template)
             # the longest wins, then the shorter template, then the older one
-            if length >= least and (best is None or (length, -len(template), -group.leader) > best_rank):
-                best, best_rank = group, (length, -len(template), -group.leader)
+            if length >= least and (best is None or (length, -len(template)) > best_rank):
+                best, best_rank = group, (length, -len(template))
         return best
 
 

@@ -137,6 +137,29 @@ def test_free_text_meets_few_templates():
     assert templates > 1500 and run.miner.index.met < 0.02 * 2 * len(lines) ** 2 / 2
 
 
+def test_common_words_lead_to_no_templates():
+    """Lines share their common words with all templates, and still meet almost none; what a template has alone is one entry."""
+    rnd = random.Random(12)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(4000)]
+    lines = [" ".join(rnd.choice(common if rnd.random() < 0.35 else rare) for _ in range(rnd.randint(20, 60))) for _ in range(1500)]
+    run = replay.Replay(spell.SpellMiner(0.5))
+    assert sum(run.step(i, line)[0].leader == i for i, line in enumerate(lines)) > 1400
+    assert run.miner.index.met < len(lines) and len(run.miner.prefixes.after) < 5 * len(lines)
+
+
+def test_places_that_templates_left_are_taken_back():
+    index = spell._SharedTokens(lambda n: -(-n // 2))
+    groups = [replay.Group(i, ["a", f"b{i}", "c"]) for i in range(3)]
+    for group in groups:
+        index.add(group)
+    for i in range(3000):
+        index.remove(groups[0])
+        groups[0].tokens = ["a", f"x{i}", "a"]
+        index.add(groups[0])
+    assert len(index.groups) < 2010
+    assert index.sharing(["a", "x2999"]) == [groups[0]] and index.sharing(["c", "a"]) == groups[1:]
+
+
 def test_contents_meet_few_leaders():
     lines = random_lines(6, 400, 3000, (9, 9))
     run = replay.Replay(ael.LeaderMiner(0.4))
