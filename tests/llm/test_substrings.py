@@ -71,6 +71,27 @@ def test_random_texts_equal_brute_force(spark, vocabulary, length):
     assert digests(S.find_repeats(docs, length, shard_words=50, load_words=200, room=0)) == brute(rows, length)
 
 
+def test_runs_of_repeated_windows_are_one_row(spark):
+    """Long passages that come whole are shuffled as runs; where passages differ or hold a window twice, as windows."""
+    rng = random.Random(21)
+    passages = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(6)]
+    edge = [p.split() for p in passages]
+    round_ = " ".join(f"k{i % 7}" for i in range(120))
+    rows = [(i, f"h{i} {rng.choice(passages)} t{i}") for i in range(40)]
+    rows += [(100 + i, " ".join(edge[i][:200] + [f"n{i}"] + edge[i][200:])) for i in range(6)] + [(200, round_), (201, f"x {round_}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert digests(S.find_repeats(docs, shard_words=300, load_words=900)) == brute(rows, S.LENGTH)
+    regions = S._regions(S._keyed(docs), S.LENGTH, S.GRAM, 1 << 20)
+    keys = S._ambiguous(regions, S.LENGTH, S.GRAM)
+    table = spark.sparkContext.broadcast(S.BitTable.of(keys, keys.count()))
+    every = spark.sparkContext.broadcast(S.BitTable(16, np.full(1 << 13, 255, np.uint8)))
+    pieces, windows = (S._pieces(regions, S.LENGTH, S.GRAM, t) for t in (table, every))
+    total = windows.count()
+    assert {r["size"] for r in windows.select("size").distinct().collect()} == {1}
+    assert sorted((r._id, r.pos + k) for r in pieces.collect() for k in range(r["size"])) == sorted((r._id, r.pos) for r in windows.collect())
+    assert pieces.count() < total / 3
+
+
 def test_query_equals_brute_force(sample):
     assert digests(S.find_repeats(sample)) == brute([(r.doc_id, r.text) for r in sample.collect()], S.LENGTH)
 
