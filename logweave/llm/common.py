@@ -66,7 +66,7 @@ def put_back(df: DataFrame, taken: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(taken)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the scan of it.
 
     The scan survives lost executors. The shuffle files of the write are removed when it ends, so that
@@ -77,7 +77,7 @@ def stored(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before)
     scan = spark.read.schema(df.schema).parquet(path)

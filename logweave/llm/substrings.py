@@ -111,7 +111,7 @@ def _regions(keyed: DataFrame, length: int, gram: int, room: int) -> DataFrame:
     else:
         own = anchors.join(often.withColumnRenamed("key", "hash"), "hash").groupBy(*_KEY).agg(F.collect_list("hash").alias("hashes"))
         regions = map_batches(texts.join(own, _KEY, "left"), _stretches(length, gram, _is_own), _REGION)
-    regions = stored(regions)
+    regions = stored(regions, "zstd")
     if shared is not None:
         shared.unpersist()
     release(often)
@@ -389,12 +389,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
     pieces = _pieces(regions, length, gram, table)
     place = F.struct(*_KEY, "pos")
     firsts = pieces.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"))
-    firsts = stored(firsts.where("n > 1").select("piece", "first", F.col("size").alias("windows")))
+    firsts = stored(firsts.where("n > 1").select("piece", "first", F.col("size").alias("windows")), "zstd")
     shards = -(-(firsts.agg(F.sum("windows")).first()[0] or 0) // shard_words) or 1
-    passages = stored(_passages(pieces, firsts.drop("windows"), shards, length))
+    passages = stored(_passages(pieces, firsts.drop("windows"), shards, length), "zstd")
     table.unpersist()
     release(firsts)
-    texts = stored(_with_words(passages, regions))
+    texts = stored(_with_words(passages, regions), "zstd")
     release(passages, regions)
     matched = _matched(texts, length, load_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("repeats"))
     matched = stored(matched)
