@@ -2,20 +2,33 @@
 
 There is a single route, so parallelism comes from the blocks of ``replay`` alone. A line meets only templates that an index
 of their tokens finds, so free text, where every line opens a group, does not compare each line with all before it.
+
+*Free text.* A group that no line has joined shares as many tokens with the first line to join it as both ask for. So a line that is not
+alike to any other (``overlap``, in blocks, in parallel) opens a group that keeps its text, and only its
+constants matter to later lines. Where few lines of a sample are alike, all lines are compared that way first, and one pass in their order looks for
+templates among the groups of the others only.
 """
 
 from __future__ import annotations
 
 import math
 from array import array
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD
+from logweave.operators.overlap import alike, alike_rows, keys_of
 from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, root_of, size_of, with_templates
+from logweave.session import materialize
+
+FREE_LINES = 10_000  # shorter logs are replayed as they are
+FREE_SAMPLE = 2048
+FREE_SHARE = 0.25  # of lines that are alike to another one, at most
 
 
 class _Prefixes:
@@ -23,11 +36,12 @@ class _Prefixes:
 
     A prefix is a number, ``after`` leads from one prefix and a token to the next. ``owner`` holds the template
     that was the last to end at a prefix, which may have changed since. Prefixes that one template has alone are not laid out: ``after``
-    leads to that ``(constants, length of the prefix, template)`` instead, so free text costs one entry a line.
+    leads to that ``(constants, length of the prefix, template)`` instead, so free text costs one entry a line. Of a line that no
+    other line can join it is ``(text, length of the prefix, None)``.
     """
 
     def __init__(self):
-        self.after: dict[tuple[int, str], int | tuple[list[str], int, Group]] = {}
+        self.after: dict[tuple[int, str], int | tuple[list[str] | str, int, Group | None]] = {}
         self.sharing: dict[int, int] = {}
         self.owner: dict[int, Group] = {}
         self._names = count(1)
@@ -39,9 +53,10 @@ class _Prefixes:
             constants, length, group = further
             self.after[step] = further = next(self._names)
             self.sharing[further] = 1
-            if length < len(constants):
-                self.after[further, constants[length]] = (constants, length + 1, group)
-            else:
+            tokens = constants if group is not None else constants.split(" ")
+            if length < len(tokens):
+                self.after[further, tokens[length]] = (constants, length + 1, group)
+            elif group is not None:
                 self.owner[further] = group
         return further
 
@@ -55,6 +70,17 @@ class _Prefixes:
             self.sharing[at] += 1
         self.owner[at] = group
 
+    def pass_through(self, tokens: list[str], content: str) -> None:
+        """Add the constants of a line that no other line can join, which owns no prefix."""
+        at = 0
+        for i, token in enumerate(tokens, 1):
+            if (at, token) not in self.after:
+                self.after[at, token] = (content, i, None)
+                return
+            at = self._laid_out((at, token))
+            self.sharing[at] += 1
+        self.owner.pop(at, None)
+
     def remove(self, constants: list[str]) -> None:
         """Forget the prefixes that only this template has; one that others share keeps its owner."""
         at, alone = 0, False
@@ -88,6 +114,8 @@ class _Prefixes:
             if further is not None:
                 matched += 1
                 if isinstance(further, tuple):
+                    if further[2] is None:
+                        return None
                     tail = further
                 else:
                     at = further
@@ -114,6 +142,7 @@ class _SharedTokens:
         self.needed = array("i")  # by a template at that place
         self.length = array("i")
         self.empty: list[Group] = []  # templates without tokens
+        self.longest = 0  # tokens that any template ever had
         self.gone = 0  # places left
         self.met = 0  # templates compared with lines
 
@@ -136,6 +165,7 @@ class _SharedTokens:
                 self.first[key] = array("i")
             self.first[key].append(group.view)
         self.groups.append(group)
+        self.longest = max(self.longest, len(group.tokens))
         self.needed.append(self.least(len(group.tokens)))
         self.length.append(len(group.tokens))
 
@@ -155,6 +185,8 @@ class _SharedTokens:
     def sharing(self, tokens: list[str]) -> list[Group]:
         """All templates with enough tokens in common with a line, in whatever order, the oldest first."""
         least = self.least(len(tokens))
+        if self.longest < least:
+            return []
         lists = sorted((self.first[key] for key in self._numbered(tokens) if key in self.first), key=len)
         if len(lists) < least:
             return []
@@ -239,6 +271,8 @@ class SpellMiner:
         return None
 
     def _by_lcs(self, tokens, alike):
+        if not alike:
+            return None
         positions: dict[str, int] = {}
         for i, token in enumerate(tokens):
             positions[token] = positions.get(token, 0) | (1 << i)
@@ -316,10 +350,73 @@ def aligned(common: list[str], template: list[str]) -> list[str]:
     return out
 
 
+def _looks_free(lines: DataFrame, least) -> bool:
+    """Whether few lines of a sample are alike."""
+    sample = lines.orderBy(F.xxhash64("LineID", "content")).limit(FREE_SAMPLE).select("content").toArrow()
+    found, _ = alike(keys_of(sample.column("content").to_pylist()), None, least)
+    return found.mean() <= FREE_SHARE
+
+
+_TEMPLATES = "LineID long, Template string"
+
+
+def _one_pass(sim_thr: float):
+    """Lines (``LineID``, ``content``, ``alone``) in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        miner = SpellMiner(sim_thr)
+        one: dict[str, str] = {}
+        ids, groups = [], []
+        for batch in batches:
+            own_ids, own_texts = [], []
+            for line_id, content, alone in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = content.split(" ")
+                group = miner.find(tokens)
+                if group is not None:
+                    miner.absorb(group, tokens)
+                elif alone:
+                    miner.prefixes.pass_through(tokens, content)
+                    own_ids.append(line_id)
+                    own_texts.append(content)
+                    continue
+                else:
+                    group = Group(line_id, [one.setdefault(t, t) for t in tokens])
+                    miner.open(group)
+                ids.append(line_id)
+                groups.append(group)
+            yield _named(own_ids, own_texts)
+        for begin in range(0, len(ids), 8192):
+            yield _named(ids[begin : begin + 8192], [" ".join(g.tokens) for g in groups[begin : begin + 8192]])
+
+    return run
+
+
+def _named(ids: list, texts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["LineID", "Template"])
+
+
+def _free_text(lines: DataFrame, sim_thr: float, n_lines: int, n_bytes: int) -> DataFrame | None:
+    """``(LineID, Template)``; ``None`` if many lines are alike."""
+    least = SpellMiner(sim_thr)._least
+    rows = materialize(lines.select("LineID", "content").withColumn("row", F.monotonically_increasing_id()))
+    # a literal wildcard may equal one of a template
+    wild = F.array_contains(F.split("content", " "), WILDCARD)
+    met = alike_rows(rows, n_lines, n_bytes, least).withColumn("met", F.lit(True))
+    marked = materialize(rows.join(met, "row", "left").select("LineID", "content", (F.col("met").isNull() & ~wild).alias("alone")))
+    if marked.where("not alone").count() > 2 * FREE_SHARE * n_lines:
+        return None
+    return marked.repartition(1).sortWithinPartitions("LineID").mapInArrow(_one_pass(sim_thr), _TEMPLATES)
+
+
 def mine_spell(df: DataFrame, sim_thr: float = 0.5, block_lines: int = BLOCK_LINES, log: str | None = None) -> DataFrame:
     """``log`` names a column that tells several logs apart; each is a route of its own."""
     lines = df.where(F.col("content").isNotNull()).select(
         root_of(log).alias("route"), F.lit(0).alias("level"), "LineID", "content"
     )
-    mined = replay(lines, lambda level: SpellMiner(sim_thr), blocks_needed(*size_of(lines), block_lines))
+    n_lines, n_bytes = size_of(lines)
+    if log is None and sim_thr > 0 and n_lines >= FREE_LINES and _looks_free(lines, SpellMiner(sim_thr)._least):
+        mined = _free_text(lines, sim_thr, n_lines, n_bytes)
+        if mined is not None:
+            return with_templates(df, mined, log)
+    mined = replay(lines, lambda level: SpellMiner(sim_thr), blocks_needed(n_lines, n_bytes, block_lines))
     return with_templates(df, mined, log)

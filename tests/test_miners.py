@@ -344,3 +344,40 @@ def test_templates_share_their_tokens():
         nodes += node[0].values()
     held = [t for g in groups for t in g.tokens]
     assert len(groups) > 5 and len({id(t) for t in held}) == len(set(held))
+
+
+def test_alike_lines_equal_all_pairs():
+    from collections import Counter
+
+    from logweave.operators.overlap import alike, keys_of
+
+    for seed, words, lengths in [(1, 12, (1, 5)), (2, 60, (3, 20)), (3, 300, (10, 40))]:
+        lines = [" ".join(t) for t in random_lines(seed, words, 120, lengths, wild=0.02)]
+        least = spell.SpellMiner(0.5)._least
+        counts = [Counter(x.split(" ")) for x in lines]
+        want = [any(i != j and (a & b).total() >= max(least(a.total()), least(b.total())) for j, b in enumerate(counts)) for i, a in enumerate(counts)]
+        assert alike(keys_of(lines), None, least)[0].tolist() == want
+        one, two = keys_of(lines[:50]), keys_of(lines[50:])
+        inside = [*alike(one, None, least)[0], *alike(two, None, least)[0]]
+        assert [a or b for a, b in zip(inside, [x for side in alike(one, two, least) for x in side])] == want
+
+
+FREE = [(1, 40, 150, (1, 8), 0.0), (2, 400, 300, (2, 12), 0.0), (3, 60, 200, (2, 9), 0.05)]
+
+
+@pytest.mark.parametrize("seed,words,n,lengths,wild", FREE)
+def test_free_text_equals_sequential(spark, monkeypatch, seed, words, n, lengths, wild):
+    """Lines that are alike to no other one are not looked for; the templates are those of all lines one after the other."""
+    monkeypatch.setattr(spell, "FREE_LINES", 1)
+    monkeypatch.setattr(spell, "FREE_SHARE", 1.0)
+    lines = random_lines(seed, words, n, lengths, wild)
+    assert mined(spark, lines, "Spell") == models.spell(lines)
+
+
+def test_lines_alone_are_not_indexed(monkeypatch):
+    added = []
+    monkeypatch.setattr(spell._SharedTokens, "add", lambda self, group, add=spell._SharedTokens.add: (added.append(group.leader), add(self, group)))
+    lines = ["a b c d", "e f g h", "a b c x", "a b y c"]
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(lines), pa.array([False, True, False, False])], ["LineID", "content", "alone"])
+    out = pa.Table.from_batches(spell._one_pass(0.5)([batch])).sort_by("LineID")
+    assert out.column("Template").to_pylist() == models.spell([x.split(" ") for x in lines]) and 1 not in added
