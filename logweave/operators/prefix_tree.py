@@ -5,6 +5,10 @@ a node first appear: the first ``children - 1`` distinct keys get a child of the
 the wildcard child. So the leaf of every line follows from ``min(LineID)`` per key path, and leaves can be
 replayed independently of each other. One exception: where a token equals the wildcard itself, unknown
 keys may match inside that child before they get their own; such a node is replayed as one route.
+
+*Free text* fills the leaves of rare keys with groups of one line. Where lines of the largest leaves are rarely alike, lines are compared
+inside their leaves first (``overlap``, in blocks, in parallel). A group that no line has joined is joined by a line that has enough tokens in
+the same places, so a line that is not alike to any other of its leaf opens a group that is not kept for later lines.
 """
 
 from __future__ import annotations
@@ -21,12 +25,18 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD, tokenize
 from logweave.operators.joins import lookup_join
-from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, root_of, with_templates
+from logweave.operators.overlap import alike, alike_rows, blocks_of, keys_of
+from logweave.operators.replay import ALONE, BLOCK_LINES, NOT_ALONE, Group, blocks_needed, replay, root_of, with_templates
 from logweave.session import materialize, ship
 
 FEW_PATHS = 100_000
 RUN = 512  # groups of a leaf that are not indexed yet
 MANY = 12  # groups of a leaf that are compared with a line at once
+LARGE = 2000  # lines of a leaf that is worth comparing its lines first
+FREE_LEAVES = 8  # the largest leaves, of which samples are compared
+FREE_SAMPLE = 256  # lines of each
+FREE_SHARE = 0.25  # of them that are alike to another one, at most
+FREE_BYTES = 16 << 20  # of contents in a block of free text
 
 
 @dataclass(frozen=True)
@@ -141,18 +151,19 @@ def _least_equal(n: int, threshold: float) -> int:
 class PrefixTreeMiner:
     """The part of the tree below a route; usually just one leaf."""
 
-    def __init__(self, rules: TreeRules, level: int):
+    def __init__(self, rules: TreeRules, level: int, flagged: bool = False):
         self.rules = rules
         self.level = level
+        self.flagged = flagged
         self.root: tuple[dict, _Leaf] = ({}, _Leaf())
         self.numbers: dict[str, int] = {}  # of the tokens in the matrices of leaves
         self.met: tuple[_Leaf, int] | None = None  # where the last group was found
 
     def __getstate__(self):
-        return self.rules, self.level, self.root
+        return self.rules, self.level, self.root, self.flagged
 
     def __setstate__(self, state):
-        self.rules, self.level, self.root = state
+        self.rules, self.level, self.root, self.flagged = state
         self.numbers, self.met = {}, None
 
     def _keys(self, tokens: list[str]) -> list[str]:
@@ -320,15 +331,42 @@ def _mine(df: DataFrame, rules: TreeRules, block_lines: int, log: str | None) ->
     else:
         routes = (_few_routes if different <= FEW_PATHS else _routes)(paths, rules)
         routed = lookup_join(keyed, routes.select("root", "keys", "route", "level", "n"), ["root", "keys"], weight="n")
-    mined = replay(
-        routed.where(F.col("route").isNotNull()),
-        lambda level: PrefixTreeMiner(rules, level),
-        n_blocks,
-    )
+    routed = routed.where(F.col("route").isNotNull())
+    flagged = _flagged(routed, rules) if rules.by_position and (size[0] or 0) >= LARGE else None
+    if flagged is not None:
+        routed, n_blocks = flagged, max(n_blocks, -(-size[1] // FREE_BYTES))
+    is_flagged = flagged is not None
+    mined = replay(routed, lambda level: PrefixTreeMiner(rules, level, is_flagged), n_blocks)
     # lines that end above the leaves are not replayed and keep their own text
     return with_templates(df, mined, log).withColumn("Template", F.coalesce("Template", "content"))
 
 
+def _flagged(routed: DataFrame, rules: TreeRules) -> DataFrame | None:
+    """``routed`` with ``ALONE`` or ``NOT_ALONE`` before the contents; ``None`` if its large leaves are not free text."""
+    leaves = routed.where(F.col("level") == rules.levels).groupBy("route")
+    sizes = leaves.agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).where(F.col("n") >= LARGE)
+    sizes = materialize(sizes.withColumn("blocks", blocks_of(F.col("n"), F.col("bytes"))))
+    groups = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2).alias("n")).first()["n"]
+    if groups is None:
+        return None
+    least = lambda n: _least_equal(n, rules.threshold)
+    largest = sizes.orderBy(F.desc("n"), "route").limit(FREE_LEAVES).select("route")
+    nth = F.row_number().over(Window.partitionBy("route").orderBy(F.xxhash64("LineID", "content"), "LineID"))
+    sample = routed.join(F.broadcast(largest), "route").withColumn("nth", nth).where(F.col("nth") <= FREE_SAMPLE)
+    texts: dict[str, list[tuple[str, int]]] = {}
+    for row in sample.select("route", "content", "nth").toLocalIterator():
+        texts.setdefault(row.route, []).append((row.content, row.nth))
+    found = [alike(keys_of([c for c, _ in own], by_place=True), None, least, (np.array([n for _, n in own]), None))[0] for own in texts.values()]
+    if np.concatenate(found).mean() > FREE_SHARE:
+        return None
+    rows = materialize(routed.select("route", "level", "LineID", "content").withColumn("row", F.monotonically_increasing_id()))
+    placed = materialize(lookup_join(rows, sizes.select("route", "blocks", "n"), "route", weight="n", how="left"))
+    met = alike_rows(placed.where("blocks is not null"), int(groups), least, "LineID").withColumn("met", F.lit(True))
+    alone = F.col("blocks").isNotNull() & F.col("met").isNull() & (F.col("level") == rules.levels)
+    content = F.concat(F.when(alone, F.lit(ALONE)).otherwise(F.lit(NOT_ALONE)), "content").alias("content")
+    return materialize(placed.join(met, "row", "left").select("route", "level", "LineID", content))
+
+
 def _key_column(rules: TreeRules) -> Column:
     tokens = tokenize(F.col("content"))
     if rules.count_is_key:

@@ -62,19 +62,27 @@ class Group:
         self.view = None
 
 
+ALONE = "+"  # begins the content of a line whose group no other line can join, where contents are ``flagged``
+NOT_ALONE = "-"  # and that of the others
+
+
 class Replay:
-    """Feeds the lines of one route to a miner and remembers answers while its state stands still."""
+    """Feeds the lines of one route to a miner and remembers answers while its state stands still.
+
+    A miner with ``flagged`` takes contents that begin with ``ALONE`` or ``NOT_ALONE``; groups of lines alone are not kept.
+    """
 
     def __init__(self, miner):
         self.miner = miner
+        self.flagged = getattr(miner, "flagged", False)
         self.known: dict[tuple, Group] = {}
         self.one: dict[str, str] = {}  # the tokens that templates ever had; they share one string for a token
 
     def __getstate__(self):
-        return self.miner, self.one
+        return self.miner, self.one, self.flagged
 
     def __setstate__(self, state):
-        self.miner, self.one = state
+        self.miner, self.one, self.flagged = state
         self.known = {}
 
     @property
@@ -87,7 +95,8 @@ class Replay:
         return tuple([t if t in words else others.setdefault(t, len(others)) for t in tokens])
 
     def step(self, line_id: int, content: str) -> tuple[Group, bool]:
-        tokens = content.split(" ")
+        alone = self.flagged and content.startswith(ALONE)
+        tokens = (content[1:] if self.flagged else content).split(" ")
         shape = self._shape(tokens)
         group = self.known.get(shape)
         if group is not None:
@@ -98,7 +107,7 @@ class Replay:
             changed = self.miner.absorb(group, tokens)
         else:
             group = Group(line_id, [self.one.get(t, t) for t in tokens])
-            changed = self.miner.open(group)
+            changed = not alone and self.miner.open(group)
         if changed:
             self.known.clear()
             one = self.one.setdefault

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WILDCARD
-from logweave.operators.overlap import alike, alike_rows, keys_of
+from logweave.operators.overlap import BYTES, ROWS, alike, alike_rows, keys_of
 from logweave.operators.replay import BLOCK_LINES, Group, blocks_needed, replay, root_of, size_of, with_templates
 from logweave.session import materialize
 
@@ -401,7 +401,10 @@ def _free_text(lines: DataFrame, sim_thr: float, n_lines: int, n_bytes: int) ->
     rows = materialize(lines.select("LineID", "content").withColumn("row", F.monotonically_increasing_id()))
     # a literal wildcard may equal one of a template
     wild = F.array_contains(F.split("content", " "), WILDCARD)
-    met = alike_rows(rows, n_lines, n_bytes, least).withColumn("met", F.lit(True))
+    # ten pairs of blocks at least, so that a short log uses several cores too
+    blocks = max(4, -(-n_lines // ROWS), -(-n_bytes // BYTES))
+    one = rows.withColumn("route", F.lit("")).withColumn("blocks", F.lit(blocks).cast("long"))
+    met = alike_rows(one, blocks * (blocks + 1) // 2, least).withColumn("met", F.lit(True))
     marked = materialize(rows.join(met, "row", "left").select("LineID", "content", (F.col("met").isNull() & ~wild).alias("alone")))
     if marked.where("not alone").count() > 2 * FREE_SHARE * n_lines:
         return None

@@ -381,3 +381,22 @@ def test_lines_alone_are_not_indexed(monkeypatch):
     batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(lines), pa.array([False, True, False, False])], ["LineID", "content", "alone"])
     out = pa.Table.from_batches(spell._one_pass(0.5)([batch])).sort_by("LineID")
     assert out.column("Template").to_pylist() == models.spell([x.split(" ") for x in lines]) and 1 not in added
+
+
+@pytest.mark.parametrize("seed,words,lengths,wild,block", [(1, 60, (4, 12), 0.0, 10_000), (2, 25, (5, 9), 0.05, 60), (3, 300, (3, 30), 0.0, 90)])
+def test_drain_of_free_text_equals_sequential(spark, monkeypatch, seed, words, lengths, wild, block):
+    """Lines that are alike to no other one of their leaf are not kept for later ones; templates are those of all lines one after the other."""
+    monkeypatch.setattr(prefix_tree, "LARGE", 1)
+    monkeypatch.setattr(prefix_tree, "FREE_SHARE", 1.0)
+    lines = random_lines(seed, words, 250, lengths, wild)
+    params = dict(depth=4, children=3, sim_thr=0.4)
+    assert mined(spark, lines, "Drain", block_lines=block, **params) == models.drain(lines, **params)
+
+
+def test_lines_alone_are_not_kept_in_a_leaf():
+    rules = prefix_tree.drain_rules()
+    run = replay.Replay(prefix_tree.PrefixTreeMiner(rules, rules.levels, flagged=True))
+    lines = ["+a b c d", "-e f g h", "-e f x h", "+i j k l"]
+    steps = [run.step(i, x) for i, x in enumerate(lines)]
+    assert [c for _, c in steps] == [False, True, True, False] and len(run.miner.root[1]) == 1
+    assert [" ".join(g.tokens) for g, _ in steps] == ["a b c d", "e f <#*#> h", "e f <#*#> h", "i j k l"]
